@@ -81,26 +81,30 @@ def is_text(token: Column) -> Column:
 def tags_of(tokens: Column) -> Column:
     """Tags only: position ``i`` (0-based, in tokens), name, kind (open, close, void), raw text."""
 
-    def describe(token: Column, i: Column) -> Column:
-        name = F.lower(F.regexp_extract(token, r"^</?([A-Za-z][^\s/>]*)", 1))
-        kind = (
-            F.when(token.startswith("</"), "close")
-            .when(name.isin(*VOID_ELEMENTS, *RAW_ELEMENTS) | token.endswith("/>"), "void")
-            .otherwise("open")
+    named = F.array_compact(
+        F.transform(
+            tokens,
+            lambda t, i: F.when(
+                t.rlike(_TAG_START),
+                F.struct(
+                    i.alias("i"), F.lower(F.regexp_extract(t, r"^</?([A-Za-z][^\s/>]*)", 1)).alias("name"), t.alias("raw")
+                ),
+            ),
         )
-        return F.struct(i.alias("i"), name.alias("name"), kind.alias("kind"), token.alias("raw"))
-
-    described = F.transform(
-        tokens, lambda t, i: F.when(t.rlike(_TAG_START), describe(t, i))
     )
-    return F.array_compact(described)
+
+    def with_kind(tag: Column) -> Column:
+        empty = tag["name"].isin(*VOID_ELEMENTS, *RAW_ELEMENTS) | tag["raw"].endswith("/>")
+        kind = F.when(tag["raw"].startswith("</"), "close").when(empty, "void").otherwise("open")
+        return F.struct(tag["i"].alias("i"), tag["name"].alias("name"), kind.alias("kind"), tag["raw"].alias("raw"))
+
+    return F.transform(named, with_kind)
 
 
 def attribute(raw: Column, name: str) -> Column:
     """Value of the first such attribute of a tag; empty when absent. Entities stay encoded."""
     value = F.regexp_extract(raw, _attribute_re(name) + rf"\s*+=\s*+({_ATTR_VALUE}|[^\s>]*+)", 1)
-    quoted = value.startswith('"') | value.startswith("'")
-    return F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1\z""", "$2")
 
 
 def _attribute_re(name: str) -> str:

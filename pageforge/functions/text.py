@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageforge.functions.base import WS, any_contains, hits, strip
+from pageforge.functions.base import WS, any_contains, hits, let, strip
 from pageforge.functions.entities import clean_list, clean_text  # noqa: F401  (re-exported)
 
 WORD_CHAR = r"\p{L}\p{N}_"
@@ -173,13 +173,13 @@ def keywords(content: Column, title: Column) -> Column:
 
 
 def language(content: Column) -> Column:
-    """Guess en, es or fr by marker substrings; empty content gives en."""
+    """Guess en, es or fr by marker substrings; empty and null content give en."""
     lowered = F.lower(content)
     en, es, fr = (hits(lowered, LANGUAGE_MARKS[k]) for k in ("en", "es", "fr"))
     guess = (
         F.when((en > es) & (en > fr), "en").when(es > fr, "es").when(fr > 0, "fr").otherwise("en")
     )
-    return F.when(content != "", guess).otherwise("en")
+    return guess
 
 
 def topic(content: Column, title: Column) -> Column:
@@ -207,33 +207,32 @@ def prompt_category(text: Column, domain: Column) -> Column:
     by_domain = F.lit("general")
     for mark, name in reversed(PROMPT_CATEGORY_DOMAINS.items()):
         by_domain = F.when(domain.contains(mark), name).otherwise(by_domain)
-    return _first_match(F.lower(text), PROMPT_CATEGORY_WORDS).otherwise(by_domain)
+    return F.coalesce(let(F.lower(text), lambda t: _first_match(t, PROMPT_CATEGORY_WORDS)), by_domain)
 
 
 def difficulty(text: Column) -> Column:
-    lowered = F.lower(text)
     words = word_count(text)
-    return (
-        F.when(any_contains(lowered, EASY_WORDS), "easy")
-        .when(any_contains(lowered, HARD_WORDS), "hard")
-        .when(words < EASY_BELOW, "easy")
-        .when(words > HARD_ABOVE, "hard")
-        .otherwise("medium")
+    by_words = let(
+        F.lower(text), lambda t: F.when(any_contains(t, EASY_WORDS), "easy").when(any_contains(t, HARD_WORDS), "hard")
     )
+    by_length = F.when(words < EASY_BELOW, "easy").when(words > HARD_ABOVE, "hard").otherwise("medium")
+    return F.coalesce(by_words, by_length)
 
 
 def mined_tags(text: Column) -> Column:
-    lowered = F.lower(text)
-    found = [F.when(lowered.contains(w), w.replace(" ", "-")) for w in TAG_WORDS]
-    return F.slice(F.array_compact(F.array(*found)), 1, MAX_TAGS)
+    def mine(lowered: Column) -> Column:
+        found = [F.when(lowered.contains(w), w.replace(" ", "-")) for w in TAG_WORDS]
+        return F.slice(F.array_compact(F.array(*found)), 1, MAX_TAGS)
+
+    return let(F.lower(text), mine)
 
 
 def code_language(text: Column) -> Column:
-    return _first_match(F.lower(text), CODE_MARKS)
+    return let(F.lower(text), lambda t: _first_match(t, CODE_MARKS))
 
 
 def url_category(path: Column) -> Column:
-    return _first_match(F.lower(path), URL_CATEGORY_WORDS)
+    return let(F.lower(path), lambda p: _first_match(p, URL_CATEGORY_WORDS))
 
 
 def split_tags(c: Column) -> Column:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageforge.functions.base import count_of, squeezed_strip, strip
+from pageforge.functions.base import WS, any_contains, count_of, let, squeezed_strip, strip
 
 # Hosts that are never crawled (exact host match).
 BLOCKED_DOMAINS = (
@@ -32,13 +32,13 @@ SUSPICIOUS_PATTERNS = (
     r"admin", r"login", r"password", r"secret", r"wp-admin", r"wp-login", r".env", r"config",
 )
 
-# IPv4 ranges that count as private, loopback or link-local.
-PRIVATE_IPV4 = (
-    ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12),
-    ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15),
-    ("198.51.100.0", 24), ("203.0.113.0", 24), ("240.0.0.0", 4),
+# IPv4 ranges that count as private, loopback or link-local
+# (0/8 10/8 127/8 169.254/16 172.16/12 192.0.0/24 192.0.2/24 192.168/16
+# 198.18/15 198.51.100/24 203.0.113/24 240/4, less two public addresses).
+_PRIVATE_IPV4 = (
+    r"^(?!192\.0\.0\.(?:9|10)\z)(?:(?:0|10|127|24[0-9]|25[0-5])\.|169\.254\.|172\.(?:1[6-9]|2[0-9]|3[01])\."
+    r"|192\.0\.[02]\.|192\.168\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.)"
 )
-PUBLIC_IPV4_EXCEPTIONS = ("192.0.0.9", "192.0.0.10")
 
 # IPv6 literals that are private, loopback or link-local, by leading groups.
 _PRIVATE_IPV6 = (
@@ -58,41 +58,50 @@ _PARAM_SCHEMES = ("", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp"
                   "sip", "sips", "mms", "sftp", "tel")
 
 
+# Leading control characters and spaces, and line breaks anywhere, are not part
+# of a URL; the second form strips white space at both ends as well.
+_UNSAFE = r"^[\x00-\x20]+|[\t\r\n]"
+_UNSAFE_OR_OUTER = rf"(?U)^[\x00-\x20\s]+|{WS}+\z|[\t\r\n]"
+
+_SCHEME = r"(?:([A-Za-z][A-Za-z0-9+.\-]*):)?"
+_SPLIT = rf"^{_SCHEME}(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
+_HOST = rf"^{_SCHEME}//(?:[^/?#]*@)?(\[[^\]/?#]*|[^/?#:\[]*)"
+
+
 @dataclass(frozen=True)
 class UrlParts:
+    """Parts of a URL. Every part is one regex over the URL, so that an
+    expression that uses many parts stays small and is shared by codegen."""
+
     scheme: Column
     netloc: Column
     path: Column
     query: Column
-    fragment: Column
-    bad_brackets: Column
-
-
-def split_url(url: Column) -> UrlParts:
-    """Scheme, network location, path (without ``;params``), query and fragment."""
-    clean = F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
-    before_fragment = F.substring_index(clean, "#", 1)
-    fragment = F.substr(clean, F.length(before_fragment) + 2)
-    base = F.substring_index(before_fragment, "?", 1)
-    query = F.substr(before_fragment, F.length(base) + 2)
-    raw_scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
-    rest = F.when(raw_scheme != "", F.substr(base, F.length(raw_scheme) + 2)).otherwise(base)
-    has_netloc = rest.startswith("//")
-    netloc = F.when(has_netloc, F.substring_index(F.substr(rest, F.lit(3)), "/", 1)).otherwise("")
-    full_path = F.when(has_netloc, F.substr(rest, F.length(netloc) + 3)).otherwise(rest)
-    scheme = F.lower(raw_scheme)
+    host: Column
+    malformed: Column
+
+
+def split_url(url: Column, outer: bool = False) -> UrlParts:
+    """Scheme, network location, path (without ``;params``), query, host name.
+
+    ``outer`` strips surrounding white space first.
+    """
+    clean = F.regexp_replace(url, _UNSAFE_OR_OUTER if outer else _UNSAFE, "")
+    scheme = F.lower(F.regexp_extract(clean, _SPLIT, 1))
+    netloc = F.regexp_extract(clean, _SPLIT, 2)
+    full_path = F.regexp_extract(clean, _SPLIT, 3)
     path = F.when(
-        scheme.isin(*_PARAM_SCHEMES) & full_path.contains(";"),
-        F.regexp_replace(full_path, r";[^/]*\z", ""),
+        full_path.contains(";") & scheme.isin(*_PARAM_SCHEMES), F.regexp_replace(full_path, r";[^/]*\z", "")
     ).otherwise(full_path)
-    brackets = netloc.contains("[") != netloc.contains("]")
-    return UrlParts(scheme, netloc, path, query, fragment, brackets)
+    host = F.ltrim(F.lower(F.regexp_extract(clean, _HOST, 2)), F.lit("["))
+    malformed = netloc.contains("[") != netloc.contains("]")
+    return UrlParts(scheme, netloc, path, F.regexp_extract(clean, _SPLIT, 4), host, malformed)
 
 
 def domain_of(url: Column) -> Column:
     """Lower-cased network location, user info and port kept; empty when absent."""
     parts = split_url(url)
-    return F.coalesce(F.when(parts.bad_brackets, "").otherwise(F.lower(parts.netloc)), F.lit(""))
+    return F.coalesce(F.when(parts.malformed, "").otherwise(F.lower(parts.netloc)), F.lit(""))
 
 
 def same_domain(left: Column, right: Column) -> Column:
@@ -109,52 +118,25 @@ def origin_of(url: Column) -> Column:
     return F.concat(parts.scheme, F.lit("://"), parts.netloc)
 
 
-def _host(netloc: Column) -> Column:
-    after_user = F.substring_index(netloc, "@", -1)
-    bracketed = after_user.contains("[")
-    inside = F.substring_index(F.substring_index(after_user, "[", -1), "]", 1)
-    return F.lower(F.when(bracketed, inside).otherwise(F.substring_index(after_user, ":", 1)))
-
-
 def host_of(url: Column) -> Column:
     """Host name without user info, port or brackets, lower-cased; empty when absent."""
-    return _host(split_url(url).netloc)
-
-
-def _ipv4_number(host: Column) -> Column:
-    octets = F.split(host, r"\.")
-    return sum(
-        (F.try_element_at(octets, F.lit(k + 1)).try_cast("bigint") * F.lit(256 ** (3 - k)) for k in range(4)),
-        F.lit(0).cast("bigint"),
-    )
-
-
-def _ipv4_literal(address: str) -> int:
-    a, b, c, d = (int(x) for x in address.split("."))
-    return ((a * 256 + b) * 256 + c) * 256 + d
+    return split_url(url, outer=True).host
 
 
 def is_private_host(host: Column) -> Column:
     """Private IP literal, or a host name that contains a local marker."""
-    number = _ipv4_number(host)
-    in_range = F.lit(False)
-    for address, bits in PRIVATE_IPV4:
-        low = _ipv4_literal(address)
-        in_range = in_range | number.between(low, low + 2 ** (32 - bits) - 1)
-    public = number.isin(*[_ipv4_literal(a) for a in PUBLIC_IPV4_EXCEPTIONS])
-    named = F.lit(False)
-    for mark in LOCAL_HOST_MARKS:
-        named = named | host.contains(mark)
     return (
-        F.when(host.rlike(_IPV4), in_range & ~public)
+        F.when(host.rlike(_IPV4), host.rlike(_PRIVATE_IPV4))
         .when(host.contains(":"), host.rlike(_PRIVATE_IPV6))
-        .otherwise(named)
+        .otherwise(any_contains(host, LOCAL_HOST_MARKS))
     )
 
 
+_ENDINGS = r"(?i)\.(?:" + "|".join(e[1:] for e in SKIP_EXTENSIONS) + r")\z"
+
+
 def has_skipped_extension(url: Column) -> Column:
-    endings = "|".join(e[1:] for e in SKIP_EXTENSIONS)
-    return F.lower(split_url(url).path).rlike(rf"\.(?:{endings})\z")
+    return split_url(url, outer=True).path.rlike(_ENDINGS)
 
 
 def has_suspicious_pattern(url: Column) -> Column:
@@ -167,20 +149,18 @@ def url_reject_reason(url: Column, blocked: tuple[str, ...] = BLOCKED_DOMAINS) -
     ``blocked`` is the exact-host block list; an empty list switches that check
     off (used when the list is applied as an anti join instead).
     """
-    stripped = strip(url)
-    parts = split_url(stripped)
-    host = _host(parts.netloc)
+    parts = split_url(url, outer=True)
     reason = (
         F.when(url.isNull() | (url == ""), "empty")
-        .when(parts.bad_brackets, "malformed")
+        .when(parts.malformed, "malformed")
         .when(~parts.scheme.isin("http", "https"), "scheme")
-        .when(host == "", "host")
+        .when(parts.host == "", "host")
     )
     if blocked:
-        reason = reason.when(host.isin(*blocked), "blocked_domain")
+        reason = reason.when(parts.host.isin(*blocked), "blocked_domain")
     return (
-        reason.when(is_private_host(host), "private_address")
-        .when(has_skipped_extension(stripped), "skipped_extension")
+        reason.when(is_private_host(parts.host), "private_address")
+        .when(parts.path.rlike(_ENDINGS), "skipped_extension")
         .when(has_suspicious_pattern(url), "suspicious_pattern")
     )
 
@@ -191,16 +171,14 @@ def is_valid_url(url: Column, blocked: tuple[str, ...] = BLOCKED_DOMAINS) -> Col
 
 def normalize_url(url: Column) -> Column:
     """Normal form for deduplication: no fragment, sorted query, bare root."""
-    parts = split_url(strip(url))
+    parts = split_url(url, outer=True)
     sorted_query = F.array_join(F.array_sort(F.split(parts.query, "&")), "&")
     joined = F.concat(
         parts.scheme, F.lit("://"), parts.netloc, parts.path,
         F.when(parts.query != "", F.concat(F.lit("?"), sorted_query)).otherwise(""),
     )
-    bare = F.when(
-        joined.endswith("/") & (F.length(parts.path) <= 1), F.rtrim(joined, F.lit("/"))
-    ).otherwise(joined)
-    return F.when(parts.bad_brackets, url).otherwise(bare)
+    bare = F.when(F.length(parts.path) <= 1, F.rtrim(joined, F.lit("/"))).otherwise(joined)
+    return F.when(parts.malformed, url).otherwise(bare)
 
 
 def has_http_protocol(url: Column) -> Column:
@@ -208,46 +186,46 @@ def has_http_protocol(url: Column) -> Column:
 
 
 def _remove_dot_segments(path: Column) -> Column:
-    segments = F.split(path, "/")
-    last = F.element_at(segments, -1)
-    start = F.slice(segments, 1, 0)
-
-    def step(kept: Column, segment: Column) -> Column:
-        # The leading empty segment (the root slash) is never popped.
-        popped = F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
-        return (
-            F.when(segment == ".", kept)
-            .when(segment == "..", popped)
-            .otherwise(F.concat(kept, F.array(segment)))
-        )
+    def collapse(p: Column) -> Column:
+        segments = F.split(p, "/")
+
+        def step(kept: Column, segment: Column) -> Column:
+            # The leading empty segment (the root slash) is never popped.
+            popped = F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
+            return (
+                F.when(segment == ".", kept)
+                .when(segment == "..", popped)
+                .otherwise(F.concat(kept, F.array(segment)))
+            )
+
+        joined = F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/")
+        closed = p.rlike(r"/\.\.?\z")
+        return F.when(
+            p.contains("/."), F.concat(joined, F.when(closed, "/").otherwise(""))
+        ).otherwise(p)
+
+    return let(path, collapse)
+
 
-    kept = F.aggregate(segments, start, step)
-    joined = F.array_join(kept, "/")
-    closed = F.when(last.isin(".", "..") & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
-    return F.when(
-        path.contains("/.") | path.startswith("."), closed
-    ).otherwise(path)
+_ROOT = r"^([A-Za-z][^:/?#]*:(?://[^/?#]*)?)"
+_FOLDER = r"^[A-Za-z][^:/?#]*:(?://[^/?#]*)?(/(?:[^?#]*/)?)"
 
 
 def resolve_url(base: Column, reference: Column) -> Column:
     """Reference resolution against a base URL (RFC 3986, section 5.2)."""
-    b = split_url(base)
-    r = split_url(reference)
-    base_no_fragment = F.substring_index(base, "#", 1)
-    base_no_query = F.substring_index(base_no_fragment, "?", 1)
-    root = F.concat(b.scheme, F.lit("://"), b.netloc)
-    ref_path = F.substring_index(F.substring_index(reference, "#", 1), "?", 1)
-    tail = F.substr(reference, F.length(ref_path) + 1)
-    base_path = F.substr(base_no_query, F.length(F.concat(b.scheme, F.lit("://"), b.netloc)) + 1)
-    directory = F.regexp_extract(base_path, r"^(.*/)", 1)
-    merged = F.concat(F.when(directory == "", "/").otherwise(directory), ref_path)
+    root = F.regexp_extract(base, _ROOT, 1)
+    folder = F.regexp_extract(base, _FOLDER, 1)
+    no_fragment = F.substring_index(base, "#", 1)
+    ref_path = F.regexp_extract(reference, r"^([^?#]*)", 1)
+    tail = F.regexp_extract(reference, r"(?s)^[^?#]*(.*)", 1)
+    merged = F.concat(F.when(folder == "", "/").otherwise(folder), ref_path)
     return (
         F.when(reference == "", base)
-        .when(r.scheme != "", reference)
-        .when(reference.startswith("//"), F.concat(b.scheme, F.lit(":"), reference))
-        .when(reference.startswith("#"), F.concat(base_no_fragment, reference))
-        .when(reference.startswith("?"), F.concat(base_no_query, reference))
-        .when(ref_path.startswith("/"), F.concat(root, _remove_dot_segments(ref_path), tail))
+        .when(reference.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), reference)
+        .when(reference.startswith("//"), F.concat(F.substring_index(base, ":", 1), F.lit(":"), reference))
+        .when(reference.startswith("#"), F.concat(no_fragment, reference))
+        .when(reference.startswith("?"), F.concat(F.substring_index(no_fragment, "?", 1), reference))
+        .when(reference.startswith("/"), F.concat(root, _remove_dot_segments(ref_path), tail))
         .otherwise(F.concat(root, _remove_dot_segments(merged), tail))
     )
 

@@ -1,0 +1,12 @@
+"""Driver queries, one module per family."""
+
+from importlib import import_module
+
+FAMILIES = ("urls",)
+
+
+def load():
+    """Import every family and return the registry."""
+    for family in FAMILIES:
+        import_module(f"pageforge.queries.{family}")
+    return import_module("pageforge.queries.base")
