@@ -40,6 +40,10 @@ def _rare_udf(level: str):
     The function is nested so that it travels by value: executors need pandas,
     not this package. Levels: "decode" (entities only), "join" (pieces decoded,
     stripped and joined), "clean" (every piece cleaned, seams kept).
+
+    Marked non-deterministic, which it is not, to keep the optimizer from
+    copying it and everything below it into filters over later columns. A
+    filter on page columns therefore belongs before the extraction.
     """
     seam, controls = SEAM, CONTROL_CHARS
 
@@ -57,7 +61,7 @@ def _rare_udf(level: str):
         work = {"decode": html.unescape, "join": join, "clean": clean}[level]
         return texts.map(work, na_action="ignore")
 
-    return F.pandas_udf(run, StringType())
+    return F.pandas_udf(run, StringType()).asNondeterministic()
 
 
 def has_rare_entity(c: Column) -> Column:

@@ -153,7 +153,11 @@ def examples(c: Column) -> Column:
         return F.when(is_object, F.coalesce(_variant_text(value), F.lit(""))).otherwise(scalar)
 
     keys = ("input", "output", "explanation")
-    cleaned = [clean_list(F.transform(items, lambda item, k=k: part(item, k))) for k in keys]
+
+    def parts(key: str) -> Column:
+        return clean_list(F.transform(items, lambda item: part(item, key)))
+
+    cleaned = [parts(k) for k in keys]
     triples = F.transform(
         F.arrays_zip(*[col.alias(k) for col, k in zip(cleaned, keys)]),
         lambda z: F.struct(*[z[k].alias(k) for k in keys]),

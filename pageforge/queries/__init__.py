@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("urls",)
+FAMILIES = ("urls", "text", "product", "html", "content")
 
 
 def load():

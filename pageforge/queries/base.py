@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_CHECKS: dict[str, tuple[str, tuple[str, ...]]] = {}
 DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in DERIVED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql, sources = DERIVED[name]
-    return spark.sql(sql.replace("{{", "{").replace("}}", "}"), **{s: table(spark, sf_dir, s) for s in sources}) if sources else spark.sql(sql)
+    return spark.sql(sql, **{s: table(spark, sf_dir, s) for s in sources})
 
 
 def _closure(names, seen: list[str]) -> list[str]:
@@ -40,7 +40,9 @@ def oracle(body: str, *names: str) -> str:
     parts = []
     for name in _closure(names, []):
         sql, sources = DERIVED[name]
-        parts.append(f"{name} AS ({sql.format(**{s: s for s in sources})})")
+        for source in sources:
+            sql = sql.replace("{" + source + "}", source)
+        parts.append(f"{name} AS ({sql})")
     if not parts:
         return body
     text = body.strip()
@@ -61,7 +63,11 @@ def query(name: str, tables: str = "", sql: str | None = None):
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = oracle(sql, *names)
+            _CHECKS[name] = (sql, names)
         return fn
 
     return add
+
+
+def oracles() -> dict[str, str]:
+    return {name: oracle(sql, *names) for name, (sql, names) in _CHECKS.items()}
