@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for data that outlives a task: the one the cluster names in
+    ``spark.checkpoint.dir``; where none is named (tests), a local one."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageforge-")
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so that a frame that is
-    read more than once is computed once and survives lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Cut lineage through the shared folder, so that a frame that is read more
+    than once is computed once and survives lost executors."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="pageforge-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -41,19 +42,37 @@ def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def accept_inserts(df: DataFrame, keys, order: str, stored: DataFrame | None = None) -> DataFrame:
-    """Rows that unique constraints let in, first write wins, keys taken one after the other.
-
-    A row already rejected under one key does not block others under the next.
-    Rows whose key exists in ``stored`` are rejected; null keys are exempt.
+    """Rows that unique constraints let in when rows are inserted one by one in ``order``.
+
+    Rows whose key exists in ``stored`` are rejected; null keys are exempt. With
+    one key this is ``keep_first``. With several, a row that is rejected under
+    one key must not block others under another, so rows are decided in rounds:
+    rows that come first under all their keys are in, rows that share a key with
+    them are out, and the rest goes to the next round. Every round decides the
+    smallest undecided row at least, and in practice nearly all of them. Only
+    keys and order values take part; the payload is joined once at the end.
     """
-    accepted = df
-    if stored is not None:
-        for key in keys:
-            taken = stored.where(F.col(key).isNotNull()).select(key)
-            accepted = accepted.join(taken, key, "left_anti")
-    for key in keys:
-        accepted = keep_first(accepted, key, order)
-    return accepted
+    pending = df.select(order, *keys)
+    for key in keys if stored is not None else ():
+        taken = stored.where(F.col(key).isNotNull()).select(key)
+        pending = pending.join(taken, key, "left_anti")
+    if len(keys) == 1:
+        winners = first_ids(pending, keys[0], order)
+    else:
+        rounds = []
+        pending = settle(pending)
+        while not pending.isEmpty():
+            into = pending
+            for key in keys:
+                into = into.join(first_ids(pending, key, order), order, "left_semi")
+            into = settle(into)
+            rounds.append(into.select(order))
+            rest = pending.join(into.select(order), order, "left_anti")
+            for key in keys:
+                rest = rest.join(into.where(F.col(key).isNotNull()).select(key), key, "left_anti")
+            pending = settle(rest.select(order, *keys))
+        winners = union_all(rounds) if rounds else pending.select(order)
+    return df.join(winners, order, "left_semi")
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

@@ -23,7 +23,7 @@ def effective_delays(domains: DataFrame, overrides: DataFrame, domain: str = "do
 
 def schedule(
     requests: DataFrame, domain: str = "domain", arrival: str = "arrival", order: str = "id",
-    delay: str = "delay", chunk_seconds: int = 3600,
+    delay: str = "delay", chunk_seconds: int = 3600, last_starts: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``start`` and ``wait_seconds``: each request starts at its arrival, but not
     earlier than ``delay`` after the previous start of its domain.
@@ -31,7 +31,8 @@ def schedule(
     start_i = i*d + max over j<=i of (arrival_j - j*d). The maximum is taken in two
     levels (inside chunks of arrival time, then over chunks), so that one busy
     domain is spread over tasks. Microsecond integers keep it exact. The delay is
-    one value per domain; an empty domain is not paced.
+    one value per domain; an empty domain is not paced. ``last_starts`` (domain,
+    last_start in microseconds) continues an earlier schedule.
     """
     micros = F.unix_micros(F.col(arrival).cast("timestamp"))
     step = F.when(F.col(domain) == "", 0).otherwise(F.round(F.col(delay) * _MICROS).cast("bigint"))
@@ -51,7 +52,12 @@ def schedule(
     earlier = Window.partitionBy(domain).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = chunks.withColumn("_offset", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn(
         "_prior", F.max(F.col("_top") - F.col("_offset") * F.col("_d")).over(earlier)
-    ).select(domain, "_chunk", "_offset", "_prior")
+    ).select(domain, "_chunk", "_offset", "_prior", "_d")
+    if last_starts is not None:
+        offsets = offsets.join(last_starts.select(domain, "last_start"), domain, "left").withColumn(
+            "_prior", F.greatest("_prior", F.col("last_start") + F.col("_d"))
+        )
+    offsets = offsets.select(domain, "_chunk", "_offset", "_prior")
     joined = inside.join(offsets, [domain, "_chunk"])
     base = F.greatest(F.col("_prior"), F.col("_peak") - F.col("_offset") * F.col("_step"))
     start = F.when(F.col(domain) == "", F.col("_at")).otherwise(

@@ -71,7 +71,10 @@ def parse_filters(text: str | None) -> dict[str, Any] | None:
 
 def filter_problem(text: Column) -> Column:
     """Reason why a column of filter texts cannot be used, or null."""
-    return F.when((text != "") & F.try_parse_json(text).isNull(), INVALID_JSON)
+    # The parser stops after the first value; inside brackets a tail cannot hide.
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    one = F.try_parse_json(text).isNotNull() & whole.isNotNull() & F.try_variant_get(whole, "$[1]", "variant").isNull()
+    return F.when((text != "") & ~one, INVALID_JSON)
 
 
 def predicate(df: DataFrame, f: Filter) -> Column:

@@ -47,7 +47,7 @@ def oracle(body: str, *names: str) -> str:
         return body
     text = body.strip()
     if text.upper().startswith("WITH RECURSIVE"):
-        return "WITH RECURSIVE " + ", ".join(parts) + ", " + text[14:].strip()
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + text[len("WITH RECURSIVE"):].strip()
     if text.upper().startswith("WITH"):
         return "WITH " + ", ".join(parts) + ", " + text[4:].strip()
     return "WITH " + ", ".join(parts) + " " + text

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pageforge.functions.urls import normalize_url, origin_of
 from pageforge.operators.extract import extract_fields
+from pageforge.operators.pacing import schedule
 from pageforge.operators.robots import CACHE_SECONDS, agent_rules, robots_path, rules_allow
 from pageforge.plans.content import process, type_of
 from pageforge.plans.ingest import ingest
@@ -107,6 +108,33 @@ def pace_stream(requests: DataFrame, delay_seconds: float, domain: str = "domain
     )
 
 
+def pace_batches(requests: DataFrame, root: str, checkpoint: str, delay_seconds: float, domain: str = "domain",
+                 arrival: str = "arrival", order: str = "id") -> DataStreamWriter:
+    """The same pacing for domains too busy for one task.
+
+    Every micro-batch is scheduled with the two-level batch operator, which
+    spreads a domain over tasks, and continues from the last starts that the
+    batch before it wrote under ``root``. Folders are named by batch id and
+    overwritten, so a repeated batch changes nothing.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        known = None
+        if batch_id > 0:
+            known = spark.read.parquet(f"{root}/last/batch={batch_id - 1}")
+        timed = schedule(batch.withColumn("delay", F.lit(delay_seconds)), domain, arrival, order, last_starts=known)
+        timed.write.mode("overwrite").parquet(f"{root}/starts/batch={batch_id}")
+        mine = spark.read.parquet(f"{root}/starts/batch={batch_id}").groupBy(domain).agg(
+            F.unix_micros(F.max("start").cast("timestamp")).alias("last_start")
+        )
+        if known is not None:
+            mine = mine.unionByName(known).groupBy(domain).agg(F.max("last_start").alias("last_start"))
+        mine.write.mode("overwrite").parquet(f"{root}/last/batch={batch_id}")
+
+    return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
 def robots_stream(
     requests: DataFrame, snapshots: DataFrame, user_agent: str = "*", url: str = "url", at: str = "requested_at",
     cache_seconds: int = CACHE_SECONDS,
