@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 # One character class for whitespace as Python understands it: Unicode white
 # space plus the four ASCII separators.
 WS = r"[\s\x1c-\x1f]"
-WS_RUN = rf"(?U){WS}+"
+# Whitespace runs other than a single space, the only ones squeezing changes.
+_UNEVEN_RUN = rf"(?U)(?:[^\S ]|[\x1c-\x1f]| (?={WS})){WS}*+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,7 +21,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Whitespace runs become one space."""
-    return F.regexp_replace(c, WS_RUN, " ")
+    return F.regexp_replace(c, _UNEVEN_RUN, " ")
 
 
 def strip(c: Column) -> Column:

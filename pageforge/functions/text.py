@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageforge.functions.base import WS, any_contains, hits, let, strip
+from pageforge.functions.base import WS, any_contains, count_of, hits, let, strip
 from pageforge.functions.entities import clean_list, clean_text  # noqa: F401  (re-exported)
 
 WORD_CHAR = r"\p{L}\p{N}_"
@@ -91,6 +91,13 @@ def word_count(c: Column) -> Column:
     return F.coalesce(F.regexp_count(c, F.lit(rf"(?U)[^{WS[1:-1]}]+")), F.lit(0))
 
 
+def clean_word_count(c: Column) -> Column:
+    """``word_count`` of cleaned text, whose only white space is single spaces. Where a
+    removed control character left spaces side by side or at an end, words are counted."""
+    uneven = c.contains("  ") | c.startswith(" ") | c.endswith(" ")
+    return F.when(uneven, word_count(c)).when(c != "", count_of(c, " ") + 1).otherwise(F.lit(0))
+
+
 def reading_minutes(words: Column) -> Column:
     """Minutes for a word count, half to even, at least 1."""
     return F.greatest(F.lit(1), F.bround(words / F.lit(float(WORDS_PER_MINUTE))).cast("int"))
@@ -142,10 +149,11 @@ def keywords(content: Column, title: Column) -> Column:
     quadratic pass, whatever the length of the text.
     """
     text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), content))
-    pattern = rf"(?<![{WORD_CHAR}])[a-z]{{3,}}+(?![{WORD_CHAR}])"
+    # Stop words are passed over by the pattern itself; order of use is kept.
+    stop = "|".join(w for w in STOP_WORDS if len(w) >= 3)
+    pattern = rf"(?<![{WORD_CHAR}])(?!(?:{stop})(?![{WORD_CHAR}]))[a-z]{{3,}}+(?![{WORD_CHAR}])"
     words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    placed = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    kept = F.filter(placed, lambda p: ~p["w"].isin(*STOP_WORDS))
+    kept = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     leaders_type = "array<struct<rank:int,i:int,w:string>>"
     start = F.struct(
         F.lit(None).cast("string").alias("w"),

@@ -35,7 +35,7 @@ def schedule(
     last_start in microseconds) continues an earlier schedule.
     """
     micros = F.unix_micros(F.col(arrival).cast("timestamp"))
-    step = F.when(F.col(domain) == "", 0).otherwise(F.round(F.col(delay) * _MICROS).cast("bigint"))
+    step = F.when(F.col(domain).cast("string") == "", 0).otherwise(F.round(F.col(delay) * _MICROS).cast("bigint"))
     rows = requests.withColumns(
         {"_at": micros, "_step": step, "_chunk": F.floor(micros / F.lit(chunk_seconds * _MICROS))}
     )
@@ -60,7 +60,7 @@ def schedule(
     offsets = offsets.select(domain, "_chunk", "_offset", "_prior")
     joined = inside.join(offsets, [domain, "_chunk"])
     base = F.greatest(F.col("_prior"), F.col("_peak") - F.col("_offset") * F.col("_step"))
-    start = F.when(F.col(domain) == "", F.col("_at")).otherwise(
+    start = F.when(F.col(domain).cast("string") == "", F.col("_at")).otherwise(
         base + (F.col("_offset") + F.col("_i")) * F.col("_step")
     )
     timed = joined.withColumn("_start", start)
@@ -74,7 +74,7 @@ def schedule(
 
 def domain_statistics(requests: DataFrame, as_of: Column, domain: str = "domain", at: str = "start", delay: str = "delay") -> DataFrame:
     """Per domain: delay, last request, seconds since, ready flag."""
-    last = requests.where(F.col(domain) != "").groupBy(domain).agg(
+    last = requests.where(F.col(domain).cast("string") != "").groupBy(domain).agg(
         F.max(delay).alias("delay"), F.max(at).alias("last_request")
     )
     since = (

@@ -46,7 +46,7 @@ def _finished(df: DataFrame, keep: Iterable[str], spec: catalog.ContentType, col
 
 
 def _measures(content: Column) -> dict[str, Column]:
-    words = X.word_count(content)
+    words = X.clean_word_count(content)
     return {
         "word_count": words,
         "reading_time": F.when(content != "", X.reading_minutes(words)).otherwise(F.lit(0)),

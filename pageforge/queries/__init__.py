@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("urls", "text", "product", "html", "content", "tables", "jobs", "robots")
+FAMILIES = ("urls", "text", "product", "html", "content", "tables", "jobs", "robots", "streams")
 
 
 def load():

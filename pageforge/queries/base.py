@@ -10,6 +10,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pageforge.sources.readers import spread
+
+# Tables with costly rows, and the column that spreads them over tasks.
+SPREAD = {"pages": "page_id", "documents": "doc_id"}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _CHECKS: dict[str, tuple[str, tuple[str, ...]]] = {}
 DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {}
@@ -22,7 +27,8 @@ def derived(name: str, sql: str, *sources: str) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A stored table, or a derived one planned over the stored tables."""
     if name not in DERIVED:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        stored = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spread(stored, SPREAD[name]) if name in SPREAD else stored
     sql, sources = DERIVED[name]
     return spark.sql(sql, **{s: table(spark, sf_dir, s) for s in sources})
 

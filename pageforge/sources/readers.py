@@ -31,14 +31,14 @@ def stream_pages(spark: SparkSession, path: str, format: str = "parquet", files_
     return reader.load(path)
 
 
-def spread(pages: DataFrame, target_bytes: int = 64 << 20, floor: int | None = None) -> DataFrame:
-    """Even out pages over tasks when a few large files hold them: as many partitions
-    as the scanned size asks for, but no fewer than the cluster's parallelism."""
-    spark = pages.sparkSession
-    least = floor or spark.sparkContext.defaultParallelism
-    size = pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    wanted = max(least, int(str(size)) // target_bytes)
-    return pages if pages.rdd.getNumPartitions() >= wanted else pages.repartition(wanted)
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan over all cores when it has fewer tasks than there are cores.
+
+    A few files with one row group each would leave most cores idle during
+    extraction. Large inputs have more tasks than cores and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
 def requests_from_lists(
