@@ -126,52 +126,59 @@ def extract_fields(
     html: str = "html",
     url: str = "url",
     problems: str | None = None,
+    metadata: bool = False,
 ) -> DataFrame:
-    """Add one column per selector field.
+    """Add one column per selector field; with ``metadata`` the page metadata as well,
+    read from the same tokens.
 
     Strings for text, link and image fields, a timestamp for date fields, an
     array for list fields; null when no selector matches. A selector that
     cannot be compiled nulls its own field only; with ``problems`` the reasons
     are added as an array column of that name.
     """
-    if not selectors:
-        return pages if problems is None else pages.withColumn(problems, F.array().cast("array<string>"))
     tagged = with_tags(pages, html)
     starts, reasons = [], []
     for name, text in selectors.items():
         position, refused = H.first_match(F.col(TAGS), text)
         starts.append(position.alias(name))
         reasons += [f"Failed to extract {name}: {reason}" for reason in refused]
-    placed = tagged.withColumn(STARTS, F.struct(*starts))
-    placed = placed.withColumn(
-        ENDS,
-        H.element_ends(F.col(TAGS), {n: F.col(STARTS)[n] for n in selectors}, F.size(TOKENS)),
-    )
+    placed = tagged
+    if selectors:
+        placed = tagged.withColumn(STARTS, F.struct(*starts))
+        placed = placed.withColumn(
+            ENDS,
+            H.element_ends(F.col(TAGS), {n: F.col(STARTS)[n] for n in selectors}, F.size(TOKENS)),
+        )
+    described = _metadata_columns(html) if metadata else {}
     # Each stage is its own projection, so that no stage is evaluated twice and
     # the arrays are gone before rows reach the entity decoder.
     raw = placed.withColumns(
         {f"_raw_{n}": _raw_value(n) for n in selectors}
         | {f"_listed_{n}": _is_list(n) for n in selectors if n in LIST_FIELDS}
+        | described
     ).drop(TOKENS, TAGS, STARTS, ENDS)
-    decoded = raw.withColumns({f"_raw_{n}": _decoded_value(n, F.col(f"_raw_{n}")) for n in selectors})
+    title = {"page_title": decode_entities(F.col("page_title"))} if metadata else {}
+    decoded = raw.withColumns({f"_raw_{n}": _decoded_value(n, F.col(f"_raw_{n}")) for n in selectors} | title)
     out = decoded.withColumns(
         {n: _final_value(n, F.col(f"_raw_{n}"), F.col(f"_listed_{n}"), F.col(url)) for n in selectors}
+        | ({"page_title": strip(squeeze(F.col("page_title")))} if metadata else {})
     )
     if problems is not None:
         out = out.withColumn(problems, F.array(*map(F.lit, reasons)).cast("array<string>"))
     return out.drop(*[f"_raw_{n}" for n in selectors], *[f"_listed_{n}" for n in selectors])
 
 
+def _metadata_columns(html: str) -> dict[str, Column]:
+    return {
+        "page_title": H.page_title(F.col(html)),
+        "links_found": F.size(H.link_tags(F.col(TAGS))),
+        "images_found": F.size(H.image_tags(F.col(TAGS))),
+    }
+
+
 def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add page title, number of links and number of images."""
-    tagged = with_tags(pages, html).withColumns(
-        {
-            "_title": H.page_title(F.col(html)),
-            "links_found": F.size(H.link_tags(F.col(TAGS))),
-            "images_found": F.size(H.image_tags(F.col(TAGS))),
-        }
-    ).drop(TOKENS, TAGS)
-    return tagged.withColumn("page_title", strip(squeeze(decode_entities(F.col("_title"))))).drop("_title")
+    return extract_fields(pages, {}, html, metadata=True)
 
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:

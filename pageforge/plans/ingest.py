@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageforge.functions.urls import url_reject_reason
-from pageforge.operators.extract import extract_fields, page_metadata
+from pageforge.operators.extract import extract_fields
 from pageforge.operators.keys import content_id, union_all
 from pageforge.operators.quality import required_field_errors, validation_failure
 from pageforge.operators.robots import check_robots
@@ -82,9 +82,8 @@ def ingest(
             "html": F.when(F.col("refused").isNull(), F.col("html")),
         }
     ).select(*kept, "url", "html")
-    described = page_metadata(fetched)
     meta = ["page_title", "links_found", "images_found"]
-    extracted = extract_fields(described, chosen, problems="selector_errors")
+    extracted = extract_fields(fetched, chosen, problems="selector_errors", metadata=True)
     # Field columns that clash with kept names do not occur: selectors name record fields.
     processed = process(extracted, content_type, keep=["url", "html", *kept, *meta, "selector_errors"])
     checked = processed.withColumn("_missing", required_field_errors(processed, spec.required))
