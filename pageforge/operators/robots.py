@@ -97,10 +97,8 @@ def agent_rules(snapshots: DataFrame, user_agent: str = "*") -> DataFrame:
 
 def rules_allow(rules: Column, path: Column) -> Column:
     """First rule in file order whose path starts the URL path; none allows.
-    An empty Disallow allows everything; ``*`` matches everything."""
-    hit = F.get(
-        F.filter(rules, lambda r: (r["path"] == "*") | path.startswith(r["path"])), F.lit(0)
-    )
+    An empty Disallow allows everything; ``*`` in a path is an ordinary character."""
+    hit = F.get(F.filter(rules, lambda r: path.startswith(r["path"])), F.lit(0))
     return F.coalesce(hit["allow"] | (hit["path"] == ""), F.lit(True))
 
 
