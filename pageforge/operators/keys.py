@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder, so that a frame that is read more
-    than once is computed once and survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write a frame to the shared folder and read it back.
+
+    A frame that is read more than once is then computed once, survives lost
+    executors, and is read by column. The folder is scratch space of the job.
+    """
+    path = f"{shared_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def first_ids(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -34,11 +37,21 @@ def first_ids(df: DataFrame, key: str, order: str) -> DataFrame:
     return keyed.unionByName(df.where(F.col(key).isNull()).select(order))
 
 
+def only(df: DataFrame, ids: DataFrame, order: str) -> DataFrame:
+    """Rows of ``df`` whose unique ``order`` is among ``ids``, which hold most of them.
+
+    The rows to drop are found on the ids alone. When they are few, adaptive
+    execution broadcasts them and the payload is not shuffled; when they are
+    many, the join runs on a unique column and cannot be skewed.
+    """
+    dropped = df.select(order).join(ids, order, "left_anti")
+    return df.join(dropped, order, "left_anti")
+
+
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """First row per key in insert order. The payload is joined on the unique
-    order value and never gathers by key. ``df`` is read twice: hand over a
-    stored or settled frame when it is costly to compute."""
-    return df.join(first_ids(df, key, order), order, "left_semi")
+    """First row per key in insert order. ``df`` is read more than once: hand over
+    a stored or settled frame when it is costly to compute."""
+    return only(df, first_ids(df, key, order), order)
 
 
 def accept_inserts(df: DataFrame, keys, order: str, stored: DataFrame | None = None) -> DataFrame:
@@ -72,7 +85,7 @@ def accept_inserts(df: DataFrame, keys, order: str, stored: DataFrame | None = N
                 rest = rest.join(into.where(F.col(key).isNotNull()).select(key), key, "left_anti")
             pending = settle(rest.select(order, *keys))
         winners = union_all(rounds) if rounds else pending.select(order)
-    return df.join(winners, order, "left_semi")
+    return only(df, winners, order)
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

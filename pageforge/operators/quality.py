@@ -87,8 +87,8 @@ def url_list_errors(lists: DataFrame, list_id: str, urls: str, max_count: int =
     """Messages for lists of URLs: ``(list_id, pos, n, message)``.
 
     Position -1 holds list-level messages; ``n`` numbers the messages of one
-    position. Duplicates are found by aggregating first positions and joining
-    them back, so that a URL repeated without end does not gather in one task.
+    position. First positions are aggregated per URL and joined back on the
+    unique (list, position), so a URL repeated without end gathers in no task.
     """
     size = F.size(F.coalesce(F.col(urls), F.array().cast(STRINGS)))
     whole = lists.select(
@@ -104,12 +104,13 @@ def url_list_errors(lists: DataFrame, list_id: str, urls: str, max_count: int =
     )
     entries = lists.select(list_id, F.posexplode(urls).alias("pos", "url")).withColumn("_key", strip(F.col("url")))
     firsts = (
-        entries.where(F.col("_key").rlike("^https?://")).groupBy(list_id, "_key").agg(F.min("pos").alias("_first"))
-    )
-    placed = entries.join(firsts, [list_id, "_key"], "left")
+        entries.where(F.col("_key").rlike("^https?://")).groupBy(list_id, "_key").agg(F.min("pos").alias("pos"))
+    ).select(list_id, "pos", F.lit(True).alias("_first"))
+    placed = entries.join(firsts, [list_id, "pos"], "left")
+    repeated = F.col("_first").isNull() & F.col("_key").rlike("^https?://")
     single = placed.select(
         list_id, "pos",
-        url_entry_messages(F.col("url"), F.col("pos"), F.coalesce(F.col("pos") > F.col("_first"), F.lit(False))).alias("messages"),
+        url_entry_messages(F.col("url"), F.col("pos"), F.coalesce(repeated, F.lit(False))).alias("messages"),
     )
     return whole.unionByName(single).select(list_id, "pos", F.posexplode("messages").alias("n", "message"))
 

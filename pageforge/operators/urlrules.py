@@ -138,7 +138,7 @@ def screen(df: DataFrame, url: str = "url", reason: str = "reason") -> DataFrame
 
 def screen_against(df: DataFrame, blocklist: DataFrame, url: str = "url", domain: str = "domain") -> DataFrame:
     """Crawlable URLs under a block list given as a table of exact host names."""
-    names = blocklist.select(F.lower(domain).alias("_host")).distinct()
+    names = blocklist.select(F.lower(domain).alias("_host"))
     valid = df.where(url_reject_reason(F.col(url), blocked=()).isNull())
     return valid.withColumn("_host", host_of(F.col(url))).join(names, "_host", "left_anti").drop("_host")
 
