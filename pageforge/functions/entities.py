@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -37,8 +37,8 @@ CONTROL_CHARS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f]"
 def _rare_udf(level: str):
     """Arrow UDF for texts with rare entities; nulls pass through.
 
-    The function is nested so that it travels by value: executors need pandas,
-    not this package. Levels: "decode" (entities only), "join" (pieces decoded,
+    The function is nested so that it travels by value: executors need pyarrow,
+    not this package. Batches without a rare entity go back as they came. Levels: "decode" (entities only), "join" (pieces decoded,
     stripped and joined), "clean" (every piece cleaned, seams kept).
 
     Marked non-deterministic, which it is not, to keep the optimizer from
@@ -47,10 +47,15 @@ def _rare_udf(level: str):
     """
     seam, controls = SEAM, CONTROL_CHARS
 
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: pa.Array) -> pa.Array:
         import html
         import re
 
+        import pyarrow as pa
+
+        if texts.null_count == len(texts):
+            return texts
+
         def join(text):
             return re.sub(r"\s+", " ", "".join(html.unescape(p).strip() for p in text.split(seam)))
 
@@ -59,9 +64,9 @@ def _rare_udf(level: str):
             return seam.join(re.sub(controls, "", p) for p in pieces)
 
         work = {"decode": html.unescape, "join": join, "clean": clean}[level]
-        return texts.map(work, na_action="ignore")
+        return pa.array([None if t is None else work(t) for t in texts.to_pylist()], pa.string())
 
-    return F.pandas_udf(run, StringType()).asNondeterministic()
+    return F.arrow_udf(run, StringType()).asNondeterministic()
 
 
 def has_rare_entity(c: Column) -> Column:

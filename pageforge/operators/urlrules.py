@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageforge.functions.urls import host_of, normalize_url, url_reject_reason
-from pageforge.operators.keys import keep_first
 
 KINDS = ("whitelist_patterns", "blacklist_patterns", "regex_whitelist", "regex_blacklist")
 # Patterns are joined into alternations of at most this many characters, so
@@ -153,5 +152,11 @@ def remove_blocked(blocklist: DataFrame, removed: DataFrame, domain: str = "doma
 
 
 def unique_urls(df: DataFrame, order: str, url: str = "url") -> DataFrame:
-    """First row per normal form of the URL."""
-    return keep_first(df.withColumn("normalized", normalize_url(F.col(url))), "normalized", order)
+    """First row per normal form of the URL: ``(normalized, order, url)``.
+
+    One pass and one shuffle, combined before the shuffle. To drop repeats from
+    a wide table, keep its rows with ``keys.only`` on the order values.
+    """
+    first = F.min(F.struct(F.col(order), F.col(url))).alias("_first")
+    found = df.groupBy(normalize_url(F.col(url)).alias("normalized")).agg(first)
+    return found.select("normalized", f"_first.{order}", f"_first.{url}")

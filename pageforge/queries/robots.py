@@ -21,8 +21,10 @@ derived(
       AS timestamp) AS fetched_at, CASE WHEN origin LIKE '%//www.%' THEN 404 ELSE 200 END AS status, {_LINES} AS content
     FROM o WHERE origin NOT LIKE '%//m.%'
     UNION ALL
-    SELECT concat(origin, k), origin, cast(t AS timestamp), 200, concat('User-agent: *', chr(10), 'Disallow: /')
-    FROM o CROSS JOIN (SELECT '#0' AS k, '2024-01-01 11:10:00' AS t UNION ALL SELECT '#2', '2024-01-01 12:00:01') AS v
+    SELECT concat(origin, '#0'), origin, cast('2024-01-01 11:10:00' AS timestamp), 200, concat('User-agent: *', chr(10), 'Disallow: /') FROM o
+    WHERE origin NOT LIKE '%//m.%' AND origin NOT LIKE '%//blog.%' AND origin NOT LIKE '%//www.%'
+    UNION ALL
+    SELECT concat(origin, '#2'), origin, cast('2024-01-01 12:00:01' AS timestamp), 200, concat('User-agent: *', chr(10), 'Disallow: /') FROM o
     WHERE origin NOT LIKE '%//m.%' AND origin NOT LIKE '%//blog.%' AND origin NOT LIKE '%//www.%'
     """,
     "pages",
