@@ -358,8 +358,12 @@ def page_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title\b[^>]*+>(.*?)</title\s*+>", 1)
 
 
+def is_link(tag: Column) -> Column:
+    return (tag["name"] == "a") & (tag["kind"] != "close") & _test(tag["raw"], "href", "", "")
+
+
 def link_tags(tags: Column) -> Column:
-    return F.filter(tags, lambda t: (t["name"] == "a") & (t["kind"] != "close") & _test(t["raw"], "href", "", ""))
+    return F.filter(tags, is_link)
 
 
 def image_tags(tags: Column) -> Column:

@@ -141,6 +141,14 @@ def slug(title: Column) -> Column:
     return F.when(title != "", F.trim(dashed, F.lit("-")))
 
 
+def keyword_candidates(lowered: Column) -> Column:
+    """Words of three or more plain letters that are no stop words, in order of use.
+    Stop words are passed over by the pattern itself."""
+    stop = "|".join(w for w in STOP_WORDS if len(w) >= 3)
+    pattern = rf"(?<![{WORD_CHAR}])(?!(?:{stop})(?![{WORD_CHAR}]))[a-z]{{3,}}+(?![{WORD_CHAR}])"
+    return F.regexp_extract_all(lowered, F.lit(pattern), F.lit(0))
+
+
 def keywords(content: Column, title: Column) -> Column:
     """Up to ten words used more than once, most used first, ties by first use.
 
@@ -149,11 +157,7 @@ def keywords(content: Column, title: Column) -> Column:
     quadratic pass, whatever the length of the text.
     """
     text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), content))
-    # Stop words are passed over by the pattern itself; order of use is kept.
-    stop = "|".join(w for w in STOP_WORDS if len(w) >= 3)
-    pattern = rf"(?<![{WORD_CHAR}])(?!(?:{stop})(?![{WORD_CHAR}]))[a-z]{{3,}}+(?![{WORD_CHAR}])"
-    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kept = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+    kept = F.transform(keyword_candidates(text), lambda w, i: F.struct(w.alias("w"), i.alias("i")))
     leaders_type = "array<struct<rank:int,i:int,w:string>>"
     start = F.struct(
         F.lit(None).cast("string").alias("w"),

@@ -182,9 +182,21 @@ def page_metadata(pages: DataFrame, html: str = "html") -> DataFrame:
 
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
-    """One row per link: ``(key, url, pos, href)``, href resolved against the page."""
-    tagged = with_tags(pages.select(key, url, html), html).select(key, url, TAGS)
-    one = tagged.select(key, url, F.posexplode(H.link_tags(F.col(TAGS))).alias("pos", "tag"))
-    raw = one.select(key, url, "pos", H.attribute(F.col("tag.raw"), "href").alias("href"))
-    decoded = raw.withColumn("href", decode_entities(F.col("href")))
+    """One row per link: ``(key, url, pos, href, text)``, href resolved against the page.
+
+    Links do not nest: a link's text ends at the next ``a`` tag of either kind.
+    """
+    tagged = with_tags(pages.select(key, url, html), html).select(
+        key, url, TOKENS, F.filter(TAGS, lambda t: t["name"] == "a").alias("_anchors")
+    )
+    tokens, anchors = F.col(TOKENS), F.col("_anchors")
+
+    def link(tag: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(anchors, k + 1)["i"], F.size(tokens))
+        pieces = F.array_join(H.text_pieces(tokens, tag["i"], end), SEAM)
+        return F.when(H.is_link(tag), F.struct(tag["raw"].alias("raw"), pieces.alias("text")))
+
+    one = tagged.select(key, url, F.posexplode(F.array_compact(F.transform(anchors, link))).alias("pos", "link"))
+    raw = one.select(key, url, "pos", H.attribute(F.col("link.raw"), "href").alias("href"), "link.text")
+    decoded = raw.withColumns({"href": decode_entities(F.col("href")), "text": join_seamed(F.col("text"))})
     return decoded.withColumn("href", absolute_link(F.col(url), F.col("href")))

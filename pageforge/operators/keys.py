@@ -135,6 +135,12 @@ def content_id(*parts: Column) -> Column:
     return F.concat_ws("-", *[F.substring(digest, at, n) for at, n in cuts])
 
 
+def random_id() -> Column:
+    """Random identifier in the same layout. It differs on every evaluation: use it
+    only for rows that are written once and never recomputed."""
+    return F.uuid()
+
+
 def find_by_id(df: DataFrame, value, column: str = "id") -> DataFrame:
     return df.where(F.col(column) == value)
 

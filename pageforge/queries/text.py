@@ -137,6 +137,16 @@ def text_top_terms(docs):
     return one.groupBy("keyword").agg(F.count("*").alias("documents"))
 
 
+@query("text_term_frequency", "titled", f"WITH {KEYWORD_SQL} SELECT w AS word, sum(n)::bigint AS uses, count(*) AS documents FROM counted GROUP BY w")
+def text_term_frequency(docs):
+    """Corpus term frequency: counted per row first, so that one word per row and
+    document is shuffled at most, and combined before the shuffle."""
+    text = F.lower(F.concat("title", F.lit(" "), "content"))
+    words = docs.select("doc_id", F.explode(X.keyword_candidates(text)).alias("word"))
+    per_document = words.groupBy("word", "doc_id").agg(F.count("*").alias("n"))
+    return per_document.groupBy("word").agg(F.sum("n").alias("uses"), F.count("*").alias("documents"))
+
+
 def _hits(column: str, words) -> str:
     return " + ".join(f"cast(contains({column}, '{w}') AS int)" for w in words)
 

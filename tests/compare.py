@@ -24,7 +24,7 @@ def plain(v):
     if v is None:
         return None
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 9)
+        return "nan" if math.isnan(v) else v
     if isinstance(v, bool):
         return v
     if isinstance(v, int):

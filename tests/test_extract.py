@@ -87,7 +87,7 @@ def test_metadata_and_links(spark):
         "page_id int, url string, html string")
     got = page_metadata(df).first()
     assert (got.page_title, got.links_found, got.images_found) == ("A & B", 1, 1)
-    assert [tuple(r) for r in links(df).collect()] == [(1, "https://h.org/a", 0, "https://h.org/x?a&b")]
+    assert [tuple(r) for r in links(df).collect()] == [(1, "https://h.org/a", 0, "https://h.org/x?a&b", "1")]
 
 
 def test_extraction_matches_an_independent_parser(spark):
