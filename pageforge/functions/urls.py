@@ -1,17 +1,19 @@
 """URL expressions: splitting, validity, normal form, domain, resolution.
 
-All of them are plain Column expressions; a URL is split with substring
-functions and a single scheme regex so that a filter stays inside codegen.
+All of them are plain Column expressions. A URL is cut once, by one regex, and
+every check reads the pieces, so an expression stays small however many parts
+it uses.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pageforge.functions.base import WS, any_contains, count_of, let, squeezed_strip, strip
+from pageforge.functions.base import any_contains, count_of, let, squeezed_strip, strip
 
 # Hosts that are never crawled (exact host match).
 BLOCKED_DOMAINS = (
@@ -25,12 +27,13 @@ SKIP_EXTENSIONS = (
     ".png", ".gif", ".bmp", ".svg", ".ico", ".css", ".js", ".xml", ".json", ".txt", ".log",
 )
 
-# Regexes searched in the lower-cased URL. The dot before "env"
+# Texts searched in the lower-cased URL, and one pattern whose dot
 # is unescaped on purpose: any character followed by "env" counts.
-SUSPICIOUS_PATTERNS = (
-    r"\.\./", r"%2e%2e%2f", r"%252e%252e%252f", r"file://", r"ftp://", r"sftp://",
-    r"admin", r"login", r"password", r"secret", r"wp-admin", r"wp-login", r".env", r"config",
+SUSPICIOUS_TEXTS = (
+    "../", "%2e%2e%2f", "%252e%252e%252f", "file://", "ftp://", "sftp://",
+    "admin", "login", "password", "secret", "wp-admin", "wp-login", "config",
 )
+SUSPICIOUS_ENV = ".env"
 
 # IPv4 ranges that count as private, loopback or link-local
 # (0/8 10/8 127/8 169.254/16 172.16/12 192.0.0/24 192.0.2/24 192.168/16
@@ -58,21 +61,24 @@ _PARAM_SCHEMES = ("", "ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp"
                   "sip", "sips", "mms", "sftp", "tel")
 
 
-# Leading control characters and spaces, and line breaks anywhere, are not part
-# of a URL; the second form strips white space at both ends as well.
-_UNSAFE = r"^[\x00-\x20]+|[\t\r\n]"
-_UNSAFE_OR_OUTER = rf"(?U)^[\x00-\x20\s]+|{WS}+\z|[\t\r\n]"
-
-_SCHEME = r"(?:([A-Za-z][A-Za-z0-9+.\-]*):)?"
-_SPLIT = rf"^{_SCHEME}(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
-_HOST = rf"^{_SCHEME}//(?:[^/?#]*@)?(\[[^\]/?#]*|[^/?#:\[]*)"
+# White space as Python strips it, and the characters a URL may not start with.
+_OUTER = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_LEADING = "".join(map(chr, range(33)))
+
+# One regex cuts a URL into scheme, network location, host, path and query;
+# the pieces are joined by a noncharacter and split into an array.
+_CUT = "\ufdd1"
+_PIECES = (
+    r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?"
+    r"(?://((?:[^/?#]*@)?(\[[^\]/?#]*|[^/?#:\[]*)[^/?#]*))?([^?#]*)(?:\?([^#]*))?.*\z"
+)
 
 
 @dataclass(frozen=True)
 class UrlParts:
-    """Parts of a URL. Every part is one regex over the URL, so that an
-    expression that uses many parts stays small and is shared by codegen."""
-
     scheme: Column
     netloc: Column
     path: Column
@@ -81,46 +87,53 @@ class UrlParts:
     malformed: Column
 
 
-def split_url(url: Column, outer: bool = False) -> UrlParts:
-    """Scheme, network location, path (without ``;params``), query, host name.
+def with_parts(url: Column, body: Callable[[UrlParts], Column], outer: bool = False) -> Column:
+    """Evaluate ``body`` on the parts of a URL, which is cut once.
 
-    ``outer`` strips surrounding white space first.
+    The path comes without ``;params``. ``outer`` strips surrounding white space
+    first; leading control characters and line breaks never belong to a URL.
     """
-    clean = F.regexp_replace(url, _UNSAFE_OR_OUTER if outer else _UNSAFE, "")
-    scheme = F.lower(F.regexp_extract(clean, _SPLIT, 1))
-    netloc = F.regexp_extract(clean, _SPLIT, 2)
-    full_path = F.regexp_extract(clean, _SPLIT, 3)
-    path = F.when(
-        full_path.contains(";") & scheme.isin(*_PARAM_SCHEMES), F.regexp_replace(full_path, r";[^/]*\z", "")
-    ).otherwise(full_path)
-    host = F.ltrim(F.lower(F.regexp_extract(clean, _HOST, 2)), F.lit("["))
-    malformed = netloc.contains("[") != netloc.contains("]")
-    return UrlParts(scheme, netloc, path, F.regexp_extract(clean, _SPLIT, 4), host, malformed)
+    stripped = F.btrim(url, F.lit(_OUTER)) if outer else url
+    clean = F.translate(F.ltrim(stripped, F.lit(_LEADING)), "\t\r\n", "")
+
+    def read(pieces: Column) -> Column:
+        scheme, netloc, full_path = F.lower(F.get(pieces, F.lit(0))), F.get(pieces, F.lit(1)), F.get(pieces, F.lit(3))
+        path = F.when(
+            full_path.contains(";") & scheme.isin(*_PARAM_SCHEMES), F.regexp_replace(full_path, r";[^/]*\z", "")
+        ).otherwise(full_path)
+        host = F.ltrim(F.lower(F.get(pieces, F.lit(2))), F.lit("["))
+        malformed = netloc.contains("[") != netloc.contains("]")
+        return body(UrlParts(scheme, netloc, path, F.get(pieces, F.lit(4)), host, malformed))
+
+    return let(F.split(F.regexp_replace(clean, _PIECES, _CUT.join(f"${k}" for k in range(1, 6))), _CUT), read)
 
 
 def domain_of(url: Column) -> Column:
     """Lower-cased network location, user info and port kept; empty when absent."""
-    parts = split_url(url)
-    return F.coalesce(F.when(parts.malformed, "").otherwise(F.lower(parts.netloc)), F.lit(""))
+    domain = with_parts(url, lambda p: F.when(p.malformed, "").otherwise(F.lower(p.netloc)))
+    return F.coalesce(domain, F.lit(""))
 
 
 def same_domain(left: Column, right: Column) -> Column:
     return domain_of(left) == domain_of(right)
 
 
+def scheme_of(url: Column) -> Column:
+    return with_parts(url, lambda p: p.scheme, outer=True)
+
+
 def url_path(url: Column) -> Column:
-    return split_url(url).path
+    return with_parts(url, lambda p: p.path)
 
 
 def origin_of(url: Column) -> Column:
     """``scheme://netloc``, the key under which robots rules are kept."""
-    parts = split_url(url)
-    return F.concat(parts.scheme, F.lit("://"), parts.netloc)
+    return with_parts(url, lambda p: F.concat(p.scheme, F.lit("://"), p.netloc))
 
 
 def host_of(url: Column) -> Column:
     """Host name without user info, port or brackets, lower-cased; empty when absent."""
-    return split_url(url, outer=True).host
+    return with_parts(url, lambda p: p.host, outer=True)
 
 
 def is_private_host(host: Column) -> Column:
@@ -136,11 +149,14 @@ _ENDINGS = r"(?i)\.(?:" + "|".join(e[1:] for e in SKIP_EXTENSIONS) + r")\z"
 
 
 def has_skipped_extension(url: Column) -> Column:
-    return split_url(url, outer=True).path.rlike(_ENDINGS)
+    return with_parts(url, lambda p: p.path.rlike(_ENDINGS), outer=True)
 
 
 def has_suspicious_pattern(url: Column) -> Column:
-    return F.lower(url).rlike("|".join(SUSPICIOUS_PATTERNS))
+    def search(lowered: Column) -> Column:
+        return any_contains(lowered, SUSPICIOUS_TEXTS) | (lowered.contains("env") & lowered.rlike(SUSPICIOUS_ENV))
+
+    return let(F.lower(url), search)
 
 
 def url_reject_reason(url: Column, blocked: tuple[str, ...] = BLOCKED_DOMAINS) -> Column:
@@ -149,19 +165,21 @@ def url_reject_reason(url: Column, blocked: tuple[str, ...] = BLOCKED_DOMAINS) -
     ``blocked`` is the exact-host block list; an empty list switches that check
     off (used when the list is applied as an anti join instead).
     """
-    parts = split_url(url, outer=True)
-    reason = (
-        F.when(url.isNull() | (url == ""), "empty")
-        .when(parts.malformed, "malformed")
-        .when(~parts.scheme.isin("http", "https"), "scheme")
-        .when(parts.host == "", "host")
-    )
-    if blocked:
-        reason = reason.when(parts.host.isin(*blocked), "blocked_domain")
-    return (
-        reason.when(is_private_host(parts.host), "private_address")
-        .when(parts.path.rlike(_ENDINGS), "skipped_extension")
-        .when(has_suspicious_pattern(url), "suspicious_pattern")
+
+    def checks(parts: UrlParts) -> Column:
+        reason = (
+            F.when(parts.malformed, "malformed")
+            .when(~parts.scheme.isin("http", "https"), "scheme")
+            .when(parts.host == "", "host")
+        )
+        if blocked:
+            reason = reason.when(parts.host.isin(*blocked), "blocked_domain")
+        return reason.when(is_private_host(parts.host), "private_address").when(
+            parts.path.rlike(_ENDINGS), "skipped_extension"
+        )
+
+    return F.when(url.isNull() | (url == ""), "empty").otherwise(
+        F.coalesce(with_parts(url, checks, outer=True), F.when(has_suspicious_pattern(url), "suspicious_pattern"))
     )
 
 
@@ -171,14 +189,17 @@ def is_valid_url(url: Column, blocked: tuple[str, ...] = BLOCKED_DOMAINS) -> Col
 
 def normalize_url(url: Column) -> Column:
     """Normal form for deduplication: no fragment, sorted query, bare root."""
-    parts = split_url(url, outer=True)
-    sorted_query = F.array_join(F.array_sort(F.split(parts.query, "&")), "&")
-    joined = F.concat(
-        parts.scheme, F.lit("://"), parts.netloc, parts.path,
-        F.when(parts.query != "", F.concat(F.lit("?"), sorted_query)).otherwise(""),
-    )
-    bare = F.when(F.length(parts.path) <= 1, F.rtrim(joined, F.lit("/"))).otherwise(joined)
-    return F.when(parts.malformed, url).otherwise(bare)
+
+    def build(parts: UrlParts) -> Column:
+        sorted_query = F.array_join(F.sort_array(F.split(parts.query, "&")), "&")
+        joined = F.concat(
+            parts.scheme, F.lit("://"), parts.netloc, parts.path,
+            F.when(parts.query != "", F.concat(F.lit("?"), sorted_query)).otherwise(""),
+        )
+        bare = F.when(F.length(parts.path) <= 1, F.rtrim(joined, F.lit("/"))).otherwise(joined)
+        return F.when(parts.malformed, url).otherwise(bare)
+
+    return with_parts(url, build, outer=True)
 
 
 def has_http_protocol(url: Column) -> Column:

@@ -102,7 +102,7 @@ def url_reject_counts(urls):
     " WHERE scheme IN ('http', 'https') AND host <> '' ",
 )
 def url_private_host(urls):
-    web = urls.where(U.split_url(F.col("url"), outer=True).scheme.isin("http", "https"))
+    web = urls.where(U.scheme_of(F.col("url")).isin("http", "https"))
     host = web.select("page_id", U.host_of(F.col("url")).alias("host")).where("host <> ''")
     return host.withColumn("private", U.is_private_host(F.col("host")))
 
