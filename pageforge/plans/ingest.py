@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pageforge.functions.urls import url_reject_reason
 from pageforge.operators.extract import extract_fields
-from pageforge.operators.keys import content_id, union_all
+from pageforge.operators.keys import content_id, keep_first, union_all
 from pageforge.operators.quality import required_field_errors, validation_failure
 from pageforge.operators.robots import check_robots
 from pageforge.plans.content import process, supported_types, type_of
@@ -24,9 +24,12 @@ RESULT_COLUMNS = (
 
 
 def with_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Every request with the html of its page; null where no page has landed."""
-    landed = pages.select("url", "html").withColumn("_landed", F.lit(True))
-    return requests.join(landed, "url", "left")
+    """Every request once, with the html of its page; null where no page has landed.
+
+    Of pages that landed twice under one URL the first (by page_id) is taken.
+    """
+    landed = keep_first(pages.select("page_id", "url", "html"), "url", "page_id")
+    return requests.join(landed.select("url", "html"), "url", "left")
 
 
 def _with_defaults(requests: DataFrame) -> DataFrame:

@@ -229,6 +229,14 @@ def test_ingest_then_insert(spark, tmp_path):
     assert len(table[0].id) == 36 and '"html":"<h1>T</h1>' in table[0].raw_data
 
 
+def test_one_result_per_request(spark):
+    pages = spark.createDataFrame(
+        [(2, "https://a.org", "<h1>b</h1><article>x</article>"), (1, "https://a.org", "<h1>a</h1><article>x</article>")], readers.PAGE_SCHEMA)
+    requests = spark.createDataFrame([(1, "https://a.org"), (2, "https://a.org"), (3, "https://b.org")], "request_id bigint, url string")
+    got = {r.request_id: (r.success, r.data.title if r.data else None) for r in ingest(requests, "article", pages=pages).collect()}
+    assert got == {1: (True, "a"), 2: (True, "a"), 3: (False, None)}
+
+
 def test_page_readers(spark, tmp_path):
     df = spark.createDataFrame([(1, "https://a.org", "<h1>x</h1>")], "page_id bigint, url string, html string")
     df.write.json(str(tmp_path / "j"))
