@@ -52,8 +52,9 @@ def any_contains(c: Column, needles) -> Column:
 
 
 def hits(c: Column, needles) -> Column:
-    """How many of the needles occur in ``c`` (each counted once per listing)."""
-    total = F.lit(0)
-    for needle in needles:
-        total = total + c.contains(needle).cast("int")
-    return total
+    """How many of the needles occur in ``c`` (each counted once per listing).
+
+    ``c`` is read once per needle: pass a column or a bound value, not a computation.
+    """
+    listed = F.expr("array(" + ", ".join(f"'{n}'" for n in needles) + ")")
+    return F.size(F.filter(listed, lambda needle: F.contains(c, needle)))

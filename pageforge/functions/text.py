@@ -186,25 +186,28 @@ def keywords(content: Column, title: Column) -> Column:
 
 def language(content: Column) -> Column:
     """Guess en, es or fr by marker substrings; empty and null content give en."""
-    lowered = F.lower(content)
-    en, es, fr = (hits(lowered, LANGUAGE_MARKS[k]) for k in ("en", "es", "fr"))
-    guess = (
-        F.when((en > es) & (en > fr), "en").when(es > fr, "es").when(fr > 0, "fr").otherwise("en")
-    )
-    return guess
+
+    def guess(found: Column) -> Column:
+        en, es, fr = found["en"], found["es"], found["fr"]
+        return F.when((en > es) & (en > fr), "en").when(es > fr, "es").when(fr > 0, "fr").otherwise("en")
+
+    def count(lowered: Column) -> Column:
+        return let(F.struct(*[hits(lowered, marks).alias(k) for k, marks in LANGUAGE_MARKS.items()]), guess)
+
+    return let(F.lower(F.coalesce(content, F.lit(""))), count)
 
 
 def topic(content: Column, title: Column) -> Column:
     """Topic with most keyword substrings; ties go to the first listed; none gives general."""
-    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), content))
-    scored = F.array(
-        *[
+
+    def best(text: Column) -> Column:
+        scored = [
             F.struct(hits(text, words).alias("score"), F.lit(-k).alias("place"), F.lit(name).alias("topic"))
             for k, (name, words) in enumerate(TOPIC_WORDS.items())
         ]
-    )
-    best = F.array_max(scored)
-    return F.when(best["score"] > 0, best["topic"]).otherwise("general")
+        return let(F.array_max(F.array(*scored)), lambda b: F.when(b["score"] > 0, b["topic"]).otherwise("general"))
+
+    return let(F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), content)), best)
 
 
 def _first_match(text: Column, groups: dict[str, list[str]]) -> Column:
