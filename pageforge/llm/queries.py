@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageforge.llm import quality_rules
+from pageforge.llm import mixing, packing, quality_rules
 from pageforge.llm.common import documents
 
 
+def tokenizer_path(name: str = packing.TOKENIZER) -> str:
+    """Path of a public tokenizer's file, which is the same on every machine."""
+    import public_tokenizers
+
+    return os.fspath(public_tokenizers.path(name))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan(documents(spark, sf_dir))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_nth")
+    taken = F.col("size") * F.size("copies")
+    return plan.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "copies", each).drop("_nth")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_path())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.judge(documents(spark, sf_dir), labels).select(
@@ -16,5 +36,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op9_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op6_packing, op9_quality_rules)}
 SQL: dict[str, str] = {}
