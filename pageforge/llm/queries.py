@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageforge.llm import mixing, packing, quality_rules
+from pageforge.llm import line_dedup, mixing, packing, quality_rules
 from pageforge.llm.common import documents
 
 
@@ -29,6 +29,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.judge(documents(spark, sf_dir), labels).select(
@@ -36,5 +40,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op6_packing, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op6_packing, op7_line_dedup, op9_quality_rules)}
 SQL: dict[str, str] = {}
