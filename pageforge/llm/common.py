@@ -55,3 +55,26 @@ def release(spark: SparkSession) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def whole_runs(batches, keys: list[str]):
+    """Arrow tables that hold only complete runs of equal keys, from batches sorted by them."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        cut = 0
+        for k in keys:
+            values = table.column(k).to_numpy()
+            changes = np.flatnonzero(values[1:] != values[:-1])
+            cut = max(cut, int(changes[-1]) + 1 if len(changes) else 0)
+        if cut:
+            yield table.slice(0, cut)
+        held = table.slice(cut)
+    if held is not None and held.num_rows:
+        yield held

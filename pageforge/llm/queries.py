@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageforge.llm import line_dedup, mixing, packing, quality_rules
+from pageforge.llm import line_dedup, mixing, ngram_join, packing, quality_rules
 from pageforge.llm.common import documents
 
 
@@ -40,5 +40,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op6_packing, op7_line_dedup, op9_quality_rules)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op6_packing, op7_line_dedup, op9_quality_rules, op10_ngram_join)}
 SQL: dict[str, str] = {}
