@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageforge.llm import line_dedup, mixing, ngram_join, packing, quality_rules
+from pageforge.llm import line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, topk
 from pageforge.llm.common import documents
 
 
@@ -25,6 +25,16 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "copies", each).drop("_nth")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return topk.top_k(vectors, lambda key: key % 50 == 0, k=5)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.score(docs, quality_classifier.fit(docs, labels))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -44,5 +54,21 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op6_packing, op7_line_dedup, op9_quality_rules, op10_ngram_join)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_topk, op5_quality_classifier, op6_packing, op7_line_dedup, op9_quality_rules, op10_ngram_join)}
+SQL: dict[str, str] = {
+    "op4_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS z
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.z) + 1), lambda i: q.z[i] * c.z[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.z) = len(c.z)
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+}
