@@ -18,7 +18,9 @@ packed one by one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -31,7 +33,9 @@ TIERS = (1024, 512, 256, 128)
 STEP_TOKENS, LANES = 65_536, 8
 END_ID = 0
 # Tokens that wait for a better fit before a task packs them, and remembered pieces of text.
-WAITING, REMEMBERED = 65_536, 200_000
+WAITING, REMEMBERED = 65_536, 150_000
+# Fixed value: how byte-level BPE files of this family cut texts into pieces.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 SCHEMA = (
     "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -39,6 +43,25 @@ SCHEMA = (
 )
 
 
+def byte_bpe(path: str):
+    """A fast encoder with the vocabulary of a byte-level BPE file of ``tokenizers``; it gives the same ids.
+
+    In such a file ids follow the order of merges, so they serve as merge ranks.
+    Bytes stand in it as printable characters: visible Latin-1 as themselves,
+    the others in order from code point 256 on.
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in shown]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(other)}
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}
+    ranks = {bytes(byte[c] for c in t): i for t, i in file["model"]["vocab"].items() if t not in special}
+    return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+
 class Ids:
     """Ids of texts as little-endian bytes, remembered per piece of text.
 
@@ -47,35 +70,31 @@ class Ids:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.encoder = byte_bpe(path)
+        self.lengths = np.array([len(self.encoder.decode_single_token_bytes(i)) for i in range(self.encoder.n_vocab)])
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        cut, fresh, whole = [], set(), []
-        for t in texts:
-            if "  " in t or t[:1] == " " or t[-1:] == " ":
-                cut.append(None)
-                whole.append(t)
-                continue
-            first, *rest = t.split(" ")
-            parts = [first, *map(" ".__add__, rest)]
-            fresh.update(parts)
-            cut.append(parts)
-        fresh.discard("")
-        fresh.difference_update(self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            fresh = {p for parts in cut if parts for p in parts} - {""}
-            self.known = {}
-        new = list(fresh)
-        known = self.known = self.known | dict(zip(new, self._encode(new)))
-        known[""] = b""
-        spare = iter(self._encode(whole))
-        return [next(spare) if parts is None else b"".join([known[p] for p in parts]) for parts in cut]
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.encoder.encode(text, allowed_special="all"), "<u4")
+
+    def of(self, text: str) -> bytes:
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return self._encode(text).tobytes()
+        first, *rest = text.split(" ")
+        got = list(map(self.known.get, rest))
+        fresh = [i for i, g in enumerate(got) if g is None]
+        if fresh:
+            # All new parts in one call; where a part ends is seen from the tokens' lengths in bytes.
+            parts = [rest[i] for i in fresh]
+            ids = self._encode(" " + " ".join(parts))
+            ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+            cuts = (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1).tolist()
+            raw, at = ids.tobytes(), 0
+            for i, p, to in zip(fresh, parts, cuts):
+                got[i], at = raw[4 * at : 4 * to], to
+                if len(self.known) < REMEMBERED:
+                    self.known[p] = got[i]
+        return self._encode(first).tobytes() + b"".join(got)
 
 
 class Packer:
@@ -170,14 +189,13 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
         key_type = pa.int64()
-        end = np.array([END_ID], "<u4").tobytes()
+        end = array("I", [END_ID]).tobytes()
         for batch in batches:
             key_type = batch.column(0).type
             keys = batch.column(0).to_pylist()
             for at in range(0, len(keys), 256):
-                texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
-                for key, got in zip(keys[at : at + 256], ids.of(texts)):
-                    packer.add(key, got + end)
+                for key, text in zip(keys[at : at + 256], batch.column(1).slice(at, 256)):
+                    packer.add(key, ids.of(text.as_py() or "") + end)
                 packer.pack(WAITING)
                 if len(packer.rows) > 20_000:
                     yield out()
