@@ -36,6 +36,8 @@ from pageforge.llm.common import let, release, settle, words
 # Similarity as a fraction.
 NUM, DEN = 4, 5
 BUCKETS = 65_536
+# Sets up to this size have a sketch of 64 bits, larger ones of 128.
+SHORT = 96
 # Sets of fewer words have no other set at this similarity.
 LEAST_WORDS = NUM
 
@@ -66,11 +68,23 @@ def _codes(line: Column, levels: list[int]) -> Column:
     return F.sort_array(F.array_distinct(F.transform(hashes, code)))
 
 
-def _parity(codes: Column, half: int) -> Column:
-    """One half of a 128-bit sketch: each word flips one bit."""
-    one = lambda c: F.when(c.bitwiseAND(64) == half * 64, F.lit(1)).otherwise(F.lit(0)).cast("long")
-    flip = lambda c: F.call_function("shiftleft", one(c), c.bitwiseAND(63).cast("int"))
-    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(flip(c)))
+def _parity(codes: Column, half: int | None = None) -> Column:
+    """64 bits of which each word flips one; of a 128-bit sketch the words of one half only."""
+    place = lambda c: c.bitwiseAND(63).cast("int")
+    one = lambda c: F.lit(1).cast("long") if half is None else F.when(c.bitwiseAND(64) == half * 64, 1).otherwise(0).cast("long")
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", one(c), place(c))))
+
+
+def _n(a: str) -> Column:
+    """Size of a set, kept in the upper half of ``np``."""
+    return F.shiftright(f"{a}.np", 32).cast("int")
+
+
+def _flips(a: str, b: str) -> Column:
+    """Bits in which two sketches differ: all 128 of two long sets, else the 64 that both have."""
+    x = {k: F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}")) for k in ("s1", "s2")}
+    both = (_n(a) > SHORT) & (_n(b) > SHORT)
+    return F.when(both, F.bit_count(x["s1"]) + F.bit_count(x["s2"])).otherwise(F.bit_count(x["s1"].bitwiseXOR(x["s2"])))
 
 
 def _numbered(text: Column) -> Column:
@@ -86,7 +100,8 @@ def lines(docs: DataFrame, levels: list[int]) -> DataFrame:
             return F.struct(
                 F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2"), n.alias("n"),
                 F.when(n < LEAST_WORDS, F.array().cast("array<bigint>")).otherwise(F.slice(c, 1, n - _least(n, NUM, DEN) + 1)).alias("prefix"),
-                _parity(c, 0).alias("s1"), _parity(c, 1).alias("s2"),
+                F.when(n <= SHORT, _parity(c)).otherwise(_parity(c, 0)).alias("s1"),
+                F.when(n <= SHORT, F.lit(0).cast("long")).otherwise(_parity(c, 1)).alias("s2"),
             )
 
         return let(_codes(line, levels), of)
@@ -105,56 +120,64 @@ def _earlier(a: str, b: str) -> Column:
 
 def _overlap(a: str, b: str) -> Column:
     """Least number of shared words of similar sets."""
-    return _least(F.col(f"{a}.n") + F.col(f"{b}.n"), NUM, NUM + DEN)
+    return _least(_n(a) + _n(b), NUM, NUM + DEN)
 
 
 def _lengths(a: str, b: str) -> Column:
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    n, m = _n(a), _n(b)
     return (n * DEN >= m * NUM) & (m * DEN >= n * NUM)
 
 
-def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines with words (doc_id, line), and the settled (doc_id, line) of those that go."""
-    spark = docs.sparkSession
-    levels = bucket_levels(docs)
-    table = lines(docs, levels)
+def _near(table: DataFrame) -> DataFrame:
+    """Settled (doc_id, line, n, code) of classes' first lines that meet a probable partner at a prefix word."""
     first = F.min(F.struct("doc_id", "line", "n", "prefix", "s1", "s2")).alias("f")
-    classes = table.groupBy("h1", "h2").agg(first).select("h1", "h2", "f.*")
-    rows = classes.select(
-        "h1", "doc_id", "line", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "code")
-    )
+    classes = table.groupBy("h1", "h2").agg(first).select("f.*")
+    rows = classes.select("doc_id", "line", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "code"))
+    # Narrow rows for the shuffle: size and place in one number.
+    rows = rows.select("code", "doc_id", "line", (F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("np"), "s1", "s2")
     x, y = rows.alias("x"), rows.alias("y")
-    room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    flips = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+    pos = lambda a: F.col(f"{a}.np").bitwiseAND((1 << 32) - 1).cast("int")
+    room = F.least(_n("x") - pos("x"), _n("y") - pos("y"))
     other = (F.col("x.doc_id") != F.col("y.doc_id")) | (F.col("x.line") != F.col("y.line"))
     meets = (
         (F.col("x.code") == F.col("y.code")) & other & _lengths("x", "y") & (room >= _overlap("x", "y"))
-        & (flips <= F.col("x.n") + F.col("y.n") - 2 * _overlap("x", "y"))
+        & (_flips("x", "y") <= _n("x") + _n("y") - 2 * _overlap("x", "y"))
     )
-    near = settle(x.join(y, meets, "left_semi").select("h1", "doc_id", "line", "n", "code"), "near-lines")
-    release(spark)
+    return settle(x.join(y, meets, "left_semi").select("doc_id", "line", "np", "code"), "near-lines")
 
-    # Whole sets of the lines that are left, read from their documents again.
+
+def _matched(docs: DataFrame, near: DataFrame, levels: list[int]) -> DataFrame:
+    """Settled (doc_id, line) of those whose whole set is similar to an earlier one; sets are read from the documents again."""
     wanted = near.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.collect_list("line").alias("_lines"))
     texts = docs.select("doc_id", "text").join(wanted, "doc_id")
-    sets = texts.select(
-        "doc_id",
-        F.explode(let(_numbered(F.col("text")), lambda t: F.transform("_lines", lambda i: F.struct(i.alias("line"), F.get(t, i).alias("t"))))).alias("_l"),
-    ).select("doc_id", F.col("_l.line").alias("line"), _codes(F.coalesce(F.col("_l.t"), F.lit("")), levels).alias("codes"))
-    sets = sets.withColumn("h1", F.xxhash64("codes")).dropDuplicates(["doc_id", "line", "h1"])
-    whole = near.join(sets, ["doc_id", "line", "h1"])
+    picked = let(_numbered(F.col("text")), lambda t: F.transform("_lines", lambda i: F.struct(i.alias("line"), F.get(t, i).alias("t"))))
+    sets = texts.select("doc_id", F.explode(picked).alias("_l")).dropDuplicates(["doc_id", "_l"])
+    sets = sets.select("doc_id", F.col("_l.line").alias("line"), _codes(F.col("_l.t"), levels).alias("codes"))
+    whole = near.join(sets, ["doc_id", "line"])
     x, y = whole.alias("x"), whole.alias("y")
     similar = (
         (F.col("x.code") == F.col("y.code")) & _earlier("x", "y") & _lengths("x", "y")
         & (F.size(F.array_intersect("x.codes", "y.codes")) >= _overlap("x", "y"))
     )
-    matched = x.join(y, similar, "left_semi").select("doc_id", "line").distinct()
+    return settle(x.join(y, similar, "left_semi").select("doc_id", "line").distinct(), "matched-lines")
+
+
+def _later(table: DataFrame) -> DataFrame:
+    """(doc_id, line) of all but the first of each class."""
+    firsts = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("f")).select("f.*")
+    return table.select("doc_id", "line").distinct().join(firsts, ["doc_id", "line"], "left_anti")
 
-    # Later lines of a class, and classes' first lines that match an earlier one.
-    firsts = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("f"))
-    firsts = firsts.select("f.*").withColumn("_first", F.lit(True))
-    later = table.select("doc_id", "line").distinct().join(firsts, ["doc_id", "line"], "left_anti")
-    gone = settle(later.unionByName(matched).distinct(), "removed-lines")
+
+def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All lines with words (doc_id, line), and the settled (doc_id, line) of those that go."""
+    spark = docs.sparkSession
+    levels = bucket_levels(docs)
+    table = lines(docs, levels)
+    near = _near(table)
+    release(spark)
+    matched = _matched(docs, near, levels)
+    release(spark)
+    gone = settle(_later(table).unionByName(matched).distinct(), "removed-lines")
     release(spark)
     return table, gone
 
