@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageforge.llm import line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, topk
+from pageforge.llm import line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, sentence_dedup, suffix_dedup, topk
 from pageforge.llm.common import documents
 
 
@@ -18,6 +18,14 @@ def tokenizer_path(name: str = packing.TOKENIZER) -> str:
     return os.fspath(public_tokenizers.path(name))
 
 
+def op1_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_dedup.dedup(documents(spark, sf_dir)).drop("text")
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(documents(spark, sf_dir)).drop("kept")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(documents(spark, sf_dir))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_nth")
@@ -54,7 +62,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_topk, op5_quality_classifier, op6_packing, op7_line_dedup, op9_quality_rules, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_sentence_dedup, op2_suffix_dedup, op3_mixing, op4_topk, op5_quality_classifier, op6_packing, op7_line_dedup, op9_quality_rules, op10_ngram_join)}
 SQL: dict[str, str] = {
     "op4_topk": """
 WITH v AS (
