@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageforge.llm import line_dedup, mixing, ngram_join, packing, quality_classifier, quality_rules, sentence_dedup, suffix_dedup, topk
+from pageforge.llm import line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, sentence_dedup, suffix_dedup, topk
 from pageforge.llm.common import documents
 
 
@@ -51,6 +51,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(documents(spark, sf_dir).select("doc_id", "text"), key="pageforge")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.judge(documents(spark, sf_dir), labels).select(
@@ -62,7 +66,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentence_dedup, op2_suffix_dedup, op3_mixing, op4_topk, op5_quality_classifier, op6_packing, op7_line_dedup, op9_quality_rules, op10_ngram_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentence_dedup, op2_suffix_dedup, op3_mixing, op4_topk, op5_quality_classifier,
+        op6_packing, op7_line_dedup, op8_pii, op9_quality_rules, op10_ngram_join,
+    )
+}
 SQL: dict[str, str] = {
     "op4_topk": """
 WITH v AS (
