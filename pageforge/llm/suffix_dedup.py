@@ -43,7 +43,7 @@ LENGTH, SEED = 100, 24
 WINDOW = LENGTH - SEED + 1
 BEFORE = LENGTH - SEED
 CONTEXT = BEFORE + LENGTH
-PART = 512
+PART = 4096
 SLICE = 1 << 20
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
