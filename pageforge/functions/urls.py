@@ -43,12 +43,16 @@ _PRIVATE_IPV4 = (
     r"|192\.0\.[02]\.|192\.168\.|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.)"
 )
 
-# IPv6 literals that are private, loopback or link-local, by leading groups.
+# IPv6 networks that count as private, loopback or link-local, as
+# (first groups, prefix length), and networks inside 2001::/23 that do not.
 _PRIVATE_IPV6 = (
-    r"^(?:::|::1|0{1,4}(?::0{1,4}){6}:0{0,3}[01]|::ffff:.*|64:ff9b:1:.*|100::.*"
-    r"|2001:0{0,3}db8:.*|2001:0{0,2}[01]?[0-9a-f]{0,2}:.*|2001::.*|3fff:0?[0-9a-f]{1,3}:.*"
-    r"|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)$"
-)
+    ((0, 0, 0, 0, 0, 0, 0, 0), 128), ((0, 0, 0, 0, 0, 0, 0, 1), 128), ((0x64, 0xFF9B, 1), 48), ((0x100, 0, 0, 0), 64),
+    ((0x2001, 0), 23), ((0x2001, 0xDB8), 32), ((0x2002,), 16), ((0x3FFF, 0), 20), ((0xFC00,), 7), ((0xFE80,), 10),
+)
+_PUBLIC_IPV6 = (
+    ((0x2001, 1, 0, 0, 0, 0, 0, 1), 128), ((0x2001, 1, 0, 0, 0, 0, 0, 2), 128), ((0x2001, 3), 32),
+    ((0x2001, 4, 0x112), 48), ((0x2001, 0x20), 28), ((0x2001, 0x30), 28),
+)
 
 # Words whose presence in a non-numeric host marks it as local.
 LOCAL_HOST_MARKS = ("localhost", "local", "127.0.0.1", "::1")
@@ -136,13 +140,54 @@ def host_of(url: Column) -> Column:
     return with_parts(url, lambda p: p.host, outer=True)
 
 
+def ipv6_groups(host: Column) -> Column:
+    """The eight numbers of an IPv6 literal, in any of its spellings; null when it is none."""
+    bare = F.regexp_replace(host, r"%[^%]+\z", "")
+    octets = F.split(F.regexp_extract(bare, rf"(?:^|:)({_OCTET}(?:\.{_OCTET}){{3}})\z", 1), r"\.")
+    pair = lambda k: F.hex(F.get(octets, k).try_cast("int") * 256 + F.get(octets, k + 1).try_cast("int"))
+    plain = F.when(
+        bare.contains("."), F.lower(F.concat(F.regexp_extract(bare, r"^(.*:)[^:]*\z", 1), pair(0), F.lit(":"), pair(2)))
+    ).otherwise(bare)
+
+    def read(halves: Column) -> Column:
+        side = lambda k: F.when(F.coalesce(F.get(halves, k), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(F.get(halves, k), ":"))
+
+        def of(left: Column, right: Column) -> Column:
+            missing = 8 - F.size(left) - F.size(right)
+            groups = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+            numbers = F.transform(groups, lambda g: F.conv(g, 16, 10).cast("int"))
+            whole = F.forall(groups, lambda g: g.rlike(r"^[0-9a-f]{1,4}\z"))
+            shape = F.when(F.size(halves) == 1, missing == 0).otherwise((F.size(halves) == 2) & (missing >= 1))
+            return F.when(whole & shape, numbers)
+
+        return let(side(0), lambda left: let(side(1), lambda right: of(left, right)))
+
+    return let(F.split(plain, "::", -1), read)
+
+
+def _in_network(groups: Column, network: tuple[tuple[int, ...], int]) -> Column:
+    first, bits = network
+    test = F.lit(True)
+    for k, number in enumerate(first):
+        width = min(16, bits - 16 * k)
+        if width > 0:
+            test = test & (F.shiftright(F.get(groups, k), 16 - width) == number >> (16 - width))
+    return test
+
+
+def _is_private_ipv6(groups: Column) -> Column:
+    any_of = lambda networks: F.exists(F.array(*[_in_network(groups, n) for n in networks]), lambda x: x)
+    byte = lambda k, shift: F.shiftright(F.get(groups, k), shift).bitwiseAND(255).cast("string")
+    quad = F.concat_ws(".", byte(6, 8), byte(6, 0), byte(7, 8), byte(7, 0))
+    mapped = _in_network(groups, ((0, 0, 0, 0, 0, 0xFFFF), 96))
+    return F.when(mapped, quad.rlike(_PRIVATE_IPV4)).otherwise(any_of(_PRIVATE_IPV6) & ~any_of(_PUBLIC_IPV6))
+
+
 def is_private_host(host: Column) -> Column:
     """Private IP literal, or a host name that contains a local marker."""
-    return (
-        F.when(host.rlike(_IPV4), host.rlike(_PRIVATE_IPV4))
-        .when(host.contains(":"), host.rlike(_PRIVATE_IPV6))
-        .otherwise(any_contains(host, LOCAL_HOST_MARKS))
-    )
+    named = any_contains(host, LOCAL_HOST_MARKS)
+    literal = let(ipv6_groups(host), lambda g: F.coalesce(F.when(g.isNotNull(), _is_private_ipv6(g)), named))
+    return F.when(host.rlike(_IPV4), host.rlike(_PRIVATE_IPV4)).when(host.contains(":"), literal).otherwise(named)
 
 
 _ENDINGS = r"(?i)\.(?:" + "|".join(e[1:] for e in SKIP_EXTENSIONS) + r")\z"

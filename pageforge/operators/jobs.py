@@ -19,15 +19,33 @@ MAX_BATCH = 10
 
 
 def latest_states(states: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Current status per job: the last change, except that a cancellation stands."""
-    cancelled = F.max_by("status", F.when(F.col("status") == "cancelled", F.col("seq")))
-    last = F.max_by("status", "seq")
-    return states.groupBy("job_id").agg(
-        F.coalesce(cancelled, last).alias("status"),
+    """Current status per job, when it was created and, if it is finished, when it finished.
+
+    A cancellation stands when no end came before it; after an end it does
+    nothing. Otherwise the last other change counts. A job that runs again has
+    no completion time.
+    """
+    status, seq, ts = F.col("status"), F.col("seq"), F.col("ts")
+    cancel, other = status == "cancelled", status != "cancelled"
+    end = ~status.isin(*ACTIVE) & other
+    found = states.groupBy("job_id").agg(
         F.min("ts").alias("created_at"),
-        F.max(F.when(~F.col("status").isin(*ACTIVE), F.col("ts"))).alias("completed_at"),
+        F.min(F.when(cancel, seq)).alias("_cancel"),
+        F.min_by(ts, F.when(cancel, seq)).alias("_cancelled_at"),
+        F.min(F.when(end, seq)).alias("_end"),
+        F.max_by(status, F.when(other, seq)).alias("_last"),
+        F.max_by(ts, F.when(other, seq)).alias("_last_at"),
         *[F.max_by(c, "seq").alias(c) for c in carry],
     )
+    stands = F.coalesce(F.col("_cancel") < F.col("_end"), F.col("_cancel").isNotNull())
+    over = ~F.col("_last").isin(*ACTIVE)
+    return found.select(
+        "job_id",
+        F.when(stands, "cancelled").otherwise(F.col("_last")).alias("status"),
+        "created_at",
+        F.when(stands, F.col("_cancelled_at")).when(over, F.col("_last_at")).alias("completed_at"),
+        *carry,
+    )
 
 
 def percent(done: Column, total: Column) -> Column:

@@ -11,9 +11,20 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for data that outlives a task: the one the cluster names in
-    ``spark.checkpoint.dir``; where none is named (tests), a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pageforge-")
+    """Folder for data that outlives a task, named in ``spark.checkpoint.dir``.
+
+    Without that setting a local session gets a temporary folder; any other
+    session is refused, because its executors could not share one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="pageforge-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def settle(df: DataFrame) -> DataFrame:

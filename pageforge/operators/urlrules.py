@@ -5,14 +5,17 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageforge.functions.urls import host_of, normalize_url, url_reject_reason
 
 KINDS = ("whitelist_patterns", "blacklist_patterns", "regex_whitelist", "regex_blacklist")
-# Patterns are joined into alternations of at most this many characters, so
-# that one compiled regex tests many rules; more rules mean more alternations.
+# Patterns without groups or references are joined into alternations of at most
+# this many characters, so that one compiled regex tests many rules.
 ALTERNATION_LENGTH = 20_000
 
 
@@ -21,17 +24,35 @@ def glob_to_regex(pattern: str) -> str:
     return "^" + pattern.replace("*", ".*").replace("?", ".") + "$"
 
 
+def to_java(pattern: str) -> str:
+    """Named groups in the spelling of the engine that runs the patterns."""
+    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+
+
 def compiles(pattern: str) -> bool:
+    """Whether the engine that runs the patterns accepts one; without a session, whether Python does."""
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(pattern)
+        except (Py4JJavaError, IllegalArgumentException):
+            return False
+        return True
     try:
-        re.compile(pattern)
+        re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))
     except re.error:
         return False
     return True
 
 
+def _packs(pattern: str) -> bool:
+    """Patterns whose meaning cannot depend on their neighbours: no groups, flags, references or quoting."""
+    return "(" not in pattern and re.search(r"\\[0-9kQE]", pattern) is None
+
+
 def _alternations(patterns: list[str]) -> list[str]:
-    packed, current = [], ""
-    for p in patterns:
+    packed, current = [p for p in patterns if not _packs(p)], ""
+    for p in filter(_packs, patterns):
         piece = f"(?:{p})"
         if current and len(current) + len(piece) > ALTERNATION_LENGTH:
             packed.append(current)
@@ -55,12 +76,15 @@ class UrlRules:
     deny_regex: tuple[str, ...] = ()
 
     def __post_init__(self):
+        for name in ("allow_regex", "deny_regex"):
+            object.__setattr__(self, name, tuple(map(to_java, getattr(self, name))))
         for p in (*self.allow_regex, *self.deny_regex):
             if not compiles(p):
                 raise ValueError(f"Invalid pattern: {p}")
 
     def add(self, kind: str, pattern: str, is_regex: bool = False) -> UrlRules:
         name = {"allow": "allow", "deny": "deny"}[kind] + ("_regex" if is_regex else "")
+        pattern = to_java(pattern) if is_regex else pattern
         current = getattr(self, name)
         return self if pattern in current else replace(self, **{name: (*current, pattern)})
 

@@ -17,6 +17,8 @@ from pageforge.sources.sinks import meta_envelope, raw_envelope
 
 # Flags of a request and their defaults.
 FLAGS = {"validate_content": True, "store_raw_data": True, "store_in_db": True}
+# Key of the requests whose content type has no job.
+UNSUPPORTED = "unsupported"
 RESULT_COLUMNS = (
     "request_id", "url", "content_type", "success", "errors", "validation_errors", "content_id",
     "processed", "fetch_failed", "processing_time", "store_in_db", "raw_data", "meta_data", "data",
@@ -28,7 +30,9 @@ def with_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
 
     Of pages that landed twice under one URL the first (by page_id) is taken.
     """
-    landed = keep_first(pages.select("page_id", "url", "html"), "url", "page_id")
+    asked = requests.select("url").where("url IS NOT NULL").distinct()
+    named = pages.select("page_id", "url", "html").join(asked, "url", "left_semi")
+    landed = keep_first(named, "url", "page_id")
     return requests.join(landed.select("url", "html"), "url", "left")
 
 
@@ -77,7 +81,9 @@ def ingest(
         allowed = F.coalesce("allowed", F.lit(True))
     asked = asked.withColumn("refused", refusal(F.col("url"), allowed))
     if pages is not None:
-        asked = with_pages(asked, pages)
+        # A refused request has no page to look for, so no html moves for it.
+        wanted = asked.withColumns({"_url": F.col("url"), "url": F.when(F.col("refused").isNull(), F.col("url"))})
+        asked = with_pages(wanted, pages).withColumn("url", F.col("_url")).drop("_url")
     kept = ["request_id", "job_id", "metadata", "processing_time", "refused", "has_page", *FLAGS]
     fetched = asked.withColumns(
         {
@@ -132,12 +138,24 @@ def outcomes(results: DataFrame) -> DataFrame:
 def ingest_mixed(requests: DataFrame, **options) -> dict[str, DataFrame]:
     """Results per content type for requests of mixed types (column ``content_type``).
 
+    Requests whose type is unknown or null are refused under the key ``UNSUPPORTED``.
     Store mixed requests partitioned by type: each branch then reads its own folder.
     """
-    return {
-        t: ingest(requests.where(F.col("content_type") == t).drop("content_type"), t, **options)
-        for t in supported_types()
-    }
+    known = supported_types()
+    branches = {t: ingest(requests.where(F.col("content_type") == t).drop("content_type"), t, **options) for t in known}
+    other = requests.where(~F.coalesce(F.col("content_type").isin(known), F.lit(False)))
+    return branches | {UNSUPPORTED: unsupported(other)}
+
+
+def unsupported(requests: DataFrame) -> DataFrame:
+    """Outcome rows of requests whose content type has no job."""
+    none = F.array().cast("array<string>")
+    reason = F.concat(F.lit("Unsupported content type: "), F.coalesce("content_type", F.lit("null")))
+    return _with_defaults(requests).select(
+        "request_id", "url", "content_type", F.lit(False).alias("success"), F.array(reason).alias("errors"),
+        none.alias("validation_errors"), F.lit(None).cast("string").alias("content_id"), F.lit(False).alias("processed"),
+        F.lit(False).alias("fetch_failed"), "processing_time", "store_in_db",
+    )
 
 
 def batch_outcomes(results: Mapping[str, DataFrame]) -> DataFrame:

@@ -31,8 +31,11 @@ derived(
     "events",
 )
 _STATE = """
-    state AS (SELECT job_id, coalesce(arg_max(status, seq) FILTER (WHERE status = 'cancelled'), arg_max(status, seq)) AS status,
-      min(ts) AS created_at, max(ts) FILTER (WHERE status NOT IN ('pending', 'running')) AS completed_at FROM job_states GROUP BY job_id)
+    walked AS (SELECT *, coalesce(bool_or(status IN ('completed', 'failed')) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING
+      AND 1 PRECEDING), false) AS ended, min(ts) OVER (PARTITION BY job_id) AS created_at FROM job_states),
+    counted AS (SELECT *, status = 'cancelled' AND NOT ended AS stands FROM walked WHERE status <> 'cancelled' OR NOT ended),
+    state AS (SELECT job_id, status, created_at, CASE WHEN status NOT IN ('pending', 'running') THEN ts END AS completed_at FROM (
+      SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY stands DESC, CASE WHEN stands THEN seq ELSE -seq END) AS n FROM counted) WHERE n = 1)
 """
 _PROGRESS = """
     done AS (SELECT job_id, count(*) AS c, count(*) FILTER (WHERE success) AS s FROM job_events GROUP BY job_id),
@@ -173,6 +176,24 @@ def job_batches(events):
     return J.batches(events, 5, _seq_chunk(), order="seq").select("job_id", "seq", "batch_no")
 
 
+derived(
+    "loose_events",
+    """
+    SELECT CASE WHEN user_id % 3 = 0 THEN NULL ELSE concat('job-', cast(user_id AS varchar(19))) END AS job_id, event_id AS seq FROM {events}
+    """,
+    "events",
+)
+
+
+@query(
+    "job_batches_nulls", "loose_events",
+    """SELECT job_id, seq, cast((row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1) // 5 AS bigint) AS batch_no FROM loose_events""",
+)
+def job_batches_nulls(events):
+    """Events without a job are numbered as a group of their own."""
+    return J.batches(events, 5, _seq_chunk(), order="seq").select("job_id", "seq", "batch_no")
+
+
 @query(
     "job_batch_progress", "job_events job_totals",
     """WITH b AS (SELECT job_id, (row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1) // 10 AS batch_no, success FROM job_events),
@@ -195,8 +216,9 @@ def job_batch_progress(events, totals):
       GROUP BY t.job_id, t.total_urls""",
 )
 def job_results_join(events, totals):
-    return totals.join(events, "job_id", "left").groupBy("job_id", "total_urls").agg(
-        F.count("seq").alias("results"), F.max("seq").alias("last_seq")
+    done = events.groupBy("job_id").agg(F.count("seq").alias("results"), F.max("seq").alias("last_seq"))
+    return totals.join(done, "job_id", "left").select(
+        "job_id", "total_urls", F.coalesce("results", F.lit(0)).alias("results"), "last_seq"
     )
 
 
@@ -254,6 +276,47 @@ def rate_schedule(requests, overrides):
     return _schedule(requests, overrides).select("id", "domain", _when("start"), F.round("wait_seconds", 6).alias("wait_seconds"))
 
 
+derived(
+    "loose_requests",
+    """
+    SELECT event_id AS id, CASE user_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE concat('d', cast(user_id AS varchar(19))) END AS domain,
+      CASE WHEN event_id % 7 = 0 THEN NULL ELSE ts END AS arrival, cast(3600 AS double) AS delay FROM {events}
+    """,
+    "events",
+)
+
+
+@query(
+    "rate_schedule_nulls", "loose_requests",
+    """WITH o AS (SELECT *, epoch_us(arrival) AS a, row_number() OVER (PARTITION BY domain, arrival IS NULL ORDER BY arrival, id) - 1 AS i FROM loose_requests),
+    p AS (SELECT *, CASE WHEN arrival IS NULL OR domain IS NULL OR domain = '' THEN a
+      ELSE i * 3600000000 + max(a - i * 3600000000) OVER (PARTITION BY domain, arrival IS NULL ORDER BY i) END AS s FROM o)
+    SELECT id, domain, strftime(make_timestamp(s::bigint), '%Y-%m-%d %H:%M:%S.%f') AS start, round((s - a) / 1000000.0, 6)::double AS wait_seconds FROM p""",
+)
+def rate_schedule_nulls(requests):
+    """Requests without a domain or an arrival keep their row and are not paced."""
+    return P.schedule(requests).select("id", "domain", _when("start"), F.round("wait_seconds", 6).alias("wait_seconds"))
+
+
+derived(
+    "burst_requests",
+    """
+    SELECT event_id AS id, CASE WHEN user_id % 3 = 0 THEN 'hot' ELSE concat('d', cast(user_id AS varchar(19))) END AS domain,
+      cast('2024-01-01 00:00:00' AS timestamp) AS arrival, cast(0.5 AS double) AS delay FROM {events}
+    """,
+    "events",
+)
+
+
+@query(
+    "rate_schedule_burst", "burst_requests",
+    """SELECT id, domain, (row_number() OVER (PARTITION BY domain ORDER BY id) - 1) * 0.5::double AS wait_seconds FROM burst_requests""",
+)
+def rate_schedule_burst(requests):
+    """One arrival time for all requests, a third of them of one domain."""
+    return P.schedule(requests).select("id", "domain", "wait_seconds")
+
+
 @query(
     "domain_statistics", "paced_requests delay_overrides",
     f"""WITH {_SCHEDULE} SELECT domain, max(delay) AS delay, strftime(make_timestamp(max(s)::bigint), '%Y-%m-%d %H:%M:%S.%f') AS last_request,

@@ -71,15 +71,35 @@ def stream_ingest(spark, sf_dir, root):
     return read_table(spark, f"{root}/tables", "article").select("url", "title", "content_type")
 
 
-@stream_query(
-    "stream_first_urls", "",
-    "SELECT concat('https://u.org/', user_id) AS norm_url, count(*) > 0 AS kept FROM events GROUP BY user_id",
-)
+_EARLY = "SELECT concat('https://u.org/', user_id) AS norm_url, min(ts) AS first FROM events GROUP BY user_id"
+
+
+@stream_query("stream_first_urls", "", f"SELECT norm_url, {_sql_when('first')} FROM ({_EARLY})")
 def stream_first_urls(spark, sf_dir, root):
     events = opened(spark, sf_dir, "events").select(
         F.format_string("HTTPS://u.org/%d#%d", "user_id", "event_id").alias("url"), "ts"
     )
-    return written(S.first_urls(events, "ts", "60 days"), root).select("norm_url", F.lit(True).alias("kept"))
+    drained(S.first_urls(events, "ts", f"{root}/out", f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/out").select("norm_url", F.col("ts").alias("first")).select("norm_url", _when("first"))
+
+
+@stream_query(
+    "stream_ingest_rejects", "pages",
+    """SELECT page_id AS request_id, page_id % 4 = 0 AS success, CASE page_id % 4 WHEN 1 THEN concat('Invalid URL: ftp://x.org/', page_id)
+      WHEN 2 THEN concat('Crawl failed for ', url, ': no landed page') WHEN 3 THEN
+      'Content validation failed: Required field ''title'' is missing or empty, Required field ''content'' is missing or empty' ELSE '' END AS errors
+      FROM pages""",
+)
+def stream_ingest_rejects(spark, sf_dir, root):
+    kind = F.col("page_id") % 4
+    pages = opened(spark, sf_dir, "pages").select(
+        "page_id",
+        F.when(kind == 1, F.concat(F.lit("ftp://x.org/"), F.col("page_id").cast("string"))).otherwise(F.col("url")).alias("url"),
+        F.when(kind == 2, "").when(kind == 3, "<p></p>").otherwise("<h1>t</h1><article>c</article>").alias("html"),
+    )
+    drained(S.ingest_stream(pages, "article", f"{root}/tables", f"{root}/checkpoint", F.lit(EPOCH)))
+    results = spark.read.parquet(f"{root}/tables/results")
+    return results.select("request_id", "success", F.array_join("errors", "|").alias("errors"))
 
 
 def _outcomes(spark, sf_dir):
@@ -94,13 +114,8 @@ def _outcomes(spark, sf_dir):
       FROM job_events GROUP BY job_id""",
 )
 def stream_job_progress(spark, sf_dir, root):
-    def store(batch, batch_id):
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/out/part={batch_id}")
-
-    progress = S.live_progress(_outcomes(spark, sf_dir))
-    drained(progress.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", f"{root}/checkpoint"))
-    counts = ["completed_urls", "successful_urls", "failed_urls"]
-    return spark.read.parquet(f"{root}/out").groupBy("job_id").agg(*[F.max_by(c, "batch").alias(c) for c in counts])
+    drained(S.updates(S.live_progress(_outcomes(spark, sf_dir)), f"{root}/out", f"{root}/checkpoint"))
+    return S.newest_counts(spark.read.parquet(f"{root}/out"), "job_id")
 
 
 _PACED = f"""WITH ordered AS (SELECT event_id AS id, user_id AS domain, epoch_us(ts) AS a,
@@ -116,11 +131,6 @@ def _paced(spark, sf_dir):
 
 
 @stream_query("stream_pacing", "", _PACED)
-def stream_pacing(spark, sf_dir, root):
-    made = written(S.pace_stream(_paced(spark, sf_dir), 21600.0), root)
-    return made.select("id", "domain", _when("start"), F.round("wait_seconds", 6).alias("wait_seconds"))
-
-
 @stream_query("stream_pacing_batches", "", _PACED)
 def stream_pacing_batches(spark, sf_dir, root):
     drained(S.pace_batches(_paced(spark, sf_dir), f"{root}/paced", f"{root}/checkpoint", 21600.0))
@@ -134,18 +144,19 @@ def stream_pacing_batches(spark, sf_dir, root):
       FROM robots_requests""",
 )
 def stream_robots(spark, sf_dir, root):
-    cache = S.newest_snapshots(table(spark, sf_dir, "robots_snapshots").where("fetched_at <= timestamp'2024-01-01 12:00:00'"))
     pages = opened(spark, sf_dir, "pages").select("page_id", "url", F.lit("2024-01-01 12:00:00").cast("timestamp").alias("requested_at"))
-    return written(S.robots_stream(pages, cache, "TestBot/2.1"), root).select("page_id", "allowed")
+    snapshots = lambda: table(spark, sf_dir, "robots_snapshots")
+    drained(S.robots_stream(pages, snapshots, f"{root}/out", f"{root}/checkpoint", "page_id", "TestBot/2.1"))
+    return spark.read.parquet(f"{root}/out").select("page_id", "allowed")
 
 
 @stream_query(
     "stream_hourly_statistics", "job_events",
     f"""SELECT {_sql_when('window_start')}, total, successful, failed FROM (
       SELECT date_trunc('hour', ts) AS window_start, count(*) AS total, count(*) FILTER (WHERE success) AS successful,
-        count(*) FILTER (WHERE NOT success) AS failed FROM job_events GROUP BY 1)
-      WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM job_events)""",
+        count(*) FILTER (WHERE NOT success) AS failed FROM job_events GROUP BY 1)""",
 )
 def stream_hourly_statistics(spark, sf_dir, root):
-    made = written(S.windowed_statistics(_outcomes(spark, sf_dir)), root)
+    drained(S.updates(S.windowed_statistics(_outcomes(spark, sf_dir)), f"{root}/out", f"{root}/checkpoint"))
+    made = S.newest_counts(spark.read.parquet(f"{root}/out"), "window_start")
     return made.select(_when("window_start"), "total", "successful", "failed")

@@ -170,6 +170,22 @@ def typed_sink(rows):
     return sinks.read_table(spark, root, "product").select("url", "sku", "name", "price")
 
 
+@query(
+    "sink_mixed_writes", "product_rows",
+    _replay("SELECT * FROM product_rows WHERE name IS NOT NULL AND length(name) <= 500", "url, sku, name, price"),
+)
+def sink_mixed_writes(rows):
+    """A plain insert, one under a name that is written twice, and a plain one again leave every row readable."""
+    spark, root = rows.sparkSession, _folder(rows.sparkSession)
+    full = rows.select("request_id", "url", "sku", "name", "price", "brand")
+    third = F.floor(F.lit(full.count()) / 3)
+    sinks.insert(full.where(F.col("request_id") < third), root, "product")
+    for _ in range(2):
+        sinks.insert(full.where(F.col("request_id").between(third, 2 * third)), root, "product", part="7")
+    sinks.insert(full, root, "product")
+    return sinks.read_table(spark, root, "product").select("url", "sku", "name", "price")
+
+
 @query("partitioned_sink", "mixed_requests", "SELECT request_id, url, content_type FROM mixed_requests WHERE content_type = 'blog'")
 def partitioned_sink(requests):
     path = _folder(requests.sparkSession)
@@ -379,11 +395,10 @@ def search_page(orders):
 
 @query(
     "sort_ascending", "orders",
-    "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority NULLS LAST, o_orderkey LIMIT 1000",
+    "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority NULLS LAST, o_orderkey",
 )
 def sort_ascending(orders):
-    rows = S.ordered(orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "asc", "o_orderkey")
-    return S.page_of(rows, 1000)
+    return S.ordered(orders.select("o_orderkey", "o_orderpriority"), "o_orderpriority", "asc", "o_orderkey")
 
 
 # ---------------------------------------------------------- request checks

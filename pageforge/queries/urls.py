@@ -107,6 +107,27 @@ def url_private_host(urls):
     return host.withColumn("private", U.is_private_host(F.col("host")))
 
 
+# One spelling per row; the checking SQL names the private ones.
+derived(
+    "ipv6_urls",
+    """
+    SELECT page_id, concat('http://[', CASE page_id % 14 WHEN 0 THEN '::1' WHEN 1 THEN '0:0:0:0:0:ffff:7f00:1' WHEN 2 THEN '::ffff:8.8.8.8'
+      WHEN 3 THEN '::FFFF:10.1.2.3' WHEN 4 THEN '2001:4860:4860::8888' WHEN 5 THEN 'fe80::1' WHEN 6 THEN 'FD12:3456::1' WHEN 7 THEN '2001:db8::5'
+      WHEN 8 THEN '0000:0000:0000:0000:0000:0000:0000:0001' WHEN 9 THEN '2606:4700::1111' WHEN 10 THEN '2001:20::7' WHEN 11 THEN '2001:0:1::'
+      WHEN 12 THEN '64:ff9b:1::9' ELSE '::' END, ']:8080/x') AS url FROM {pages}
+    """,
+    "pages",
+)
+
+
+@query(
+    "url_private_ipv6", "ipv6_urls",
+    "SELECT page_id, page_id % 14 NOT IN (2, 4, 9, 10) AS private FROM ipv6_urls",
+)
+def url_private_ipv6(urls):
+    return urls.select("page_id", U.is_private_host(U.host_of(F.col("url"))).alias("private"))
+
+
 @query(
     "url_skipped_extension", "url_mix",
     rf"""WITH parts AS ({_PARTS}) SELECT page_id, url FROM parts WHERE regexp_matches(lower(path),
@@ -222,6 +243,22 @@ def url_allow_deny(pages):
     return R.filter_urls(pages.select("page_id", "url"), _RULES)
 
 
+_GROUPED = R.UrlRules(
+    deny_regex=tuple(f"(never{k})/" for k in range(60)) + (r"/(\d)\1", r"(?P<digit>[2-4])[^/]*(?P=digit)$"), allow=("https://*",)
+)
+
+
+@query(
+    "url_rules_groups", "pages",
+    f"""SELECT page_id, url FROM pages WHERE regexp_full_match(url, 'https://.*')
+      AND NOT ({" OR ".join(f"regexp_matches(url, '/{d}{d}')" for d in range(10))})
+      AND NOT ({" OR ".join(f"regexp_matches(url, '{d}[^/]*{d}$')" for d in (2, 3, 4))})""",
+)
+def url_rules_groups(pages):
+    """Back-references keep their groups, however many rules there are."""
+    return R.filter_urls(pages.select("page_id", "url"), _GROUPED)
+
+
 @query(
     "url_deny_only", "pages",
     "SELECT page_id, url FROM pages WHERE NOT regexp_full_match(url, '.*spam.*')",

@@ -31,16 +31,6 @@ def stream_pages(spark: SparkSession, path: str, format: str = "parquet", files_
     return reader.load(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan over all cores when it has fewer tasks than there are cores.
-
-    A few files with one row group each would leave most cores idle during
-    extraction. Large inputs have more tasks than cores and are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def requests_from_lists(
     lists: DataFrame, urls: str = "urls", content_type: str = "content_type", keep: tuple[str, ...] = ()
 ) -> DataFrame:

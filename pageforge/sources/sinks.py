@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -50,7 +52,9 @@ def read_table(spark: SparkSession, root: str, content_type: str) -> DataFrame |
     """Stored rows of a type, or None before the first insert."""
     try:
         return spark.read.parquet(table_path(root, content_type))
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -59,20 +63,19 @@ def insert(rows: DataFrame, root: str, content_type: str, order: str = "request_
 
     Rows that break a column constraint are returned with their violations. Of
     rows that share a unique key the first stays, whether it is in this batch
-    or already stored. With ``part`` (for instance a stream batch id) rows go to
-    a folder of that name which is overwritten, so a repeated batch is stored once.
+    or already stored. Every write goes to a folder ``part=...`` of the table, so
+    all writes share one layout: with ``part`` (for instance a stream batch id) the
+    folder of that name is overwritten and a repeated batch is stored once, without
+    it the folder gets a new name.
     """
     spec = type_of(content_type)
     good, bad = split_by_constraints(settle(rows), spec)
     stored = read_table(rows.sparkSession, root, content_type)
-    if stored is not None and part is not None and "part" in stored.columns:
-        stored = stored.where(F.col("part") != part)
+    if stored is not None and part is not None:
+        stored = stored.where(F.col("part").cast("string") != part)
     accepted = accept_inserts(good, spec.unique, order, stored).drop(order)
-    path = table_path(root, content_type)
-    if part is None:
-        accepted.write.mode("append").parquet(path)
-    else:
-        accepted.write.mode("overwrite").parquet(f"{path}/part={part}")
+    folder = f"write-{uuid.uuid4().hex}" if part is None else part
+    accepted.write.mode("overwrite").parquet(f"{table_path(root, content_type)}/part={folder}")
     return bad
 
 

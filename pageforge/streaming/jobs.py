@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pageforge.functions.urls import normalize_url, origin_of
+from pageforge.functions.urls import normalize_url
 from pageforge.operators.extract import extract_fields
+from pageforge.operators.keys import settle
 from pageforge.operators.pacing import schedule
-from pageforge.operators.robots import CACHE_SECONDS, agent_rules, robots_path, rules_allow
+from pageforge.operators.robots import CACHE_SECONDS, check_robots
 from pageforge.plans.content import process, type_of
-from pageforge.plans.ingest import ingest
+from pageforge.plans.ingest import ingest, outcomes
 from pageforge.sources.sinks import insert, stored_rows
 
 
@@ -29,24 +28,39 @@ def ingest_stream(pages: DataFrame, content_type: str, root: str, checkpoint: st
     """Continuous ingest into the typed table of ``root``.
 
     Each micro-batch goes to its own folder by batch id, so a batch that is run
-    again after a failure replaces itself instead of appearing twice.
+    again after a failure replaces itself instead of appearing twice. Nothing is
+    dropped unseen: ``results/part=N`` holds one outcome per request, refused and
+    failed ones with their reasons, and ``rejects/part=N`` the rows that break a
+    constraint of the table.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         requests = batch.withColumnRenamed("page_id", "request_id")
-        rows = stored_rows(ingest(requests, content_type), content_type, as_of)
-        insert(rows, root, content_type, part=str(batch_id))
+        results = settle(ingest(requests, content_type))
+        outcomes(results).write.mode("overwrite").parquet(f"{root}/results/part={batch_id}")
+        rejected = insert(stored_rows(results, content_type, as_of), root, content_type, part=str(batch_id))
+        rejected.write.mode("overwrite").parquet(f"{root}/rejects/part={batch_id}")
 
     return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
 
-def first_urls(stream: DataFrame, at: str, delay: str = "1 hour", url: str = "url") -> DataFrame:
-    """First row per normal form of the URL within the watermark.
+def first_urls(stream: DataFrame, at: str, root: str, checkpoint: str, url: str = "url") -> DataStreamWriter:
+    """First row per normal form of the URL, written to ``root/part=N`` per micro-batch.
 
-    Older repeats are caught at the sink, which anti-joins stored keys.
+    A batch keeps its earliest row per URL and drops the URLs that other batches
+    have stored, however long ago; there is no watermark behind which rows get lost.
     """
-    timed = stream.withColumn(at, F.col(at).cast("timestamp")).withColumn("norm_url", normalize_url(F.col(url)))
-    return timed.withWatermark(at, delay).dropDuplicatesWithinWatermark(["norm_url"])
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        timed = batch.withColumn(at, F.col(at).cast("timestamp")).withColumn("norm_url", normalize_url(F.col(url)))
+        found = timed.groupBy("norm_url").agg(F.min_by(F.struct(*timed.columns), F.struct(at, url)).alias("r")).select("r.*")
+        if batch_id > 0:
+            stored = spark.read.parquet(root).where(F.col("part") < batch_id).select("norm_url")
+            found = found.join(stored, "norm_url", "left_anti")
+        found.write.mode("overwrite").parquet(f"{root}/part={batch_id}")
+
+    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 
 
 def live_progress(events: DataFrame) -> DataFrame:
@@ -58,61 +72,39 @@ def live_progress(events: DataFrame) -> DataFrame:
     )
 
 
-def windowed_statistics(events: DataFrame, at: str = "ts", width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Event counts per time window; rows later than the watermark are dropped."""
-    timed = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, delay)
+def windowed_statistics(events: DataFrame, at: str = "ts", width: str = "1 hour") -> DataFrame:
+    """Event counts per time window; write in update mode.
+
+    State is one row per window, few enough to keep all: late rows count in their
+    window whenever they come, and the newest window is there from its first row.
+    """
+    timed = events.withColumn(at, F.col(at).cast("timestamp"))
     return timed.groupBy(F.window(at, width).alias("w")).agg(
         F.count("*").alias("total"), F.count_if("success").alias("successful"),
         F.count_if(~F.col("success")).alias("failed"),
     ).select(F.col("w.start").alias("window_start"), "total", "successful", "failed")
 
 
-def pace_stream(requests: DataFrame, delay_seconds: float, domain: str = "domain", arrival: str = "arrival", order: str = "id"):
-    """Per-domain pacing: start times that keep ``delay_seconds`` between requests of a domain.
+def updates(counts: DataFrame, root: str, checkpoint: str) -> DataStreamWriter:
+    """Changed rows of running counts, one folder ``root/part=N`` per micro-batch; the last row of a key counts."""
 
-    State is one number per domain, the last start in microseconds. A domain's
-    rows of a micro-batch come in Arrow batches and are read in arrival order.
-    """
-    step = round(delay_seconds * 1_000_000)
-    key_type = requests.schema[domain].dataType.simpleString()
-    id_type = requests.schema[order].dataType.simpleString()
-
-    def pace(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import numpy as np
-        import pandas as pd
-
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["at", "id"], kind="stable")
-        at = rows["at"].to_numpy("int64")
-        index = np.arange(len(at), dtype="int64")
-        slack = at - index * step
-        if state.exists:
-            slack[0] = max(slack[0], state.get[0] + step)
-        start = np.maximum.accumulate(slack) + index * step
-        state.update((int(start[-1]),))
-        yield pd.DataFrame({"domain": key[0], "id": rows["id"].to_numpy(), "at": at, "start": start})
-
-    micros = requests.select(
-        F.col(domain).alias("domain"), F.col(order).alias("id"),
-        F.unix_micros(F.col(arrival).cast("timestamp")).alias("at"),
-    )
-    paced = micros.groupBy("domain").applyInPandasWithState(
-        pace,
-        f"domain {key_type}, id {id_type}, at bigint, start bigint",
-        "last_start bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-    return paced.select(
-        "domain", "id", F.timestamp_micros("start").alias("start"),
-        ((F.col("start") - F.col("at")) / F.lit(1e6)).alias("wait_seconds"),
-    )
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/part={batch_id}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
+
+
+def newest_counts(stored: DataFrame, *keys: str) -> DataFrame:
+    """Current state of what :func:`updates` has written."""
+    counts = [c for c in stored.columns if c not in (*keys, "part")]
+    return stored.groupBy(*keys).agg(*[F.max_by(c, "part").alias(c) for c in counts])
 
 
 def pace_batches(requests: DataFrame, root: str, checkpoint: str, delay_seconds: float, domain: str = "domain",
                  arrival: str = "arrival", order: str = "id") -> DataStreamWriter:
-    """The same pacing for domains too busy for one task.
+    """Pacing of a request stream: start times that keep ``delay_seconds`` between requests of a domain.
 
-    Every micro-batch is scheduled with the two-level batch operator, which
+    Every micro-batch is scheduled with the batch operator, which
     spreads a domain over tasks, and continues from the last starts that the
     batch before it wrote under ``root``. Folders are named by batch id and
     overwritten, so a repeated batch changes nothing.
@@ -125,7 +117,8 @@ def pace_batches(requests: DataFrame, root: str, checkpoint: str, delay_seconds:
             known = spark.read.parquet(f"{root}/last/batch={batch_id - 1}")
         timed = schedule(batch.withColumn("delay", F.lit(delay_seconds)), domain, arrival, order, last_starts=known)
         timed.write.mode("overwrite").parquet(f"{root}/starts/batch={batch_id}")
-        mine = spark.read.parquet(f"{root}/starts/batch={batch_id}").groupBy(domain).agg(
+        paced = spark.read.parquet(f"{root}/starts/batch={batch_id}").where(F.coalesce(F.col(domain).cast("string"), F.lit("")) != "")
+        mine = paced.groupBy(domain).agg(
             F.unix_micros(F.max("start").cast("timestamp")).alias("last_start")
         )
         if known is not None:
@@ -136,25 +129,18 @@ def pace_batches(requests: DataFrame, root: str, checkpoint: str, delay_seconds:
 
 
 def robots_stream(
-    requests: DataFrame, snapshots: DataFrame, user_agent: str = "*", url: str = "url", at: str = "requested_at",
-    cache_seconds: int = CACHE_SECONDS,
-) -> DataFrame:
-    """Robots check of a request stream against the snapshot table as of each request.
-
-    A stream-static join: every micro-batch reads the table as it is then. The
-    table must hold one live snapshot per origin (the cache keeps the newest).
+    requests: DataFrame, read_snapshots: Callable[[], DataFrame], root: str, checkpoint: str, request_id: str, user_agent: str = "*",
+    url: str = "url", at: str = "requested_at", cache_seconds: int = CACHE_SECONDS,
+) -> DataStreamWriter:
+    """Robots check of a request stream, written to ``root/part=N`` per micro-batch.
+
+    Every micro-batch runs the batch operator on the snapshot table as it is then
+    (``read_snapshots`` opens it), so a request meets the newest snapshot that was
+    live when it was made, and comes out once.
     """
-    rules = agent_rules(snapshots, user_agent)
-    cached = snapshots.select("snapshot_id", "origin", F.col("fetched_at").cast("timestamp").alias("_fetched"))
-    known = cached.join(rules, "snapshot_id", "left")
-    asked = requests.withColumn("origin", origin_of(F.col(url)))
-    joined = asked.join(known, "origin", "left")
-    age = (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros("_fetched")) / F.lit(1e6)
-    live = (age >= 0) & (age < cache_seconds)
-    verdict = F.when(F.coalesce(live, F.lit(False)), rules_allow(F.col("rules"), robots_path(F.col(url)))).otherwise(True)
-    return joined.withColumn("allowed", verdict).drop("origin", "snapshot_id", "_fetched", "rules", "crawl_delay")
-
-
-def newest_snapshots(snapshots: DataFrame) -> DataFrame:
-    """The cache: the newest snapshot per origin."""
-    return snapshots.groupBy("origin").agg(F.max_by(F.struct("*"), "fetched_at").alias("s")).select("s.*")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        checked = check_robots(batch, read_snapshots(), request_id, user_agent, url, at, cache_seconds)
+        checked.write.mode("overwrite").parquet(f"{root}/part={batch_id}")
+
+    return requests.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)

@@ -223,3 +223,30 @@ def test_resolve(values):
     base = "https://h.org/a/b/c?x=1#f"
     refs = ["/r", "r", "../r", "./r/", "?q", "#g", "//o.org/z", "mailto:a", "..", "../..", "../../../r?y#z", "", ".", "./", "r/./s", "r/../s", "http://x/y", "a:b/../c", "/a/../b/."]
     assert [v for v in values(lambda v: urls.resolve_url(F.lit(base), v), refs)] == [urljoin(base, r) for r in refs]
+
+
+def test_private_ipv6_equals_the_address_library(values):
+    import ipaddress
+    import random
+
+    rng = random.Random(4)
+    heads = [0, 1, 0x64, 0x100, 0x2001, 0x2002, 0xFC00, 0xFE80, 0xFF9B, 0xDB8, 0xFFFF, 0x20, 0x7F00, 0x4860]
+    found = []
+    for _ in range(400):
+        number = 0
+        for _ in range(8):
+            number = number << 16 | rng.choice([0, 0, 0, rng.choice(heads), rng.randrange(1 << 16)])
+        a = ipaddress.IPv6Address(number if rng.random() < 0.8 else 0xFFFF << 32 | rng.randrange(1 << 32))
+        found.append(rng.choice([a.exploded, a.compressed, str(a)]))
+    found += ["::ffff:127.0.0.1", "::ffff:1.1.1.1", "1::2::3", "1:2:3", ":::", "1:2:3:4:5:6:7:8:9", "::1.2.3.400", "g::1"]
+
+    def private(h):
+        try:
+            a = ipaddress.ip_address(h)
+        except ValueError:
+            return any(m in h for m in ("localhost", "local", "127.0.0.1", "::1"))
+        return a.is_private or a.is_loopback or a.is_link_local
+
+    from pageforge.functions.urls import is_private_host
+
+    assert values(is_private_host, found) == [private(h) for h in found]

@@ -58,9 +58,42 @@ def test_schedule_equals_a_sequential_loop(spark):
     rng = random.Random(1)
     rows = [(i, rng.choice(["hot", "hot", "cold", ""]), T0 + timedelta(seconds=rng.randrange(0, 9000), microseconds=rng.randrange(10**6))) for i in range(800)]
     df = spark.createDataFrame(rows, "id int, domain string, arrival timestamp_ntz").withColumn("delay", F.lit(7.25))
-    for seconds in (60, 3600):
-        got = {r.id: r.start for r in pacing.schedule(df, chunk_seconds=seconds).collect()}
-        assert got == sequential_starts(rows, timedelta(seconds=7.25))
+    got = {r.id: r.start for r in pacing.schedule(df).collect()}
+    assert got == sequential_starts(rows, timedelta(seconds=7.25))
+
+
+def test_schedule_keeps_rows_without_domain_or_arrival(spark):
+    rows = [(1, None, T0), (2, "a", None), (3, "a", T0), (4, "a", T0), (5, None, None), (6, "", T0)]
+    df = spark.createDataFrame(rows, "id int, domain string, arrival timestamp_ntz").withColumn("delay", F.lit(2.0))
+    got = {r.id: r.start for r in pacing.schedule(df).collect()}
+    assert got == {1: T0, 2: None, 3: T0, 4: T0 + timedelta(seconds=2), 5: None, 6: T0}
+
+
+def test_rules_keep_their_groups(spark):
+    df = spark.createDataFrame([("https://a.org/xx",), ("https://a.org/xy",)], "url string")
+    rules = urlrules.UrlRules(deny_regex=(r"(q)z", r"(?P<n>x)(?P=n)"))
+    assert [r.url for r in df.where(rules.allows(F.col("url"))).collect()] == ["https://a.org/xy"]
+    with pytest.raises(ValueError):
+        urlrules.UrlRules(deny_regex=("(",))
+
+
+def test_cancellation_stands_only_before_an_end(spark):
+    rows = [("a", 1, "running"), ("a", 2, "completed"), ("a", 3, "cancelled"), ("b", 1, "running"), ("b", 2, "cancelled"), ("b", 3, "completed"), ("c", 1, "completed"), ("c", 2, "running")]
+    df = spark.createDataFrame([(j, s, x, T0 + timedelta(hours=s)) for j, s, x in rows], "job_id string, seq int, status string, ts timestamp_ntz")
+    got = {r.job_id: (r.status, r.completed_at) for r in jobs.latest_states(df).collect()}
+    assert got == {"a": ("completed", T0 + timedelta(hours=2)), "b": ("cancelled", T0 + timedelta(hours=2)), "c": ("running", None)}
+
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda k, d=None: d)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        keys.shared_folder(Session)
 
 
 def test_delays_and_domain_statistics(spark):
@@ -174,7 +207,7 @@ def test_job_states_and_cancellation(spark):
     rows = [("a", 1, "pending"), ("a", 2, "running"), ("a", 3, "cancelled"), ("a", 4, "completed"), ("b", 1, "pending")]
     df = spark.createDataFrame([(j, s, st, T0 + timedelta(hours=s)) for j, s, st in rows], "job_id string, seq int, status string, ts timestamp_ntz")
     got = {r.job_id: (r.status, r.completed_at) for r in jobs.latest_states(df).collect()}
-    assert got == {"a": ("cancelled", T0 + timedelta(hours=4)), "b": ("pending", None)}
+    assert got == {"a": ("cancelled", T0 + timedelta(hours=3)), "b": ("pending", None)}
     empty = jobs.statistics(jobs.latest_states(df.where("false")).withColumn("total_urls", F.lit(1))).first()
     assert (empty.total_jobs, empty.success_rate, empty.avg_urls_per_job) == (0, 0.0, 0.0)
 

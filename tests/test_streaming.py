@@ -35,14 +35,6 @@ def requests(spark):
     return [df.where(f"id % 300 between {a} and {a + 99}") for a in (0, 100, 200)], want
 
 
-def test_pacing_in_state(spark, tmp_path):
-    frames, want = requests(spark)
-    stream = micro_batches(spark, tmp_path / "in", frames)
-    paced = S.pace_stream(stream, 20.0)
-    drain(paced.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")))
-    assert {r.id: r.start for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
-
-
 def test_pacing_by_batches(spark, tmp_path):
     frames, want = requests(spark)
     stream = micro_batches(spark, tmp_path / "in", frames)
@@ -61,22 +53,45 @@ def test_ingest_stream_keeps_first(spark, tmp_path):
     assert {(r.url, r.title) for r in stored.collect()} == {("https://a.org/1", "t1"), ("https://a.org/2", "t4")}
 
 
-def test_late_rows_are_dropped(spark, tmp_path):
+def test_ingest_stream_reports_what_it_does_not_store(spark, tmp_path):
+    rows = [(1, "https://a.org/1", "<h1>t</h1><article>c</article>"), (2, "ftp://a.org/2", "<h1>t</h1>"), (3, "https://a.org/3", ""), (4, "https://a.org/4", "<p>x</p>")]
+    rows.append((5, "https://a.org/5", "<h1>" + "t" * 600 + "</h1><article>c</article>"))
+    stream = micro_batches(spark, tmp_path / "in", [spark.createDataFrame(rows, readers.PAGE_SCHEMA)])
+    root = str(tmp_path / "tables")
+    drain(S.ingest_stream(stream, "article", root, str(tmp_path / "c"), F.lit("2024-01-01")))
+    results = {r.request_id: r.errors for r in spark.read.parquet(f"{root}/results").collect()}
+    assert set(results) == {1, 2, 3, 4, 5} and not results[1] and all(results[k] for k in (2, 3, 4))
+    assert [r.request_id for r in spark.read.parquet(f"{root}/rejects").collect()] == [5]
+    assert [r.url for r in sinks.read_table(spark, root, "article").collect()] == ["https://a.org/1"]
+
+
+def test_late_rows_count_in_their_hour(spark, tmp_path):
     def events(hours):
         return spark.createDataFrame([("j", True, T0 + timedelta(hours=h)) for h in hours], "job_id string, success boolean, ts timestamp_ntz")
 
     stream = micro_batches(spark, tmp_path / "in", [events([1, 1, 6]), events([7]), events([1, 20])])
-    made = S.windowed_statistics(stream)
-    drain(made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")))
-    got = {r.window_start.hour: r.total for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: 2, 6: 1, 7: 1}
+    drain(S.updates(S.windowed_statistics(stream), str(tmp_path / "out"), str(tmp_path / "c")))
+    got = {r.window_start.hour: r.total for r in S.newest_counts(spark.read.parquet(str(tmp_path / "out")), "window_start").collect()}
+    assert got == {1: 3, 6: 1, 7: 1, 20: 1}
 
 
 def test_first_urls_across_batches(spark, tmp_path):
     def urls(rows):
         return spark.createDataFrame([(u, T0 + timedelta(minutes=m)) for u, m in rows], "url string, ts timestamp_ntz")
 
-    stream = micro_batches(spark, tmp_path / "in", [urls([("https://a.org/#x", 0), ("https://b.org", 1)]), urls([("https://a.org", 5), ("https://c.org", 6)])])
-    made = S.first_urls(stream, "ts")
-    drain(made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")))
+    stream = micro_batches(spark, tmp_path / "in", [urls([("https://a.org/#x", 0), ("https://b.org", 1)]), urls([("https://a.org", -5), ("https://c.org", -6)])])
+    drain(S.first_urls(stream, "ts", str(tmp_path / "out"), str(tmp_path / "c")))
     assert sorted(r.norm_url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["https://a.org", "https://b.org", "https://c.org"]
+
+
+def test_robots_stream_takes_the_newest_live_snapshot_once(spark, tmp_path):
+    at = lambda m: T0 + timedelta(minutes=m)
+    rules = lambda path: f"User-agent: *\nDisallow: {path}"
+    snapshots = spark.createDataFrame(
+        [("s1", "https://a.org", at(0), 200, rules("/x")), ("s2", "https://a.org", at(10), 200, rules("/y")), ("s3", "https://a.org", at(31), 200, rules("/"))],
+        "snapshot_id string, origin string, fetched_at timestamp, status int, content string",
+    )
+    asked = spark.createDataFrame([(1, "https://a.org/x", at(30)), (2, "https://a.org/y", at(30)), (3, "https://b.org/", at(30))], "id long, url string, requested_at timestamp")
+    stream = micro_batches(spark, tmp_path / "in", [asked])
+    drain(S.robots_stream(stream, lambda: snapshots, str(tmp_path / "out"), str(tmp_path / "c"), "id"))
+    assert sorted((r.id, r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, True), (2, False), (3, True)]
