@@ -47,7 +47,10 @@ PATTERNS = {
     "phone": r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)",
     "name": rf"(?<!\w){_TITLE} \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
-ANY_ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# Every pattern begins where no word character stands before; asked once, that settles most places.
+ANY_ENTITY = r"(?<!\w)(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
+# A text without any of these has no entity.
+HINT = rf"[0-9@=:]|\b{_TITLE} \p{{Lu}}"
 
 # Alphabets whose letters stand in for each other.
 ALPHABETS = (
@@ -71,6 +74,12 @@ CYRILLIC_POOLS = {
 MAX_ROUNDS = 24
 
 
+def _matches(text: Column) -> Column:
+    """All entities of a text as they are spelled, in order."""
+    found = F.regexp_extract_all(text, F.lit(ANY_ENTITY), F.lit(0))
+    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
+
+
 def _chars(s: Column) -> Column:
     return F.array_remove(F.split(s, ""), "")
 
@@ -266,8 +275,7 @@ def _rewritten(raw: Column, drawn: Column, key: str) -> Column:
 
 def _mentions(docs: DataFrame) -> DataFrame:
     """Settled (text_hash, kind, norm), each once per text."""
-    matches = F.regexp_extract_all("text", F.lit(ANY_ENTITY), F.lit(0))
-    each = docs.select(docs["text"].alias("text")).select(F.xxhash64("text").alias("th"), F.explode(matches).alias("raw"))
+    each = docs.select(docs["text"].alias("text")).select(F.xxhash64("text").alias("th"), F.explode(_matches(F.col("text"))).alias("raw"))
     return settle(each.select("th", F.explode(_parts(F.col("raw"))).alias("p")).select("th", "p.*").distinct(), "mentions")
 
 
@@ -317,6 +325,5 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
             F.when(F.size(raws) > 0, text).otherwise(docs["text"]).alias("text"), F.size(raws).cast("long").alias("n")
         )
 
-    matches = F.regexp_extract_all(F.coalesce(docs["text"], F.lit("")), F.lit(ANY_ENTITY), F.lit(0))
-    out = out.withColumn("__new", let(matches, rewritten))
+    out = out.withColumn("__new", let(_matches(F.coalesce(docs["text"], F.lit(""))), rewritten))
     return out.select(*[F.col("__new.text").alias("text") if c == "text" else docs[c] for c in names], F.col("__new.n").alias("n_entities"))
