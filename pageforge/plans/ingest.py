@@ -25,15 +25,20 @@ RESULT_COLUMNS = (
 )
 
 
+# Facts of the fetch that a landed page (or a request with its own html) may bring.
+FETCH_FACTS = {"status_code": "int", "response_headers": "map<string,string>", "crawled_at": "timestamp"}
+
+
 def with_pages(requests: DataFrame, pages: DataFrame) -> DataFrame:
-    """Every request once, with the html of its page; null where no page has landed.
+    """Every request once, with the html of its page and the facts of its fetch; null where no page has landed.
 
     Of pages that landed twice under one URL the first (by page_id) is taken.
     """
     asked = requests.select("url").where("url IS NOT NULL").distinct()
-    named = pages.select("page_id", "url", "html").join(asked, "url", "left_semi")
+    facts = [c for c in FETCH_FACTS if c in pages.columns and c not in requests.columns]
+    named = pages.select("page_id", "url", "html", *facts).join(asked, "url", "left_semi")
     landed = keep_first(named, "url", "page_id")
-    return requests.join(landed.select("url", "html"), "url", "left")
+    return requests.join(landed.select("url", "html", *facts), "url", "left")
 
 
 def _with_defaults(requests: DataFrame) -> DataFrame:
@@ -67,7 +72,8 @@ def ingest(
     """One result row per request of one content type.
 
     ``requests``: request_id (unique), url, and html unless ``pages`` is given;
-    optional flags, job_id, metadata, and requested_at for the robots check.
+    optional flags, job_id, metadata, processing_time, fetch facts (status_code,
+    response_headers, crawled_at; pages may bring them), and requested_at for the robots check.
     Refused requests keep their row but lose their html, so no extraction work
     is done for them. ``data`` is the typed record.
     """
@@ -84,7 +90,8 @@ def ingest(
         # A refused request has no page to look for, so no html moves for it.
         wanted = asked.withColumns({"_url": F.col("url"), "url": F.when(F.col("refused").isNull(), F.col("url"))})
         asked = with_pages(wanted, pages).withColumn("url", F.col("_url")).drop("_url")
-    kept = ["request_id", "job_id", "metadata", "processing_time", "refused", "has_page", *FLAGS]
+    asked = asked.withColumns({n: F.lit(None).cast(kind) for n, kind in FETCH_FACTS.items() if n not in asked.columns})
+    kept = ["request_id", "job_id", "metadata", "processing_time", "refused", "has_page", *FLAGS, *FETCH_FACTS]
     fetched = asked.withColumns(
         {
             "has_page": F.coalesce(F.col("html"), F.lit("")) != "",
@@ -107,6 +114,8 @@ def ingest(
         .otherwise(none)
     )
     keep_row = success & F.col("store_in_db")
+    crawled = F.date_format(F.col("crawled_at").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("crawl_timestamp")
+    extraction = F.struct("status_code", "response_headers", *meta, crawled, "selector_errors")
     return checked.select(
         "request_id",
         "url",
@@ -119,9 +128,11 @@ def ingest(
         (F.col("refused").isNull() & ~F.col("has_page")).alias("fetch_failed"),
         "processing_time",
         "store_in_db",
-        F.when(ran, raw_envelope(F.col("html"), F.col("store_raw_data"), F.struct(*meta, "selector_errors"))).alias("raw_data"),
+        F.when(ran, raw_envelope(F.col("html"), F.col("store_raw_data"), extraction)).alias("raw_data"),
         meta_envelope(
+            crawl_timestamp=crawled,
             job_id=F.col("job_id"),
+            processing_time=F.col("processing_time"),
             selectors_used=F.lit(None).cast("string") if selectors is None else F.lit(str(dict(selectors))),
             validation_errors=F.col("_missing"),
             metadata=F.col("metadata"),
