@@ -48,7 +48,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(documents(spark, sf_dir))
+    removed = F.array_join(F.transform("removed", lambda i: i.cast("string")), ",").alias("removed")
+    return line_dedup.report(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", removed)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,5 +89,51 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op7_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line
+  FROM documents WHERE doc_id IS NOT NULL
+), w AS (
+  SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))) AS s FROM l
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, line) AS nth FROM w WHERE len(s) > 0
+), c AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id, line) AS id, len(s) AS n FROM k WHERE nth = 1
+), t AS (SELECT id, n, unnest(s) AS word FROM c),
+f AS (SELECT word, count(*) AS df FROM t GROUP BY word),
+p AS (
+  SELECT id, n, word FROM (SELECT t.*, row_number() OVER (PARTITION BY id ORDER BY df, word) AS pos FROM t JOIN f USING (word))
+  WHERE pos <= n - (4 * n + 4) // 5 + 1
+), pairs AS (
+  SELECT DISTINCT a.id AS later, b.id AS earlier FROM p a JOIN p b ON a.word = b.word AND b.id < a.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+), gone AS (
+  SELECT doc_id, line FROM k WHERE nth > 1
+  UNION ALL
+  SELECT x.doc_id, x.line FROM c x WHERE EXISTS (
+    SELECT 1 FROM pairs JOIN c y ON y.id = earlier WHERE later = x.id AND 9 * len(list_intersect(x.s, y.s)) >= 4 * (x.n + y.n))
+), lost AS (SELECT doc_id, count(*) AS n_removed, string_agg(line, ',' ORDER BY line) AS removed FROM gone GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n_lines FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN counted USING (doc_id) LEFT JOIN lost USING (doc_id)
+""",
+    "op10_ngram_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT x, y, shared = nx.n AND shared = ny.n AS same FROM o JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 9 * shared >= 4 * (nx.n + ny.n)
+), reach AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM reach r JOIN e ON r.y = e.x)
+SELECT d.doc_id,
+  least(d.doc_id, coalesce((SELECT min(y) FROM e WHERE x = d.doc_id AND same), d.doc_id)) AS copy_id,
+  least(d.doc_id, coalesce((SELECT min(y) FROM reach WHERE x = d.doc_id), d.doc_id)) AS class_id,
+  (SELECT count(*) FROM e WHERE x = d.doc_id) AS n_links
+FROM d
 """,
 }
