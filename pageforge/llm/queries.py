@@ -19,7 +19,7 @@ def tokenizer_path(name: str = packing.TOKENIZER) -> str:
 
 
 def op1_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_dedup.dedup(documents(spark, sf_dir)).drop("text")
+    return sentence_dedup.dedup(documents(spark, sf_dir))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
