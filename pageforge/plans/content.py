@@ -7,6 +7,7 @@ and measured in the next, so that every cleaned text is computed once.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -206,23 +207,35 @@ def product(df: DataFrame, keep: Iterable[str] = ("url",)) -> DataFrame:
 
 
 _JOBS: dict[str, Job] = {"blog": blog, "prompt": prompt, "article": article, "product": product}
-_TYPES: dict[str, catalog.ContentType] = dict(catalog.CONTENT_TYPES)
 
 
 def register(spec: catalog.ContentType, job: Job) -> None:
-    """Add a content type: its catalogue entry and a DataFrame-to-DataFrame job."""
-    _TYPES[spec.name] = spec
+    """Add a content type: its catalogue entry, which all of the library reads, and a DataFrame-to-DataFrame job."""
+    catalog.CONTENT_TYPES[spec.name] = spec
     _JOBS[spec.name] = job
 
 
+def unregister(name: str) -> None:
+    catalog.CONTENT_TYPES.pop(name, None)
+    _JOBS.pop(name, None)
+
+
+@contextmanager
+def registered(spec: catalog.ContentType, job: Job):
+    """A content type for the plans built inside the ``with`` block."""
+    register(spec, job)
+    try:
+        yield spec
+    finally:
+        unregister(spec.name)
+
+
 def supported_types() -> list[str]:
     return list(_JOBS)
 
 
 def type_of(name: str) -> catalog.ContentType:
-    if name not in _TYPES:
-        raise ValueError(f"Unsupported content type: {name}")
-    return _TYPES[name]
+    return catalog.content_type(name)
 
 
 def process(df: DataFrame, content_type: str, keep: Iterable[str] = ("url",)) -> DataFrame:
