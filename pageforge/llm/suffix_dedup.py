@@ -12,8 +12,11 @@ rank is already unique or whose answer is already known:
 2. Shared seeds are ranked again by the pair (seed rank, rank of the context of
    all strings around the seed). A context that stands earlier settles all of
    its strings at once.
-3. First contexts of seeds that have several are ranked string by string: ranks
-   at offsets 1, 2, 4, ... are paired and doubled up to ``LENGTH``, sorted within
+3. A string around a seed reaches ``HALF`` bytes beyond it on one side at least.
+   First contexts are ranked by the seed and that much on either side; a context
+   whose ranks are both unique holds no repeated string and drops out.
+4. The others are ranked string by string: ranks at
+   offsets 1, 2, 4, ... are paired and doubled up to ``LENGTH``, sorted within
    (seed, salt) groups, and the first of each is found. Salts split large seeds
    into parts of bounded size; what is first in its part meets the others by a
    minimum that is combined before the shuffle.
@@ -43,6 +46,7 @@ LENGTH, SEED = 100, 24
 WINDOW = LENGTH - SEED + 1
 BEFORE = LENGTH - SEED
 CONTEXT = BEFORE + LENGTH
+HALF = (BEFORE + 1) // 2
 PART = 4096
 SLICE = 1 << 20
 
@@ -140,13 +144,17 @@ def _columns(lists, *names: str) -> list[np.ndarray]:
 
 
 def _contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """Settled (h, x, doc_id, at, first, first_x): x ranks the context; flags for the first in the group and in the document."""
+    """Settled (h, x, left, right, doc_id, at, first, first_x).
+
+    x ranks the context, left and right the seed with ``HALF`` bytes before or after
+    it (null where the text ends first); flags for the first in the group and in the document.
+    """
 
     def run(batches):
         for batch in batches:
             h, place, first_doc = _columns(batch.column(2), "h", "at", "first_doc")
             ends = batch.column(2).offsets.to_numpy() - batch.column(2).offsets.to_numpy()[0]
-            out = [[np.empty(0, np.int64)] * 4 + [np.empty(0, bool)] * 2]
+            out = [[np.empty(0, np.int64)] * 4 + [np.empty(0, bool)] * 2 + [np.empty(0, np.int64), np.empty(0, bool)] * 2]
             for k, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 data, s = _bytes(text), slice(ends[k], ends[k + 1])
                 order = np.unique(place[s], return_index=True)[1]
@@ -154,16 +162,19 @@ def _contexts(docs: DataFrame, shared: DataFrame) -> DataFrame:
                 x = np.array(
                     [xxhash.xxh3_64_intdigest(data[max(0, p - BEFORE) : p + LENGTH], seed=min(p, BEFORE)) for p in pp.tolist()], np.uint64
                 ).view(np.int64)
+                part = lambda lo, hi: np.array([xxhash.xxh3_64_intdigest(data[max(0, p + lo) : p + hi]) for p in pp.tolist()], np.uint64).view(np.int64)  # noqa: E731, B023
+                left, right = part(-HALF, SEED), part(0, SEED + HALF)
+                no_left, no_right = pp < HALF, pp + SEED + HALF > len(data)
                 first_h, first_x = np.zeros(len(hh), bool), np.zeros(len(hh), bool)
                 first_h[np.unique(hh, return_index=True)[1]] = True
                 first_x[np.unique(np.stack([hh, x]), axis=1, return_index=True)[1]] = True
-                out.append([hh, x, np.full(len(hh), key, np.int64), pp, first_h & (dd == key), first_x])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c)) for c in zip(*out)], names=["h", "x", "doc_id", "at", "first", "first_x"]
-            )
+                out.append([hh, x, np.full(len(hh), key, np.int64), pp, first_h & (dd == key), first_x, left, no_left, right, no_right])
+            h_, x_, doc, at, first, first_x, left, no_left, right, no_right = (np.concatenate(c) for c in zip(*out))
+            columns = [pa.array(h_), pa.array(x_), pa.array(left, mask=no_left), pa.array(right, mask=no_right), pa.array(doc), pa.array(at), pa.array(first), pa.array(first_x)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "x", "left", "right", "doc_id", "at", "first", "first_x"])
 
     source = _named(docs).join(_per_document(shared, "h", "at", "first_doc"), "doc_id").select("doc_id", "text", "_seeds")
-    return settle(source.mapInArrow(run, "h long, x long, doc_id long, at long, first boolean, first_x boolean"), "contexts")
+    return settle(source.mapInArrow(run, "h long, x long, left long, right long, doc_id long, at long, first boolean, first_x boolean"), "contexts")
 
 
 def _ranked_contexts(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,10 +183,13 @@ def _ranked_contexts(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
     many = firsts.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     ranked = contexts.join(firsts, ["h", "x"])
     earlier = ~(F.col("first_x") & (F.col("doc_id") == F.col("x_doc")))
-    ranked = settle(ranked.select("h", "doc_id", "at", "first", earlier.alias("earlier")), "ranked-contexts")
-    salts = F.ceil(F.col("n") / PART).cast("int").alias("salts")
-    open_ = ranked.filter("NOT earlier").join(many, "h").select("h", salts, "doc_id", "at")
-    return ranked.filter("earlier").select("doc_id", "at"), settle(open_, "open-contexts")
+    ranked = settle(ranked.select("h", "left", "right", "doc_id", "at", earlier.alias("earlier")), "ranked-contexts")
+    several = settle(ranked.filter("NOT earlier").join(many.select("h"), "h").drop("earlier"), "several-contexts")
+    twice = lambda side: several.groupBy("h", side).agg(F.count("*").alias("c")).filter("c > 1").drop("c")
+    either = [several.join(twice(side), ["h", side], "left_semi").select("h", "doc_id", "at") for side in ("left", "right")]
+    open_ = settle(either[0].union(either[1]).distinct(), "repeated-halves")
+    sizes = open_.groupBy("h").agg(F.ceil(F.count("*") / PART).cast("int").alias("salts"))
+    return ranked.filter("earlier").select("doc_id", "at"), settle(open_.join(sizes, "h"), "open-contexts")
 
 
 def _merge(doc: np.ndarray, place: np.ndarray):
