@@ -39,7 +39,7 @@ def compiles(pattern: str) -> bool:
             return False
         return True
     try:
-        re.compile(re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern))
+        re.compile(re.sub(r"\\k<(\w+)>", r"(?P=\1)", re.sub(r"\(\?<(?=[A-Za-z])", "(?P<", pattern)))
     except re.error:
         return False
     return True
