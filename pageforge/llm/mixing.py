@@ -6,7 +6,11 @@ others by weight until none is above (water filling over one row per source).
 A source is dealt into blocks by ranges of a keyed hash, so their order is a
 random permutation. Whole passes over a source and then its first blocks are
 drawn until the target is met; the block in which the target falls is drawn by
-document, large ones first, as far as they fit.
+document, large ones first, as far as they fit. The gap that this leaves goes on
+into the following blocks, over the documents that still fit, until no document
+left does; then the smallest one left is drawn if that comes nearer. So a source
+ends at most half of its smallest document not drawn away from its target,
+however long the others are.
 
 The drawn blocks of all sources are then shared out exactly: a binary tree over
 the output shards splits the vector of block quotas at every node by a
@@ -64,16 +68,13 @@ def targets(sources: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Draw inside one block: large items first, as far as they fit; then the smallest one left if that comes nearer."""
+    """Draw inside one block: large items first, as far as they fit."""
     pdf = pdf.sort_values(["weight_", "key", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last")
     gap, drawn = float(pdf["gap"].iloc[0]), np.zeros(len(pdf), bool)
     for i, w in enumerate(pdf["weight_"].to_numpy()):
         if w <= gap:
             drawn[i], gap = True, gap - w
-    rest = np.flatnonzero(~drawn)
-    if len(rest) and gap > pdf["weight_"].to_numpy()[rest[-1]] / 2:
-        drawn[rest[-1]] = True
-    return pdf.assign(drawn=drawn)[["doc_id", "source", "size", "drawn"]]
+    return pdf[drawn][["doc_id", "source", "size", "block", "weight_"]]
 
 
 def _same(a: DataFrame, b: DataFrame, *names: str) -> Column:
@@ -113,6 +114,57 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select("source", F.col("node").alias("shard"), "quota")
 
 
+def _line(blocks: DataFrame) -> DataFrame:
+    """Rows (source, block, block_size, rest) with their ``state`` and what is left of ``rest`` before them as ``gap``."""
+    line = Window.partitionBy("source").orderBy("block")
+    blocks = blocks.withColumn("_end", F.sum("block_size").over(line)).withColumn("gap", F.col("rest") - (F.col("_end") - F.col("block_size")))
+    state = F.when(F.col("_end") <= F.col("rest"), "whole").when(F.col("gap") > 0, "part").otherwise("none")
+    return blocks.withColumn("state", state).drop("_end")
+
+
+def _drawn_by_document(placed: DataFrame, blocks: DataFrame, known_sources: int) -> DataFrame:
+    """(doc_id, source, size, block) of the documents drawn outside whole blocks.
+
+    ``placed`` has the documents with the state of their block, ``blocks`` (source, block, gap, state). In every round the
+    documents behind the last part block that fit the gap are drawn by whole blocks up to the next part block. There
+    the first one that does not fit follows at least as much that was drawn, so the gap halves from round to round.
+    """
+    names = ("doc_id", "source", "size", "block", "weight_")
+    schema = ", ".join(f"{n} {placed.schema[n].dataType.simpleString()}" for n in names)
+    spread = F.broadcast if known_sources <= SMALL_SOURCES else (lambda df: df)
+    open_ = placed.filter("state = 'part' OR state = 'none' AND weight_ > 0").select(*names, "key")
+    part = blocks.filter("state = 'part'").select("source", "block", "gap")
+    left, drawn, gaps = open_, None, None
+    while True:
+        fitted = left.join(spread(part.withColumnRenamed("source", "_s").withColumnRenamed("block", "_b")), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+        fitted = settle(fitted.select(*names, "key", "gap").groupBy("source", "block").applyInPandas(_fit, schema), "mix-fitted")
+        drawn = fitted if drawn is None else drawn.unionByName(fitted)
+        spent = fitted.groupBy("source").agg(F.sum("weight_").alias("spent"))
+        now = _join(part, spent, "source", how="left").select("source", F.col("block").alias("at"), (F.col("gap") - F.coalesce("spent", F.lit(0))).alias("rest"))
+        now = settle(now, "mix-gaps")
+        # A source without a part block in this round has run out of documents that fit; its gap stands.
+        gaps = now if gaps is None else now.unionByName(_join(gaps, now.select("source"), "source", how="left_anti"))
+        left = _join(left, spread(now), "source").filter("block > at AND weight_ <= rest").drop("at")
+        left = settle(left, "mix-left")
+        if left.isEmpty():
+            break
+        line = settle(_line(left.groupBy("source", "block").agg(F.sum("weight_").alias("block_size"), F.first("rest").alias("rest"))), "mix-line")
+        whole = line.filter("state = 'whole'")
+        took = _join(left, whole.select("source", "block"), "source", "block").select(*names)
+        drawn = drawn.unionByName(took)
+        part = line.filter("state = 'part'").select("source", "block", "gap")
+        # Without a part block all that fitted is drawn and only the sum is taken off.
+        done = whole.groupBy("source").agg(F.sum("block_size").alias("spent"), F.first("rest").alias("rest"))
+        done = _join(done, part.select("source"), "source", how="left_anti")
+        done = done.select("source", F.lit(None).cast("long").alias("at"), (F.col("rest") - F.col("spent")).alias("rest"))
+        gaps = settle(done.unionByName(_join(gaps, done.select("source"), "source", how="left_anti")), "mix-gaps")
+        left = left.drop("rest")
+    near = _join(open_, spread(gaps.filter("rest > 0").select("source", "rest")), "source").filter("weight_ > rest AND weight_ < 2 * rest")
+    near = _join(near, drawn.select("doc_id", "source", "size"), "doc_id", "source", "size", how="left_anti")
+    near = near.groupBy("source").agg(F.min_by(F.struct("doc_id", "size", "block"), F.struct("weight_", "key", "doc_id", "size")).alias("d"))
+    return settle(drawn.select("doc_id", "source", "size", "block").unionByName(near.select("d.doc_id", "source", "d.size", "d.block")), "mix-drawn")
+
+
 def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> DataFrame:
     """One row per distinct (doc_id, source, size): ``times`` it occurs, source_size, target and ``copies``.
 
@@ -140,10 +192,12 @@ def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> Dat
     placed = placed.withColumn("block", F.floor(share * F.col("blocks")).cast("long")).drop("blocks")
     blocks = placed.groupBy("source", "block").agg(F.sum("weight_").alias("block_size"))
     blocks = _join(blocks, small.select("source", "full", "rest"), "source")
-    line = Window.partitionBy("source").orderBy("block")
-    blocks = blocks.withColumn("_end", F.sum("block_size").over(line)).withColumn("gap", F.col("rest") - (F.col("_end") - F.col("block_size")))
-    state = F.when(F.col("_end") <= F.col("rest"), "whole").when(F.col("gap") > 0, "part").otherwise("none")
-    blocks = settle(blocks.select("source", "block", "full", "gap", state.alias("state")), "mix-blocks")
+    blocks = settle(_line(blocks).select("source", "block", "full", "gap", "state"), "mix-blocks")
+    parts = _drawn_by_document(_join(placed, blocks.select("source", "block", "state"), "source", "block"), blocks, known["n"])
+    # Later blocks of which a document was drawn are part of the last pass as well.
+    touched = parts.select("source", "block").distinct().withColumn("_touched", F.lit(True))
+    state = F.when((F.col("state") == "none") & F.col("_touched"), "part").otherwise(F.col("state"))
+    blocks = settle(_join(blocks, touched, "source", "block", how="left").select("source", "block", "full", state.alias("state")), "mix-blocks")
 
     # Units: a block in one pass. Each source's units in permuted order, cut into the shards' quotas.
     passes = F.col("full") + (F.col("state") != "none").cast("long")
@@ -159,13 +213,8 @@ def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> Dat
     dealt = both.withColumn("shard", F.last("shard", ignorenulls=True).over(last)).filter("_start IS NULL")
     dealt = dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("units"))
 
-    placed = _join(placed, blocks.select("source", "block", "full", "gap", "state"), "source", "block")
-    parts = (
-        placed.filter("state = 'part'")
-        .select("source", "block", "doc_id", "size", "weight_", "key", "gap")
-        .groupBy("source", "block")
-        .applyInPandas(_fit, ", ".join(f"{n} {placed.schema[n].dataType.simpleString()}" for n in ("doc_id", "source", "size")) + ", drawn boolean")
-    )
+    placed = _join(placed, blocks.select("source", "block", "full", "state"), "source", "block")
+    parts = parts.select("doc_id", "source", "size", F.lit(True).alias("drawn"))
     out = _join(_join(placed, dealt, "source", "block", how="left"), parts, "doc_id", "source", "size", how="left")
     drawn = (F.col("state") == "whole") | F.coalesce(F.col("drawn"), F.lit(False))
     taken = F.filter(F.coalesce(F.col("units"), F.array()), lambda u: (u["epoch"] <= F.col("full")) | drawn)

@@ -115,6 +115,19 @@ def test_mixing_odd_rows(odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [4, 8])
+def test_mixing_one_very_long_document(docs, seed):
+    """Where a document of half the source's words falls on the target, later documents fill the gap."""
+    rows = [(i, "w " * (100 + i * 37 % 101), "a") for i in range(2000)] + [(2000, "w " * 150_000, "a"), (2001, "w " * 300_000, "b")]
+    plan = mixing.plan(docs(*rows), weights=(1, 2), cap=3, seed=seed).collect()
+    taken = Counter()
+    for r in plan:
+        taken[r.source] += r.size * len(r.copies)
+    target = {r.source: r.target for r in plan}
+    assert 0.3 < target["a"] % 450_000 / 450_000 < 0.95
+    assert abs(taken["a"] - target["a"]) <= 100
+
+
 def test_ids_equal_the_tokenizers_library(texts):
     from tokenizers import Tokenizer
 
