@@ -2,7 +2,7 @@
 
 Detected are mail addresses, phone and card numbers, IPv4 addresses, IBANs,
 social security numbers, secrets (cloud keys, values behind password, token,
-secret or key) and names behind a title. An entity's *norm* (lower case,
+secret or key) and names behind a title, to their last capitalised word. An entity's *norm* (lower case,
 without separators) stands for all its spellings, so one person keeps one
 replacement everywhere.
 
@@ -33,6 +33,16 @@ from pageforge.llm.common import let, release, settle
 
 MALE, FEMALE, ANY = r"Mr|Herr|Monsieur|Señor|Sr|Г-н", r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа", r"Dr|Prof"
 _TITLE = rf"(?:{MALE}|{FEMALE}|{ANY})\.?"
+# Words of a name: capitals inside, hyphens and apostrophes (but not a possessive 's), initials before more of the name.
+_WORD = r"\p{Lu}[\p{L}\p{M}]*+(?:[-'’](?!s(?![\p{L}\p{M}]))\p{L}[\p{L}\p{M}]*+)*+"
+_PARTICLES = r"(?:(?:van|von|vom|zu|zur|der|den|ter|ten|de|del|della|di|da|du|dos|das|la|le|bin|ibn|al|el|['’]t) |[dl]['’]|(?:al|el)-){0,4}"
+_INITIALS = rf"(?:\p{{Lu}}\.-?)+(?= ?{_PARTICLES}\p{{Lu}})"
+_NAME = rf"{_PARTICLES}(?:{_INITIALS}(?:{_WORD})?|{_WORD})"
+_TITLES = rf"(?:{_TITLE} )+"
+_NATIONAL = (
+    r"0[1-9](?:(?: \d\d){4}|(?:\.\d\d){4}|(?:-\d\d){4})|0[1-9] \d{4} \d{4}"
+    r"|(?:\(0[1-9]\d{0,3}\) ?|0[1-9]\d{1,3}[ .-])\d{3,4}[ .-]?\d{3,4}"
+)
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _LABEL = r"(?:password|passwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?"
 # Kind -> pattern, in order of precedence.
@@ -43,14 +53,17 @@ PATTERNS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "card": r"(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w)",
-    "phone": r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)",
-    "name": rf"(?<!\w){_TITLE} \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "card": r"(?<![\w.])(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w)",
+    "phone": r"(?<![\w.])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?(?:\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\d(?:[ .-]\d{2,4}){2,5})(?!\w)"
+    r"|(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)"
+    rf"|(?<![\w.])(?<!\d-)(?:{_NATIONAL})(?!\w)",
+    "name": rf"(?<!\w){_TITLES}{_NAME}(?: {_NAME})*+",
 }
+_TOKEN = rf"{_INITIALS}|{_WORD}"
 # Every pattern begins where no word character stands before; asked once, that settles most places.
 ANY_ENTITY = r"(?<!\w)(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 # A text without any of these has no entity.
-HINT = rf"[0-9@=:]|\b{_TITLE} \p{{Lu}}"
+HINT = rf"[0-9@=:]|\b{_TITLE} {_PARTICLES}\p{{Lu}}"
 
 # Alphabets whose letters stand in for each other.
 ALPHABETS = (
@@ -231,15 +244,34 @@ def _gender(raw: Column) -> Column:
     )
 
 
+def _untitled(raw: Column) -> Column:
+    return F.regexp_replace(raw, rf"^{_TITLES}(?={_PARTICLES}\p{{Lu}})", "")
+
+
+def _renamed(raw: Column, new: Column) -> Column:
+    """A name with its words replaced in order; titles, particles and separators stay, words in capitals stay so."""
+
+    def of(rest: Column) -> Column:
+        old = F.regexp_extract_all(rest, F.lit(_TOKEN), F.lit(0))
+        cased = F.zip_with(new, old, lambda n, o: F.when(o.rlike(r"^\p{Lu}{2}") & (F.upper(o) == o), F.upper(n)).otherwise(n))
+        between = F.split(rest, _TOKEN, -1)
+        # Initials written to the next word get a space, as their names are whole.
+        between = F.transform(between, lambda b, i: F.when((b == "") & (i > 0) & (i < F.size(between) - 1), F.lit(" ")).otherwise(b))
+        body = F.array_join(F.flatten(F.zip_with(between, cased, lambda b, n: F.array(b, F.coalesce(n, F.lit(""))))), "")
+        return F.concat(F.substring(raw, F.lit(1), F.char_length(raw) - F.char_length(rest)), body)
+
+    return let(_untitled(raw), of)
+
+
 def _parts(raw: Column) -> Column:
-    """Entities of one match: array of (kind, norm); a name has one per word."""
+    """Entities of one match: array of (kind, norm); a name has one per word, the first of several being a given name."""
     kind = kind_of(raw)
 
     def of(k: Column) -> Column:
-        words = F.split(F.regexp_replace(raw, rf"^{_TITLE} ", ""), " ")
-        last = F.struct(F.lit("surname").alias("kind"), F.lower(F.element_at(words, -1)).alias("norm"))
-        first = F.struct(_gender(raw).alias("kind"), F.lower(F.element_at(words, 1)).alias("norm"))
-        name = F.when(F.size(words) > 1, F.array(first, last)).otherwise(F.array(last))
+        words = F.regexp_extract_all(_untitled(raw), F.lit(_TOKEN), F.lit(0))
+        kinds = lambda i: F.when((i == 0) & (F.size(words) > 1), _gender(raw)).otherwise(F.lit("surname"))
+        plain = lambda w: F.lower(F.translate(w, "’.", "'"))
+        name = F.transform(words, lambda w, i: F.struct(kinds(i).alias("kind"), plain(w).alias("norm")))
         return F.when(k == "name", name).otherwise(F.array(F.struct(k.alias("kind"), norm_of(k, raw).alias("norm"))))
 
     return let(kind, of)
@@ -265,7 +297,7 @@ def _rewritten(raw: Column, drawn: Column, key: str) -> Column:
                 .when(kind.isin("card", "ssn", "iban", "email"), let(fresh(whole), lambda f: _refill(_chars(raw), f)))
                 .when(kind == "secret", F.concat(F.regexp_extract(raw, rf"^({_LABEL})", 1), whole))
                 .when(kind.isin("ip", "key"), whole)
-                .otherwise(F.concat(F.regexp_extract(raw, rf"^({_TITLE} )", 1), F.array_join(n, " ")))
+                .otherwise(_renamed(raw, n))
             )
 
         return let(new, filled)

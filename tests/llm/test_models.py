@@ -232,6 +232,32 @@ def test_pii(docs):
     assert re.fullmatch(r"password=[a-z0-9]{18} AKIA[A-Z0-9]{16}", got[None]) and "b7db7" not in got[None]
 
 
+def test_pii_whole_names_and_numbers(docs):
+    """Names go to their last word; one-digit and national phone groups and 4-6-5 cards are found; dates and the like stay."""
+    names = {
+        1: ("Mr McDonald", "Mr {}"), 2: ("Mr McGregor", "Mr {}"), 3: ("Ms Smith-Jones", "Ms {}"), 4: ("Dr Maria Garcia Lopez", "Dr {} {} {}"),
+        5: ("Mrs O'Brien", "Mrs {}"), 6: ("Mrs O’Brien", "Mrs {}"), 7: ("Mr J. Smith", "Mr {} {}"), 8: ("Mr J.R.R. Tolkien", "Mr {} {}"),
+        9: ("Dr Ludwig van Beethoven", "Dr {} van {}"), 10: ("Frau Prof. Dr. Schmidt", "Frau Prof. Dr. {}"), 11: ("Mr SMITH", "Mr {}"), 12: ("Mr de Gaulle", "Mr de {}"),
+    }
+    numbers = ["+33 1 23 45 67 89", "06 12 34 56 78", "020 7946 0958", "(020) 7946 0958", "07911 123456", "3782 822463 10005"]
+    kept = ["01-02-2024", "01.02.2024 10:30", "0.5 and 1234 12.5", "2024-01-02 03 04", "+5 3 10", "version 1.02.03"]
+    rows = [(i, f"I saw {n}'s car; {n}.") for i, (n, _) in names.items()] + [(100 + i, f"Ring {n}, or {n}.") for i, n in enumerate(numbers)]
+    rows += [(200 + i, f"At {n}, or {n}.") for i, n in enumerate(kept)]
+    got, found = {r.doc_id: r.text for r in pii.replace(docs(*rows), "k").collect()}, {}
+    for i, (name, form) in names.items():
+        form = form.replace(".", r"\.").replace("{}", r"([A-Za-z]+(?:-[A-Za-z]+)*)")
+        m = re.fullmatch(rf"I saw {form}'s car; {form}\.", got[i])
+        assert m, got[i]
+        half = len(m.groups()) // 2
+        assert m.groups()[:half] == m.groups()[half:] and not set(m.groups()) & set(re.findall(r"\w+", name))
+        found[i] = m.groups()[:half]
+    assert found[1] != found[2] and found[5] == found[6] and found[11][0] == found[7][1].upper()
+    for i, n in enumerate(numbers):
+        m = re.fullmatch(r"Ring (.*), or (.*)\.", got[100 + i])
+        assert m[1] == m[2] != n and re.sub(r"\d", "0", m[1]) == re.sub(r"\d", "0", n), got[100 + i]
+    assert [got[200 + i] for i in range(len(kept))] == [r[1] for r in rows[-len(kept) :]]
+
+
 def test_pii_distinct_names(docs):
     """More names than the pool has: collisions are drawn again until all differ."""
     names = [f"Xa{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)]
