@@ -63,7 +63,7 @@ _TOKEN = rf"{_INITIALS}|{_WORD}"
 # Every pattern begins where no word character stands before; asked once, that settles most places.
 ANY_ENTITY = r"(?<!\w)(?:" + "|".join(f"(?:{p})" for p in PATTERNS.values()) + ")"
 # A text without any of these has no entity.
-HINT = rf"[0-9@=:]|\b{_TITLE} {_PARTICLES}\p{{Lu}}"
+HINT = rf"[0-9@=:]|(?<!\w)(?:AKIA|{_TITLE} {_PARTICLES}\p{{Lu}})"
 
 # Alphabets whose letters stand in for each other.
 ALPHABETS = (
@@ -240,7 +240,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
 
 def _gender(raw: Column) -> Column:
     return (
-        F.when(raw.rlike(rf"^(?:{FEMALE})\b"), "given_f").when(raw.rlike(rf"^(?:{MALE})\b"), "given_m").otherwise("given_n")
+        F.when(raw.rlike(rf"^(?:{FEMALE})(?!\w)"), "given_f").when(raw.rlike(rf"^(?:{MALE})(?!\w)"), "given_m").otherwise("given_n")
     )
 
 
