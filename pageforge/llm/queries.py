@@ -7,7 +7,10 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageforge.llm import line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, sentence_dedup, suffix_dedup, topk
+from pageforge.llm import (
+    lexical_search, line_dedup, mixing, ngram_join, packing, pii, quality_classifier, quality_rules, sentence_dedup, suffix_dedup,
+    token_alignment, topk, url_filters,
+)
 from pageforge.llm.common import documents
 
 
@@ -67,11 +70,28 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(documents(spark, sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), k=50)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.report(documents(spark, sf_dir), tokenizer_path(token_alignment.A_FILE), tokenizer_path(token_alignment.B_FILE))
+
+
+PATH_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filters.judge(pages, PATH_RULES).select("page_id", "host", "path", "rule", "verdict", "glob")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sentence_dedup, op2_suffix_dedup, op3_mixing, op4_topk, op5_quality_classifier,
         op6_packing, op7_line_dedup, op8_pii, op9_quality_rules, op10_ngram_join,
+        op11_lexical_search, op12_token_alignment, op13_url_filters,
     )
 }
 SQL: dict[str, str] = {
@@ -135,5 +155,63 @@ SELECT d.doc_id,
   least(d.doc_id, coalesce((SELECT min(y) FROM reach WHERE x = d.doc_id), d.doc_id)) AS class_id,
   (SELECT count(*) FROM e WHERE x = d.doc_id) AS n_links
 FROM d
+""",
+    "op11_lexical_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+  FROM documents WHERE doc_id IS NOT NULL
+), s AS (SELECT count(*) AS n_all, sum(len(t)) AS l_all FROM d WHERE len(t) > 0),
+i AS (
+  SELECT DISTINCT item_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE item_id IS NOT NULL
+), p AS (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d),
+f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_all + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, n_all),
+c AS (
+  SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + CAST((50 * n * n_all) // l_all AS BIGINT))))) AS score
+  FROM i JOIN f USING (term) JOIN w USING (term), s GROUP BY ALL
+), k AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM c WHERE score > 0
+)
+SELECT CAST(item_id AS BIGINT) AS item_id, CAST(rank AS INTEGER) AS rank, CAST(doc_id AS BIGINT) AS doc_id, CAST(score AS BIGINT) AS score
+FROM k WHERE rank <= 50
+""",
+    "op13_url_filters": r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, rest,
+    translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*([?][^#]*)', 1) AS query
+  FROM u
+), c AS (SELECT *, '.' || host AS dotted, host || path || query AS whole FROM h),
+r AS (
+  SELECT *, CASE
+    WHEN ends_with(dotted, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ends_with(dotted, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ends_with(dotted, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ends_with(dotted, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ends_with(dotted, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM c
+), g AS (SELECT * FROM (VALUES
+  (1, 'allow', '||w3.org/**', '^([^/?]*[.])?w3[.]org/'), (2, 'allow', '||archive.org/details/**', '^([^/?]*[.])?archive[.]org/details/'),
+  (3, 'block', '*adult-**', '^[^/?]*adult-'), (4, 'block', '*casino**', '^[^/?]*casino'), (5, 'block', '*cheap-pills**', '^[^/?]*cheap-pills'),
+  (6, 'block', '*spam-farm**', '^[^/?]*spam-farm'), (7, 'block', '*porn**', '^[^/?]*porn'), (8, 'block', '*viagra**', '^[^/?]*viagra'),
+  (9, 'block', '*betting**', '^[^/?]*betting'), (10, 'block', '*lottery-win**', '^[^/?]*lottery-win'), (11, 'block', '*free-money**', '^[^/?]*free-money'),
+  (12, 'block', '*warez**', '^[^/?]*warez'), (13, 'block', '**/wp-admin/**', '/wp-admin/'), (14, 'block', '**/wp-login.php**', '/wp-login[.]php'),
+  (15, 'block', '**/cgi-bin/**', '/cgi-bin/'), (16, 'block', '**/login', '/login$'), (17, 'block', '**/logout', '/logout$'),
+  (18, 'block', '**/checkout/**', '/checkout/'), (19, 'block', '**/cart/**', '/cart/'),
+  (20, 'block', '**.jpg', '[.]jpg$'), (21, 'block', '**.jpeg', '[.]jpeg$'), (22, 'block', '**.png', '[.]png$'), (23, 'block', '**.gif', '[.]gif$'),
+  (24, 'block', '**.mp3', '[.]mp3$'), (25, 'block', '**.mp4', '[.]mp4$'), (26, 'block', '**.avi', '[.]avi$'), (27, 'block', '**.zip', '[.]zip$'),
+  (28, 'block', '**.tar.gz', '[.]tar[.]gz$'), (29, 'block', '**.exe', '[.]exe$'), (30, 'block', '**.dmg', '[.]dmg$'), (31, 'block', '**.iso', '[.]iso$'),
+  (32, 'block', '**.apk', '[.]apk$'), (33, 'block', '**\?**sessionid=**', '[?].*sessionid='), (34, 'block', '**\?**replytocom=**', '[?].*replytocom=')
+) AS t(place, kind, written, pattern)),
+m AS (SELECT whole, min(place) AS place FROM (SELECT DISTINCT whole FROM c) JOIN g ON regexp_matches(whole, pattern, 's') GROUP BY whole)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE coalesce(kind, 'allow') END AS verdict,
+  CASE WHEN rule IS NULL THEN written END AS "glob"
+FROM r LEFT JOIN m USING (whole) LEFT JOIN g USING (place)
 """,
 }
