@@ -195,6 +195,7 @@ def test_alignment_of_made_up_texts(docs, files, brute_align):
 
 def test_alignment_in_small_blocks_without_memory(docs, files, brute_align, monkeypatch):
     monkeypatch.setattr(token_alignment, "BLOCK_DOCS", 3)
+    monkeypatch.setattr(token_alignment, "CALL_DOCS", 2)
     monkeypatch.setattr(token_alignment, "REMEMBERED", 4)
     rows = [(i, " ".join(f"w{j % (i + 2)}" for j in range(25))) for i in range(20)]
     assert aligned(token_alignment.report(docs(*rows).repartition(2), *files)) == brute_align(rows)
