@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -165,15 +164,13 @@ def content_type(name: str) -> ContentType:
 
 
 def catalog_frame(spark: SparkSession) -> DataFrame:
-    """The catalogue as a table: one row per content type. Its size is fixed, so it
-    is marked for broadcast and joins with it never shuffle the other side."""
+    """The catalogue as a table: one row per content type, registered ones included."""
     rows = [
         (t.name, t.table, list(t.required), list(t.optional), dict(t.selectors))
         for t in CONTENT_TYPES.values()
     ]
-    table = spark.createDataFrame(
+    return spark.createDataFrame(
         rows,
         "content_type string, table_name string, required_fields array<string>,"
         " optional_fields array<string>, default_selectors map<string,string>",
     )
-    return F.broadcast(table)

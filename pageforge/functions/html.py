@@ -1,24 +1,24 @@
 """Field extraction from HTML with CSS selectors, inside the row and on the JVM.
 
 A page becomes an array of tokens (one regex pass); tags become a second, much
-smaller array. Selectors are compiled on the driver into Column tests. One walk
-over the tags keeps the path of open elements as a short string and finds where
-each selected element ends; its text is then a slice of the token array. There
-is no shuffle and no Python on the path.
+smaller array. One walk over the tags keeps the path of open elements as a short
+string and notes every tag's depth; what selectors match and where elements end
+is read from the depths. Selectors are compiled on the driver into Column tests,
+or are values of the row (selector sets as data). The text of an element is a
+slice of the token array. There is no shuffle and no Python on the path.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pageforge.functions.base import let
+from pageforge.functions.selectors import ATTR_VALUE, Step, parse_list, presence_re, value_re
 
-_ATTR_VALUE = r"""(?:"[^"]*+"|'[^']*+')"""
-_TAG_REST = rf"(?:=\s*+{_ATTR_VALUE}|[^>=]++|=)*+>?"
+_TAG_REST = rf"(?:=\s*+{ATTR_VALUE}|[^>=]++|=)*+>?"
 
 # Token kinds, in this order: comment, whole script, whole style, declaration,
 # tag, text run (a '<' that opens no tag is text), anything left over.
@@ -79,7 +79,10 @@ def is_text(token: Column) -> Column:
 
 
 def tags_of(tokens: Column) -> Column:
-    """Tags only: position ``i`` (0-based, in tokens), name, kind (open, close, void), raw text."""
+    """Tags only: position ``i`` (0-based, in tokens), name, kind (open, close, void), raw text, and ``depth``.
+
+    The depth is the number of elements that stay open when the tag has closed what it closes.
+    """
 
     named = F.array_compact(
         F.transform(
@@ -98,82 +101,29 @@ def tags_of(tokens: Column) -> Column:
         kind = F.when(tag["raw"].startswith("</"), "close").when(empty, "void").otherwise("open")
         return F.struct(tag["i"].alias("i"), tag["name"].alias("name"), kind.alias("kind"), tag["raw"].alias("raw"))
 
-    return F.transform(named, with_kind)
+    def with_depth(tags: Column) -> Column:
+        def one(depths: Column) -> Column:
+            return F.transform(tags, lambda t, k: F.struct(*[t[n].alias(n) for n in ("i", "name", "kind", "raw")], F.get(depths, k).alias("depth")))
+
+        return let(_depths(tags), one)
+
+    return let(F.transform(named, with_kind), with_depth)
 
 
 def attribute(raw: Column, name: str) -> Column:
     """Value of the first such attribute of a tag; empty when absent. Entities stay encoded."""
-    value = F.regexp_extract(raw, _attribute_re(name) + rf"\s*+=\s*+({_ATTR_VALUE}|[^\s>]*+)", 1)
-    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1\z""", "$2")
+    return _unquoted(F.regexp_extract(raw, value_re(name), 1))
 
 
-def _attribute_re(name: str) -> str:
-    own = rf"(?i:{re.escape(name)})(?=[\s=/>])"
-    other = rf"(?!{own})[^\s=/>]++(?:\s*+=\s*+(?:{_ATTR_VALUE}|[^\s>]*+))?+"
-    return rf"(?s)^<[A-Za-z][^\s/>]*+(?:[\s/]++{other})*+[\s/]++{own}"
+def _unquoted(value: Column) -> Column:
+    return F.regexp_replace(value, r"""(?s)^(["'])(.*)\1\z""", "$2")
 
 
 # ------------------------------------------------------------- selectors
 
-@dataclass(frozen=True)
-class Step:
-    """One compound selector and how it relates to the one before it."""
-
-    combinator: str  # '' for the first, ' ' descendant, '>' child
-    tag: str
-    tests: tuple[tuple[str, str, str], ...]  # (attribute, operator, value)
-
-
-class UnsupportedSelector(ValueError):
-    pass
-
-
-_COMPOUND_PART = re.compile(
-    r"""\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)
-    |\[\s*(?P<attr>[\w-]+)\s*(?:(?P<op>[~^$*|]?=)\s*(?P<val>"[^"]*"|'[^']*'|[^\]\s]+)\s*)?\]""",
-    re.X,
-)
-
-
-def parse_selector(text: str) -> tuple[Step, ...]:
-    """Compile one selector; forms outside tag, class, id, attribute, descendant and child raise."""
-    spaced = re.sub(r"\s*>\s*(?![^\[]*\])", " > ", text.strip())
-    pieces = re.findall(r"(?:\[[^\]]*\]|\S)+", spaced)
-    steps: list[Step] = []
-    combinator = ""
-    for piece in pieces:
-        if piece == ">":
-            if not steps or combinator == ">":
-                raise UnsupportedSelector(f"Malformed selector: {text}")
-            combinator = ">"
-            continue
-        tag = re.match(r"\*|[A-Za-z][\w-]*|", piece).group(0)
-        tests, at = [], len(tag)
-        while at < len(piece):
-            part = _COMPOUND_PART.match(piece, at)
-            if part is None:
-                raise UnsupportedSelector(f"Unsupported selector: {text}")
-            if part["cls"]:
-                tests.append(("class", "~=", part["cls"]))
-            elif part["id"]:
-                tests.append(("id", "=", part["id"]))
-            else:
-                tests.append((part["attr"], part["op"] or "", (part["val"] or "").strip("\"'")))
-            at = part.end()
-        if not tag and not tests:
-            raise UnsupportedSelector(f"Malformed selector: {text}")
-        if steps and not combinator:
-            combinator = " "
-        steps.append(Step(combinator, "" if tag == "*" else tag.lower(), tuple(tests)))
-        combinator = ""
-    if not steps or combinator:
-        raise UnsupportedSelector(f"Malformed selector: {text}")
-    return tuple(steps)
-
-
 def _test(raw: Column, name: str, op: str, wanted: str) -> Column:
     if op == "":
-        return raw.rlike(_attribute_re(name) + r"[\s=/>]")
+        return raw.rlike(presence_re(name))
     value = attribute(raw, name)
     if op == "=":
         return value == wanted
@@ -233,6 +183,21 @@ def _with_opened(base: Column, tag: Column) -> Column:
     return F.when(tag["kind"] == "open", F.concat(base, tag["name"], F.lit("/"))).otherwise(base)
 
 
+def _depths(tags: Column) -> Column:
+    """The one walk over the tags that keeps the path of open elements: the depth below which each tag stands."""
+    start = F.struct(F.lit("/").alias("path"), F.lit("").alias("depths"))
+
+    def walk(acc: Column, tag: Column) -> Column:
+        def with_base(base: Column) -> Column:
+            depth = F.length(base) - F.length(F.replace(base, F.lit("/"), F.lit(""))) - 1
+            # Written into a string: appending to an array would copy it at every tag.
+            return F.struct(_with_opened(base, tag).alias("path"), F.concat(acc["depths"], depth.cast("string"), F.lit(",")).alias("depths"))
+
+        return let(_base_path(acc["path"], tag), with_base)
+
+    return F.aggregate(tags, start, walk, lambda acc: F.split(acc["depths"], ",").try_cast("array<int>"))
+
+
 def _first_simple(tags: Column, step: Step) -> Column:
     return F.get(F.filter(tags, lambda t: _matches(t, step)), F.lit(0))["i"]
 
@@ -245,12 +210,12 @@ def _first_combined(tags: Column, steps: tuple[Step, ...]) -> Column:
     matched by it or any ancestor.
     """
     a = ord("A")
-    start = F.struct(F.lit("/").alias("path"), F.lit("").alias("marks"), F.lit(None).cast("int").alias("hit"))
+    start = F.struct(F.lit("").alias("marks"), F.lit(None).cast("int").alias("hit"))
 
     def walk(acc: Column, tag: Column) -> Column:
-        def with_base(base: Column) -> Column:
-            depth = F.length(base) - F.length(F.replace(base, F.lit("/"), F.lit(""))) - 1
-            marks = F.left(acc["marks"], depth * 2)
+        depth = tag["depth"]
+
+        def with_marks(marks: Column) -> Column:
             own_top = F.when(depth > 0, F.ascii(F.substring(marks, -2, 1)) - a).otherwise(F.lit(0))
             all_top = F.when(depth > 0, F.ascii(F.substring(marks, -1, 1)) - a).otherwise(F.lit(0))
             own = F.lit(0)
@@ -265,17 +230,14 @@ def _first_combined(tags: Column, steps: tuple[Step, ...]) -> Column:
                     hit = matched
                 else:
                     own = own + F.when(matched, 1 << k).otherwise(0)
-            pushed = F.concat(
-                marks, F.char(own + a), F.char(own.bitwiseOR(all_top) + a)
-            )
+            pushed = F.concat(marks, F.char(own + a), F.char(own.bitwiseOR(all_top) + a))
             return F.struct(
-                _with_opened(base, tag).alias("path"),
                 F.when(tag["kind"] == "open", pushed).otherwise(marks).alias("marks"),
                 F.coalesce(acc["hit"], F.when(hit, tag["i"])).alias("hit"),
             )
 
         # Once the element is found the walk stops doing work.
-        return F.when(acc["hit"].isNotNull(), acc).otherwise(let(_base_path(acc["path"], tag), with_base))
+        return F.when(acc["hit"].isNotNull(), acc).otherwise(let(F.left(acc["marks"], depth * 2), with_marks))
 
     return F.aggregate(tags, start, walk, lambda acc: acc["hit"])
 
@@ -286,60 +248,94 @@ def first_match(tags: Column, selectors: str) -> tuple[Column, list[str]]:
     ``selectors`` is a comma list in priority order. Returns the position
     (null when nothing matches) and the reasons for selectors left out.
     """
-    found, reasons = [], []
-    for text in (s.strip() for s in selectors.split(",")):
-        try:
-            steps = parse_selector(text)
-        except UnsupportedSelector as problem:
-            # A selector that cannot be compiled stops its field, as an
-            # exception there would; earlier matches still count.
-            reasons.append(str(problem))
-            break
-        found.append(_first_simple(tags, steps[0]) if len(steps) == 1 else _first_combined(tags, steps))
-    return (F.coalesce(*found) if found else F.lit(None).cast("int")), reasons
-
-
-def element_ends(tags: Column, starts: dict[str, Column], token_count: Column) -> Column:
-    """One walk for all fields: a struct with the token position where each element ends.
-
-    An element ends at the first tag that leaves its path shorter than it was
-    right after opening it, or at the end of the page.
-    """
-    names = list(starts)
-    none = F.lit(None).cast("int")
-    first = F.struct(
-        F.lit("/").alias("path"),
-        *[none.alias(f"depth_{n}") for n in names],
-        *[none.alias(f"end_{n}") for n in names],
-    )
+    chains, problem = parse_list(selectors)
+    found = [_first_simple(tags, steps[0]) if len(steps) == 1 else _first_combined(tags, steps) for steps in chains]
+    return (F.coalesce(*found) if found else F.lit(None).cast("int")), [problem] if problem else []
+
+
+# ------------------------------------------------------ selectors as data
+
+def _matches_data(tag: Column, step: Column) -> Column:
+    """``_matches`` for a step that is a value of the row."""
+
+    def test(t: Column) -> Column:
+        # Most tags fail here, before a pattern is compiled and run.
+        plain = (t["wanted"] == "") | tag["raw"].contains(t["wanted"])
+
+        def holds(value: Column) -> Column:
+            op, wanted = t["op"], t["wanted"]
+            full = wanted != ""
+            return (
+                F.when(op == "=", value == wanted)
+                .when(op == "~=", F.array_contains(F.split(value, r"\s"), wanted))
+                .when(op == "^=", full & value.startswith(wanted))
+                .when(op == "$=", full & value.endswith(wanted))
+                .when(op == "*=", full & value.contains(wanted))
+                .otherwise((value == wanted) | value.startswith(F.concat(wanted, F.lit("-"))))
+            )
+
+        value = _unquoted(F.call_function("regexp_extract", tag["raw"], t["pattern"], F.lit(1)))
+        return F.when(t["op"] == "", F.rlike(tag["raw"], t["pattern"])).when(plain, let(value, holds)).otherwise(F.lit(False))
+
+    named = (step["tag"] == "") | (tag["name"] == step["tag"])
+    return F.when((tag["kind"] != "close") & named, F.forall(step["tests"], test)).otherwise(F.lit(False))
+
+
+def _first_of_chain(tags: Column, steps: Column) -> Column:
+    """``_first_combined`` for a chain that is a value of the row; masks are numbers, an array as deep as the path."""
+    none = F.array().cast("array<long>")
+    start = F.struct(none.alias("own"), none.alias("all"), F.lit(None).cast("int").alias("hit"))
+    last = F.size(steps) - 1
 
     def walk(acc: Column, tag: Column) -> Column:
-        def with_base(base: Column) -> Column:
-            full = _with_opened(base, tag)
-            depths, ends = [], []
-            for n in names:
-                depth, end = acc[f"depth_{n}"], acc[f"end_{n}"]
-                opened = (tag["i"] == starts[n]) & (tag["kind"] == "open")
-                depths.append(F.when(opened, F.length(full)).otherwise(depth).alias(f"depth_{n}"))
-                left = end.isNull() & (F.length(base) < depth)
-                ends.append(F.when(left, tag["i"]).otherwise(end).alias(f"end_{n}"))
-            return F.struct(full.alias("path"), *depths, *ends)
+        depth = tag["depth"]
 
-        return let(_base_path(acc["path"], tag), with_base)
+        def with_tops(tops: Column) -> Column:
+            def matched(step: Column, k: Column) -> Column:
+                above = F.when(step["combinator"] == ">", tops["own"]).otherwise(tops["all"])
+                reach = (k == 0) | (F.call_function("shiftright", above, k - 1).bitwiseAND(1) > 0)
+                return F.when(reach, _matches_data(tag, step)).otherwise(F.lit(False))
 
-    def finish(acc: Column) -> Column:
-        # Never opened means a void element (no content); never left means up to the page end.
-        return F.struct(
-            *[
-                F.when(starts[n].isNull(), none)
-                .when(acc[f"depth_{n}"].isNull(), starts[n])
-                .otherwise(F.coalesce(acc[f"end_{n}"], token_count))
-                .alias(n)
-                for n in names
-            ]
-        )
+            def moved(bits: Column) -> Column:
+                one = F.transform(bits, lambda b, k: F.when(b, F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+                mask = F.aggregate(one, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
+                opened = tag["kind"] == "open"
+                pushed = lambda n, v: F.when(opened, F.concat(F.slice(acc[n], 1, depth), F.array(v))).otherwise(F.slice(acc[n], 1, depth)).alias(n)
+                return F.struct(pushed("own", mask), pushed("all", mask.bitwiseOR(tops["all"])), F.when(F.get(bits, last), tag["i"]).alias("hit"))
+
+            return let(F.transform(steps, matched), moved)
+
+        top = lambda n: F.coalesce(F.get(acc[n], depth - 1), F.lit(0).cast("long")).alias(n)
+        return F.when(acc["hit"].isNotNull(), acc).otherwise(let(F.struct(top("own"), top("all")), with_tops))
+
+    return F.aggregate(tags, start, walk, lambda acc: acc["hit"])
+
+
+def first_matches(tags: Column, compiled: Column) -> Column:
+    """(field, position) of every field of a selector set that is a value of the row (see ``selectors.COMPILED``)."""
+
+    def of(choice: Column) -> Column:
+        simple = let(F.get(choice, F.lit(0)), lambda step: F.get(F.filter(tags, lambda t: _matches_data(t, step)), F.lit(0))["i"])
+        return F.when(F.size(choice) == 1, simple).otherwise(_first_of_chain(tags, choice))
+
+    def first(entry: Column) -> Column:
+        position = F.aggregate(entry["choices"], F.lit(None).cast("int"), lambda found, choice: F.coalesce(found, of(choice)))
+        return F.struct(entry["field"].alias("field"), position.alias("position"))
+
+    return F.transform(compiled, first)
+
+
+def element_end(tags: Column, start: Column, token_count: Column) -> Column:
+    """Token position where the element that begins at ``start`` ends; null without one.
+
+    It ends at the first later tag that does not stand below it, or at the end of the page. A void element has no content.
+    """
+
+    def ended(own: Column) -> Column:
+        after = F.get(F.filter(tags, lambda t: (t["i"] > start) & (t["depth"] <= own["depth"])), F.lit(0))
+        return F.when(own["kind"] != "open", start).otherwise(F.coalesce(after["i"], token_count))
 
-    return F.aggregate(tags, first, walk, finish)
+    return F.when(start.isNotNull(), let(F.get(F.filter(tags, lambda t: t["i"] == start), F.lit(0)), ended))
 
 
 def content_tokens(tokens: Column, start: Column, end: Column) -> Column:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from pageforge.functions import html as H
-from pageforge.functions.base import squeeze, strip
+from pageforge.functions.base import let, squeeze, strip
 from pageforge.functions.dates import parse_extracted_date
 from pageforge.functions.entities import SEAM, decode_entities, join_seamed
+from pageforge.functions.selectors import COMPILED, compiled
 from pageforge.functions.urls import absolute_link
 
 # Field names with their own value rule.
@@ -54,29 +60,47 @@ def _flat_items(marked: Column) -> Column:
 
 
 def _nested_items(marked: Column) -> Column:
-    pieces = F.split(marked, SEAM)
-    begin = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("text"))
-
-    def state(depth, done, text) -> Column:
-        return F.struct(depth.alias("depth"), done.alias("done"), text.alias("text"))
+    """Texts of all items of a list that holds lists, in one fold over the marks with a stack of open items.
 
-    def read(acc: Column, t: Column) -> Column:
-        depth, text = acc["depth"], acc["text"]
-        return (
-            F.when(acc["done"], acc)
-            .when(t == LIST, state(depth + 1, F.lit(False), text))
-            .when(t == LIST_END, state(depth - 1, depth == 0, text))
-            .when(t.isin(ITEM, ITEM_END), state(depth, depth == 0, text))
-            .otherwise(state(depth, F.lit(False), F.concat(text, strip(t))))
+    An item ends at the next mark of its own level: another item, an item's end or the list's end. Its text
+    is a slice of the pieces, so the work is the marks plus the texts that come out.
+    """
+    none = F.array().cast("array<struct<at:int,level:int>>")
+    begin = F.struct(F.lit(0).alias("level"), none.alias("open"), F.lit("").alias("closed"))
+
+    def read(acc: Column, m: Column) -> Column:
+        level, opened = acc["level"], acc["open"]
+        top = F.get(opened, F.size(opened) - 1)
+        mark, at = m["t"], m["at"]
+        ends = (mark != LIST) & F.coalesce(top["level"] == level, F.lit(False))
+        left = F.when(ends, F.slice(opened, 1, F.size(opened) - 1)).otherwise(opened)
+        item = F.struct(at.alias("at"), level.alias("level"))
+        return F.struct(
+            F.when(mark == LIST, level + 1).when(mark == LIST_END, level - 1).otherwise(level).alias("level"),
+            F.when(mark == ITEM, F.concat(left, F.array(item))).otherwise(left).alias("open"),
+            # Written into a string: appending to an array would copy it at every item.
+            F.when(ends, F.concat(acc["closed"], top["at"].cast("string"), F.lit(":"), at.cast("string"), F.lit(","))).otherwise(acc["closed"]).alias("closed"),
         )
 
-    def item(_: Column, i: Column) -> Column:
-        rest = F.slice(pieces, i + 2, F.size(pieces))
-        return F.when(
-            F.get(pieces, i) == ITEM, F.aggregate(rest, begin, read, lambda acc: acc["text"])
+    def of(pieces: Column) -> Column:
+        marks = F.filter(
+            F.transform(pieces, lambda t, i: F.struct(t.alias("t"), i.alias("at"))), lambda m: m["t"].isin(ITEM, ITEM_END, LIST, LIST_END)
         )
 
-    return F.array_compact(F.transform(pieces, item))
+        def spans(acc: Column) -> Column:
+            cuts = F.transform(
+                F.array_remove(F.split(acc["closed"], ","), ""),
+                lambda c: F.struct(F.substring_index(c, ":", 1).cast("int").alias("at"), F.substring_index(c, ":", -1).cast("int").alias("to")),
+            )
+            rest = F.transform(acc["open"], lambda o: F.struct(o["at"].alias("at"), F.size(pieces).alias("to")))
+            return F.array_sort(F.concat(cuts, rest))
+
+        def texts(bare: Column) -> Column:
+            return F.transform(F.aggregate(marks, begin, read, spans), lambda c: F.array_join(F.slice(bare, c["at"] + 2, c["to"] - c["at"] - 1), ""))
+
+        return let(F.transform(pieces, lambda t: F.when(t.isin(ITEM, ITEM_END, LIST, LIST_END), "").otherwise(strip(t))), texts)
+
+    return let(F.split(marked, SEAM), of)
 
 
 def _raw_value(name: str) -> Column:
@@ -136,36 +160,90 @@ def extract_fields(
     cannot be compiled nulls its own field only; with ``problems`` the reasons
     are added as an array column of that name.
     """
-    tagged = with_tags(pages, html)
-    starts, reasons = [], []
+    starts, reasons = {}, []
     for name, text in selectors.items():
-        position, refused = H.first_match(F.col(TAGS), text)
-        starts.append(position.alias(name))
+        starts[name], refused = H.first_match(F.col(TAGS), text)
         reasons += [f"Failed to extract {name}: {reason}" for reason in refused]
+    out = _read_fields(with_tags(pages, html), starts, html, url, metadata)
+    if problems is not None:
+        out = out.withColumn(problems, F.array(*map(F.lit, reasons)).cast("array<string>"))
+    return out
+
+
+def compile_sets(sets: DataFrame, text: str = "selector_set") -> DataFrame:
+    """(selector set as JSON, its steps as data) for every distinct set; one row per set, however many requests share it."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        import json
+
+        import pyarrow as pa
+
+        return pa.array([compiled(json.loads(t)) for t in texts.to_pylist()], kind)
+
+    kind = to_arrow_type(DataType.fromDDL(COMPILED))
+    return sets.select(text).where(F.col(text).isNotNull()).distinct().withColumn("_compiled", F.arrow_udf(run, COMPILED)(F.col(text)))
+
+
+def extract_own_fields(
+    pages: DataFrame,
+    selectors: str,
+    fields: Iterable[str],
+    html: str = "html",
+    url: str = "url",
+    problems: str | None = None,
+    metadata: bool = False,
+) -> DataFrame:
+    """``extract_fields`` with a selector set per row: the map column ``selectors``, field to comma list.
+
+    Sets are data. Every distinct one is compiled once and joined back by its
+    text (adaptive execution broadcasts few and small ones), and the walk over a
+    page's tags reads the steps from the row, so the plan is the same for one set
+    and for millions. ``fields`` are the columns that come out; a field that a
+    row's set does not name is null, other names in a set give no column but count
+    among the problems. A null or empty map extracts nothing.
+    """
+    names = list(fields)
+    texts = F.transform_values(F.col(selectors), lambda _, v: F.coalesce(v, F.lit("")))
+    # The order of a set's entries does not matter; a sorted map has one spelling.
+    spelled = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(texts))))
+    asked = pages.withColumn("_set", spelled)
+    sets = compile_sets(asked.select(F.col("_set").alias("selector_set"))).withColumnRenamed("selector_set", "_set")
+    tagged = with_tags(asked.join(sets, "_set", "left"), html)
+    found = tagged.withColumn("_found", H.first_matches(F.col(TAGS), F.coalesce("_compiled", F.array().cast(COMPILED))))
+
+    def position(name: str) -> Column:
+        return F.get(F.filter("_found", lambda e: e["field"] == name), F.lit(0))["position"]
+
+    starts = {n: position(n) for n in names}
+    none = F.array().cast("array<string>")
+    refused = F.coalesce(F.array_compact(F.transform("_compiled", lambda e: e["problem"])), none)
+    if problems is not None:
+        found = found.withColumn(problems, refused)
+    return _read_fields(found.drop("_set", "_compiled"), starts, html, url, metadata)
+
+
+def _read_fields(tagged: DataFrame, starts: dict[str, Column], html: str, url: str, metadata: bool) -> DataFrame:
+    """Values of the elements that begin at ``starts``, read from the tokens; helper columns are dropped."""
     placed = tagged
-    if selectors:
-        placed = tagged.withColumn(STARTS, F.struct(*starts))
-        placed = placed.withColumn(
-            ENDS,
-            H.element_ends(F.col(TAGS), {n: F.col(STARTS)[n] for n in selectors}, F.size(TOKENS)),
-        )
+    if starts:
+        placed = tagged.withColumn(STARTS, F.struct(*[c.alias(n) for n, c in starts.items()]))
+        ends = [H.element_end(F.col(TAGS), F.col(STARTS)[n], F.size(TOKENS)).alias(n) for n in starts]
+        placed = placed.withColumn(ENDS, F.struct(*ends))
     described = _metadata_columns(html) if metadata else {}
     # Each stage is its own projection, so that no stage is evaluated twice and
     # the arrays are gone before rows reach the entity decoder.
     raw = placed.withColumns(
-        {f"_raw_{n}": _raw_value(n) for n in selectors}
-        | {f"_listed_{n}": _is_list(n) for n in selectors if n in LIST_FIELDS}
+        {f"_raw_{n}": _raw_value(n) for n in starts}
+        | {f"_listed_{n}": _is_list(n) for n in starts if n in LIST_FIELDS}
         | described
-    ).drop(TOKENS, TAGS, STARTS, ENDS)
+    ).drop(TOKENS, TAGS, STARTS, ENDS, "_found")
     title = {"page_title": decode_entities(F.col("page_title"))} if metadata else {}
-    decoded = raw.withColumns({f"_raw_{n}": _decoded_value(n, F.col(f"_raw_{n}")) for n in selectors} | title)
+    decoded = raw.withColumns({f"_raw_{n}": _decoded_value(n, F.col(f"_raw_{n}")) for n in starts} | title)
     out = decoded.withColumns(
-        {n: _final_value(n, F.col(f"_raw_{n}"), F.col(f"_listed_{n}"), F.col(url)) for n in selectors}
+        {n: _final_value(n, F.col(f"_raw_{n}"), F.col(f"_listed_{n}"), F.col(url)) for n in starts}
         | ({"page_title": strip(squeeze(F.col("page_title")))} if metadata else {})
     )
-    if problems is not None:
-        out = out.withColumn(problems, F.array(*map(F.lit, reasons)).cast("array<string>"))
-    return out.drop(*[f"_raw_{n}" for n in selectors], *[f"_listed_{n}" for n in selectors])
+    return out.drop(*[f"_raw_{n}" for n in starts], *[f"_listed_{n}" for n in starts])
 
 
 def _metadata_columns(html: str) -> dict[str, Column]:

@@ -7,39 +7,60 @@ Every figure is an aggregate of those tables; nothing is updated in place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageforge import catalog
-from pageforge.operators.running import with_rank, with_running_sums
+from pageforge.operators.running import join_null_safe, with_rank, with_running_sums
 from pageforge.operators.search import page_of
 
 ACTIVE = ("pending", "running")
 MAX_BATCH = 10
+# Values of ``seq`` per chunk of a job's status changes.
+STATE_CHUNK = 50_000
+
+
+def standing_cancels(states: DataFrame) -> DataFrame:
+    """(job_id, _cancel, _cancelled_at): the first cancellation of each job that met it active.
+
+    A cancellation counts when the latest other change before it left the job
+    active, or there is none. A job's changes are read in chunks of their whole
+    number ``seq``, and only the last change of each chunk goes on to the next, so a
+    job with any number of changes is spread over many tasks.
+    """
+    status, seq = F.col("status"), F.col("seq")
+    other = F.when(status != "cancelled", status)
+    rows = states.select("job_id", "seq", "status", "ts", F.floor(seq / STATE_CHUNK).alias("_chunk"))
+    inside = Window.partitionBy("job_id", "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    cancels = rows.withColumn("_before", F.last(other, ignorenulls=True).over(inside)).where("status = 'cancelled'")
+    lasts = rows.groupBy("job_id", "_chunk").agg(F.max_by(other, F.when(other.isNotNull(), seq)).alias("_last"))
+    earlier = Window.partitionBy("job_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("job_id", "_chunk", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    met = F.coalesce("_before", "_carried")
+    counted = join_null_safe(cancels, carried, ["job_id", "_chunk"]).where(met.isNull() | met.isin(*ACTIVE))
+    return counted.groupBy("job_id").agg(F.min("seq").alias("_cancel"), F.min_by("ts", "seq").alias("_cancelled_at"))
 
 
 def latest_states(states: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Current status per job, when it was created and, if it is finished, when it finished.
 
-    A cancellation stands when no end came before it; after an end it does
-    nothing. Otherwise the last other change counts. A job that runs again has
-    no completion time.
+    A cancellation counts when it meets the job active, and is then final: what
+    is reported later comes from work that was under way. A cancellation of a
+    finished job does nothing. Otherwise the last other change counts; a job may
+    run again after its end and then has no completion time.
     """
     status, seq, ts = F.col("status"), F.col("seq"), F.col("ts")
-    cancel, other = status == "cancelled", status != "cancelled"
-    end = ~status.isin(*ACTIVE) & other
+    other = status != "cancelled"
     found = states.groupBy("job_id").agg(
         F.min("ts").alias("created_at"),
-        F.min(F.when(cancel, seq)).alias("_cancel"),
-        F.min_by(ts, F.when(cancel, seq)).alias("_cancelled_at"),
-        F.min(F.when(end, seq)).alias("_end"),
         F.max_by(status, F.when(other, seq)).alias("_last"),
         F.max_by(ts, F.when(other, seq)).alias("_last_at"),
         *[F.max_by(c, "seq").alias(c) for c in carry],
     )
-    stands = F.coalesce(F.col("_cancel") < F.col("_end"), F.col("_cancel").isNotNull())
-    over = ~F.col("_last").isin(*ACTIVE)
-    return found.select(
+    stopped = standing_cancels(states).withColumnRenamed("job_id", "_job")
+    joined = found.join(stopped, F.col("job_id").eqNullSafe(F.col("_job")), "left")
+    stands, over = F.col("_cancel").isNotNull(), ~F.col("_last").isin(*ACTIVE)
+    return joined.select(
         "job_id",
         F.when(stands, "cancelled").otherwise(F.col("_last")).alias("status"),
         "created_at",

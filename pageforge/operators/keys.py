@@ -27,14 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     A frame that is read more than once is then computed once, survives lost
-    executors, and is read by column. The folder is scratch space of the job.
+    executors, and is read by column; with ``by`` also by the values of that
+    column, each in its own folder. The folder is scratch space of the job.
     """
     path = f"{shared_folder(df.sparkSession)}/settled/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

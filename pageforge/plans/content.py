@@ -20,6 +20,8 @@ from pageforge.functions.entities import clean_text
 from pageforge.functions.urls import domain_of, url_path
 
 Job = Callable[[DataFrame, Iterable[str]], DataFrame]
+# Key of the rows whose content type has no job.
+UNSUPPORTED = "unsupported"
 
 
 def _given(df: DataFrame, name: str, kind: str = "string") -> Column:
@@ -245,7 +247,25 @@ def process(df: DataFrame, content_type: str, keep: Iterable[str] = ("url",)) ->
 
 
 def process_mixed(df: DataFrame, keep: Iterable[str] = ("url",), type_column: str = "content_type") -> dict[str, DataFrame]:
-    """One typed frame per content type. Store the input partitioned by type and each
-    branch reads its own partition only."""
-    return {t: process(df.where(F.col(type_column) == t), t, keep) for t in supported_types()}
+    """One typed frame per content type, and the rows that have no job under ``UNSUPPORTED``: kept columns, type and reason.
 
+    Store the input partitioned by type and each branch reads its own partition only.
+    """
+    known, kind = supported_types(), F.col(type_column)
+    other = df.where(~F.coalesce(kind.isin(known), F.lit(False)))
+    reason = unsupported_reason(kind).alias("reason")
+    named = [c for c in keep if c != type_column]
+    return {t: process(df.where(kind == t), t, keep) for t in known} | {UNSUPPORTED: other.select(*named, type_column, reason)}
+
+
+def unsupported_reason(kind: Column) -> Column:
+    return F.concat(F.lit("Unsupported content type: "), F.coalesce(kind, F.lit("null")))
+
+
+# Columns of a record that its job computes; a selector for them is not read.
+COMPUTED = ("word_count", "reading_time", "slug", "source_domain")
+
+
+def fields_of(spec: catalog.ContentType) -> list[str]:
+    """Names under which selectors can hand values to the job of a type."""
+    return [n for n in dict.fromkeys([*spec.selectors, *spec.columns]) if n not in COMPUTED]

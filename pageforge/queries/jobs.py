@@ -30,10 +30,11 @@ derived(
     """,
     "events",
 )
+# A cancellation stands when the latest change before it, other cancellations aside, left the job pending or running.
 _STATE = """
-    walked AS (SELECT *, coalesce(bool_or(status IN ('completed', 'failed')) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING
-      AND 1 PRECEDING), false) AS ended, min(ts) OVER (PARTITION BY job_id) AS created_at FROM job_states),
-    counted AS (SELECT *, status = 'cancelled' AND NOT ended AS stands FROM walked WHERE status <> 'cancelled' OR NOT ended),
+    walked AS (SELECT *, last_value(CASE WHEN status <> 'cancelled' THEN status END IGNORE NULLS) OVER (PARTITION BY job_id ORDER BY seq
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS met, min(ts) OVER (PARTITION BY job_id) AS created_at FROM job_states),
+    counted AS (SELECT *, status = 'cancelled' AS stands FROM walked WHERE status <> 'cancelled' OR met IS NULL OR met = 'pending' OR met = 'running'),
     state AS (SELECT job_id, status, created_at, CASE WHEN status NOT IN ('pending', 'running') THEN ts END AS completed_at FROM (
       SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY stands DESC, CASE WHEN stands THEN seq ELSE -seq END) AS n FROM counted) WHERE n = 1)
 """

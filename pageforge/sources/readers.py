@@ -50,7 +50,7 @@ def resolve_types(requests: DataFrame, catalog: DataFrame) -> tuple[DataFrame, D
     else:
         joined = joined.withColumn("selectors", F.col("default_selectors"))
     rejected = requests.join(catalog, "content_type", "left_anti").withColumn(
-        "reason", F.concat(F.lit("Unsupported content type: "), "content_type")
+        "reason", F.concat(F.lit("Unsupported content type: "), F.coalesce("content_type", F.lit("null")))
     )
     return joined.drop("default_selectors"), rejected
 

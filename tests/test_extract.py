@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pageforge.functions.html import UnsupportedSelector, parse_selector
-from pageforge.operators.extract import extract_fields, links, page_metadata
+from pageforge.functions.selectors import UnsupportedSelector, parse_selector
+from pageforge.operators import extract
+from pageforge.operators.extract import extract_fields, extract_own_fields, links, page_metadata
 
 
 @pytest.fixture
@@ -122,3 +123,82 @@ def test_extraction_matches_an_independent_parser(spark):
             reader = Reader(wanted)
             reader.feed(row.html)
             assert " ".join("".join(reader.out).split()) == " ".join(text.split())
+
+
+OWN = {
+    "a": ".byline b", "b": ".byline > b#n", "c": "[data-k='v>w']", "d": "a[rel]", "link": ".x a[href]", "e": "td.c", "f": ".d", "g": "table .c",
+    "h": "div.byline.x", "i": "body b, b", "j": "p:hover, b", "k": "b, p:hover", "l": "[class^=by], b", "m": "[class$=x] > a", "n": "[class*=yli] b",
+    "o": "[data-k|=v]", "p": "table tr td + td", "q": "", "r": ".none, .x > .none, div > b ~ b", "s": "div b, table > tr > td.c", "tags": "ul", "date": "time",
+}
+OWN_HTML = """<div class="byline x"><a rel=me href='../q?x=1&amp;y=2'>Ann</a><b id="n" data-k="v>w">Bea</b></div><b>late</b>
+  <table><tr><td>1<td class=c>2<tr><td>3</table><dl><dt>t<dd class=d>u<dt>v</dl><ul><li>x<li>y</ul><time datetime="2024-01-15T10:30:00Z">"""
+
+
+def test_selectors_as_data_equal_compiled_ones(spark):
+    sets = [OWN, {k: v for k, v in OWN.items() if k < "f"}, {"a": None, "zz": "b"}, {}, None]
+    rows = [(i, "https://h.org/a/b", html, s) for i, (html, s) in enumerate((h, s) for s in sets for h in (OWN_HTML, None, "<b>one</b>"))]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string, chosen map<string,string>")
+    got = {r.page_id: r.asDict() for r in extract_own_fields(df, "chosen", list(OWN), problems="why").drop("url", "html", "chosen").collect()}
+    assert sorted(got) == [r[0] for r in rows]
+    for i, url, html, chosen in rows:
+        one = spark.createDataFrame([(i, url, html)], "page_id int, url string, html string")
+        own = {k: v or "" for k, v in (chosen or {}).items()}
+        want = extract_fields(one, {k: v for k, v in own.items() if k in OWN}, problems="why").drop("url", "html").first().asDict()
+        assert {k: v for k, v in got[i].items() if k not in ("why", "page_id")} == {k: want.get(k) for k in OWN}, i
+        assert got[i]["why"] == sorted(want["why"]), i
+
+
+def test_one_plan_for_any_number_of_sets(spark):
+    df = spark.range(300).selectExpr("id AS page_id", "'https://h.org/' AS url", "concat('<i class=c', id, '>', id, '</i>') AS html", "map('t', concat('.c', id)) AS s")
+    out = extract_own_fields(df, "s", ["t"])
+    assert ".c7" not in out._jdf.queryExecution().toString()
+    assert all(r.t == str(r.page_id) for r in out.select("page_id", "t").collect())
+
+
+def nested_texts(pieces):
+    """Text of every item by reading on from its mark."""
+    out = []
+    for i, p in enumerate(pieces):
+        if p == "<li>":
+            depth, text = 0, ""
+            for q in pieces[i + 1 :]:
+                if q == "<ul>":
+                    depth += 1
+                elif q in ("<li>", "</li>", "</ul>"):
+                    if depth == 0:
+                        break
+                    depth -= q == "</ul>"
+                else:
+                    text += q.strip()
+            out.append(text)
+    return out
+
+
+def test_nested_lists_of_any_shape(spark):
+    import random
+
+    rng = random.Random(7)
+    lists = [rng.choices(["<li>", "</li>", "<ul>", "</ul>", "a", " b ", "c"], weights=[5, 4, 3, 1, 3, 2, 2], k=rng.randint(1, 30)) for _ in range(200)]
+    lists = [p if "<ul>" in p else [*p, "<ul>", "</ul>"] for p in lists]
+    marks = {"<li>": extract.ITEM, "</li>": extract.ITEM_END, "<ul>": extract.LIST, "</ul>": extract.LIST_END}
+    df = spark.createDataFrame([(i, extract.SEAM.join(marks.get(q, q) for q in p)) for i, p in enumerate(lists)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", extract._nested_items(F.col("t")).alias("x")).collect()}
+    assert [got[i] for i in range(len(lists))] == [nested_texts(p) for p in lists]
+
+
+def test_nested_lists_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        html = "<ul>" + "<li>a<ul><li>b</li></ul></li>" * (n // 2) + "</ul>"
+        df = spark.createDataFrame([(1, "u", html)], "page_id int, url string, html string")
+        run = extract_fields(df, {"tags": "ul"}).select(F.size("tags").alias("n"))
+        times = []
+        for _ in range(3):
+            at = time.perf_counter()
+            assert run.first().n == n
+            times.append(time.perf_counter() - at)
+        return min(times)
+
+    small, large = seconds(500), seconds(4000)
+    assert large < 16 * small + 1, (small, large)

@@ -212,6 +212,28 @@ def test_job_states_and_cancellation(spark):
     assert (empty.total_jobs, empty.success_rate, empty.avg_urls_per_job) == (0, 0.0, 0.0)
 
 
+def test_cancellation_of_a_job_that_runs_again(spark, monkeypatch):
+    """Against a replay of the changes, with chunks of few changes and of all."""
+    import random
+
+    rng, rows = random.Random(2), []
+    for j in range(80):
+        rows += [(f"j{j}", s, rng.choice(["pending", "running", "completed", "failed", "cancelled"])) for s in sorted(rng.sample(range(60), rng.randint(1, 12)))]
+    want = {}
+    for j, s, status in rows:
+        last, stopped = want.get(j, (None, None))
+        if stopped is None and status == "cancelled":
+            want[j] = (last, s) if last in (None, "pending", "running") else (last, None)
+        elif stopped is None:
+            want[j] = (status, None)
+    want = {j: ("cancelled", T0 + timedelta(hours=stop)) if stop is not None else (last, ...) for j, (last, stop) in want.items()}
+    df = spark.createDataFrame([(j, s, x, T0 + timedelta(hours=s)) for j, s, x in rows], "job_id string, seq int, status string, ts timestamp_ntz")
+    for chunk in (5, 50_000):
+        monkeypatch.setattr(jobs, "STATE_CHUNK", chunk)
+        got = {r.job_id: (r.status, r.completed_at if r.status == "cancelled" else ...) for r in jobs.latest_states(df).collect()}
+        assert got == want
+
+
 def test_blog_record(spark):
     df = spark.createDataFrame(
         [("https://B.org/x", " A &amp; B ", "One. Two.", "Ann", "01/02/2024", " t1 , ,t2", None, "")],
