@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # One character class for whitespace as Python understands it: Unicode white
@@ -19,6 +19,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that filters above do not compute again.
+
+    The optimizer moves a filter below a projection by repeating what it reads.
+    A one-element generator lets filters on the other columns through, down to
+    the scan, and keeps those on its own columns above.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    made = df.select(*kept, F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once"))
+    return made.select(*kept, *[F.col("_once")[n].alias(n) for n in columns])
+
+
 def squeeze(c: Column) -> Column:
     """Whitespace runs become one space."""
     return F.regexp_replace(c, _UNEVEN_RUN, " ")

@@ -1,25 +1,26 @@
-"""Entity decoding and text cleaning.
+"""Entity decoding and text cleaning, on the JVM.
 
-Common entities are decoded on the JVM. Only texts that hold any other entity
-go to one Arrow UDF (the exact named-entity table lives in Python's standard
-library); every other row sends a null, so the Python side sees next to nothing.
+All named and numeric references are decoded as the HTML standard says (and
+Python's ``html.unescape`` does). Common ones are plain replacements; texts that
+hold any other are cut at their ampersands, and each piece is looked up in one
+map literal that comes from the standard library's table.
 """
 
 from __future__ import annotations
 
+import html.entities
+import json
 from functools import cache
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from pageforge.functions.base import squeeze
+from pageforge.functions.base import let, squeeze
 
 # A noncharacter that no page text holds; it marks the seams between text pieces.
 SEAM = "\ufdd0"
 
-# Entities decoded without leaving the JVM; "amp" comes last so that one pass
+# Entities decoded by replacement; "amp" comes last so that one pass
 # over the text decodes one level only.
 FAST_ENTITIES = {
     "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "#34": '"', "nbsp": "\xa0",
@@ -29,44 +30,73 @@ FAST_ENTITIES = {
 }
 _SLOW = r"&(?!(?:" + "|".join(FAST_ENTITIES) + r");)[#A-Za-z]"
 
+# What a reference may be: decimal, hexadecimal, or a name with or without its semicolon.
+_REFERENCE = rf"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;{SEAM}]{{1,32}};?)"
+# Names that older pages may write without a semicolon, even with letters behind them; the longest is meant.
+_BARE = "^(" + "|".join(sorted((n for n in html.entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+
 # The control characters that cleaning removes.
 CONTROL_CHARS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f]"
 
 
 @cache
-def _rare_udf(level: str):
-    """Arrow UDF for texts with rare entities; nulls pass through.
+def _table(kind: str) -> str:
+    """JSON of a decoding table: names, or the code points that stand for others."""
+    if kind == "names":
+        return json.dumps(html.entities.html5)
+    # References to the control characters of Latin-1 mean those of Windows; some ends of line and nulls are replaced.
+    windows = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+    return json.dumps({0x00: "\ufffd", 0x0D: "\r"} | windows)
+
+
+def _looked_up(kind: str, key: Column) -> Column:
+    """Entry of a table; the text is parsed once, when the plan is made."""
+    return F.try_element_at(F.from_json(F.lit(_table(kind)), "map<string,string>"), key)
 
-    The function is nested so that it travels by value: executors need pyarrow,
-    not this package. Batches without a rare entity go back as they came. Levels: "decode" (entities only), "join" (pieces decoded,
-    stripped and joined), "clean" (every piece cleaned, seams kept).
 
-    Marked non-deterministic, which it is not, to keep the optimizer from
-    copying it and everything below it into filters over later columns. A
-    filter on page columns therefore belongs before the extraction.
-    """
-    seam, controls = SEAM, CONTROL_CHARS
+def _character(digits: Column, base: int) -> Column:
+    """The character of a numeric reference; '' for code points that are none."""
 
-    def run(texts: pa.Array) -> pa.Array:
-        import html
-        import re
+    def of(code: Column) -> Column:
+        low = code.bitwiseAND(0xFFFF)
+        none = code.between(0x1, 0x8) | code.between(0xE, 0x1F) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF) | (code == 0xB) | low.isin(0xFFFE, 0xFFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return (
+            F.when(code.isNull() | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd")
+            .otherwise(F.coalesce(_looked_up("codes", code.cast("string")), F.when(none, "").otherwise(plain)))
+        )
 
-        import pyarrow as pa
+    # More digits than any code point has are beyond the last one.
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    return let(F.when(F.length(short) <= 7, F.conv(short, base, 10).try_cast("bigint")), of)
 
-        if texts.null_count == len(texts):
-            return texts
 
-        def join(text):
-            return re.sub(r"\s+", " ", "".join(html.unescape(p).strip() for p in text.split(seam)))
+def _reference(rest: Column) -> Column:
+    """What follows an ampersand, with the reference it begins decoded."""
 
-        def clean(text):
-            pieces = (re.sub(r"\s+", " ", html.unescape(p)).strip() for p in text.split(seam))
-            return seam.join(re.sub(controls, "", p) for p in pieces)
+    def of(found: Column) -> Column:
+        body = F.rtrim(found, F.lit(";"))
+        bare = F.regexp_extract(found, _BARE, 1)
+        named = F.coalesce(
+            _looked_up("names", found),
+            F.when(bare != "", F.concat(_looked_up("names", bare), F.substr(found, F.length(bare) + 1))),
+            F.concat(F.lit("&"), found),
+        )
+        value = (
+            F.when(found == "", F.lit("&"))
+            .when(found.rlike("^#[xX]"), _character(F.substr(body, F.lit(3)), 16))
+            .when(found.startswith("#"), _character(F.substr(body, F.lit(2)), 10))
+            .otherwise(named)
+        )
+        return F.concat(value, F.substr(rest, F.length(found) + 1))
 
-        work = {"decode": html.unescape, "join": join, "clean": clean}[level]
-        return pa.array([None if t is None else work(t) for t in texts.to_pylist()], pa.string())
+    return let(F.regexp_extract(rest, _REFERENCE, 1), of)
 
-    return F.arrow_udf(run, StringType()).asNondeterministic()
+
+def decode_all(c: Column) -> Column:
+    """One level of all references, however they are written."""
+    decoded = lambda parts: F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), _reference), ""))
+    return let(F.split(c, "&"), decoded)
 
 
 def has_rare_entity(c: Column) -> Column:
@@ -80,14 +110,9 @@ def decode_common(c: Column) -> Column:
     return F.when(c.contains("&"), decoded).otherwise(c)
 
 
-def _rare_or(c: Column, level: str, common: Column) -> Column:
-    rare = has_rare_entity(c)
-    return F.when(rare, _rare_udf(level)(F.when(rare, c))).otherwise(common)
-
-
 def decode_entities(c: Column) -> Column:
     """One level of entity decoding."""
-    return _rare_or(c, "decode", decode_common(c))
+    return F.when(has_rare_entity(c), decode_all(c)).otherwise(decode_common(c))
 
 
 def _strip_seams(c: Column) -> Column:
@@ -100,21 +125,15 @@ def _strip_seams(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Decode entities, squeeze whitespace, strip, drop control characters; null gives ''."""
-    common = F.regexp_replace(F.trim(squeeze(decode_common(c))), CONTROL_CHARS, "")
-    return F.coalesce(_rare_or(c, "clean", common), F.lit(""))
+    return F.coalesce(F.regexp_replace(F.trim(squeeze(decode_entities(c))), CONTROL_CHARS, ""), F.lit(""))
 
 
 def clean_list(items: Column) -> Column:
     """``clean_text`` over the non-null elements of a string array."""
-    joined = F.array_join(items, SEAM)
-    common = F.regexp_replace(_strip_seams(decode_common(joined)), CONTROL_CHARS, "")
-    cleaned = _rare_or(joined, "clean", common)
-    return F.when(F.size(F.array_compact(items)) == 0, F.slice(items, 1, 0)).otherwise(
-        F.split(cleaned, SEAM)
-    )
+    cleaned = F.regexp_replace(_strip_seams(decode_entities(F.array_join(items, SEAM))), CONTROL_CHARS, "")
+    return F.when(F.size(F.array_compact(items)) == 0, F.slice(items, 1, 0)).otherwise(F.split(cleaned, SEAM))
 
 
 def join_seamed(joined: Column) -> Column:
     """Text of an element from its seam-joined pieces: decode and strip each, join bare, squeeze."""
-    common = F.replace(_strip_seams(decode_common(joined)), F.lit(SEAM), F.lit(""))
-    return _rare_or(joined, "join", common)
+    return F.replace(_strip_seams(decode_entities(joined)), F.lit(SEAM), F.lit(""))

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType
 
 from pageforge.functions import html as H
-from pageforge.functions.base import let, squeeze, strip
+from pageforge.functions.base import computed_once, let, squeeze, strip
 from pageforge.functions.dates import parse_extracted_date
 from pageforge.functions.entities import SEAM, decode_entities, join_seamed
 from pageforge.functions.selectors import COMPILED, compiled
@@ -230,8 +230,7 @@ def _read_fields(tagged: DataFrame, starts: dict[str, Column], html: str, url: s
         ends = [H.element_end(F.col(TAGS), F.col(STARTS)[n], F.size(TOKENS)).alias(n) for n in starts]
         placed = placed.withColumn(ENDS, F.struct(*ends))
     described = _metadata_columns(html) if metadata else {}
-    # Each stage is its own projection, so that no stage is evaluated twice and
-    # the arrays are gone before rows reach the entity decoder.
+    # Each stage is its own projection, so that no stage is evaluated twice.
     raw = placed.withColumns(
         {f"_raw_{n}": _raw_value(n) for n in starts}
         | {f"_listed_{n}": _is_list(n) for n in starts if n in LIST_FIELDS}
@@ -239,10 +238,10 @@ def _read_fields(tagged: DataFrame, starts: dict[str, Column], html: str, url: s
     ).drop(TOKENS, TAGS, STARTS, ENDS, "_found")
     title = {"page_title": decode_entities(F.col("page_title"))} if metadata else {}
     decoded = raw.withColumns({f"_raw_{n}": _decoded_value(n, F.col(f"_raw_{n}")) for n in starts} | title)
-    out = decoded.withColumns(
-        {n: _final_value(n, F.col(f"_raw_{n}"), F.col(f"_listed_{n}"), F.col(url)) for n in starts}
-        | ({"page_title": strip(squeeze(F.col("page_title")))} if metadata else {})
-    )
+    final = {n: _final_value(n, F.col(f"_raw_{n}"), F.col(f"_listed_{n}"), F.col(url)) for n in starts}
+    if metadata:
+        final |= {"page_title": strip(squeeze(F.col("page_title")))} | {n: F.col(n) for n in ("links_found", "images_found")}
+    out = computed_once(decoded, final) if final else decoded
     return out.drop(*[f"_raw_{n}" for n in starts], *[f"_listed_{n}" for n in starts])
 
 

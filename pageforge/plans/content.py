@@ -37,9 +37,11 @@ def _clean(df: DataFrame, *names: str) -> dict[str, Column]:
 
 
 def _staged(df: DataFrame, keep: Iterable[str], columns: dict[str, Column]) -> DataFrame:
-    """Projection of the kept columns plus ``columns``, kept names prefixed out of the way."""
+    """Projection of the kept columns plus ``columns`` (see ``computed_once``), kept names prefixed out of the way."""
     kept = [F.col(k).alias(f"_keep_{k}") for k in keep]
-    return df.select(F.col("url").alias("_url"), *kept, *[c.alias(n) for n, c in columns.items()])
+    cleaned = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
+    made = df.select(F.col("url").alias("_url"), *kept, cleaned)
+    return made.select("_url", *[f"_keep_{k}" for k in keep], *[F.col("_once")[n].alias(n) for n in columns])
 
 
 def _finished(df: DataFrame, keep: Iterable[str], spec: catalog.ContentType, columns: dict[str, Column]) -> DataFrame:

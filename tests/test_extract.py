@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from pageforge.functions.selectors import UnsupportedSelector, parse_selector
 from pageforge.operators import extract
+from pageforge.plans.content import process
 from pageforge.operators.extract import extract_fields, extract_own_fields, links, page_metadata
 
 
@@ -202,3 +203,23 @@ def test_nested_lists_take_linear_time(spark):
 
     small, large = seconds(500), seconds(4000)
     assert large < 16 * small + 1, (small, large)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_on_page_columns_reach_the_scan(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    made = extract_fields(pages, {"title": "h1", "content": "article"}, metadata=True)
+    text = plan_of(made.where("url LIKE 'https://%'").select("page_id", "title"))
+    assert "StringStartsWith(url,https://)" in text.split("PushedFilters: ")[1].split("]")[0]
+    records = process(made, "article", keep=["page_id", "url"])
+    assert "EqualTo(page_id,3)" in plan_of(records.where("page_id = 3")).split("PushedFilters: ")[1].split("]")[0]
+
+
+def test_filters_on_fields_do_not_repeat_the_extraction(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    made = extract_fields(pages, {"title": "h1", "content": "article"})
+    for df in (made, process(made, "article", keep=["page_id", "url"])):
+        assert plan_of(df.where("title <> '' AND content LIKE '%a%'")).count("regexp_extract_all(") == plan_of(df).count("regexp_extract_all(")

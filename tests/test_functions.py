@@ -250,3 +250,19 @@ def test_private_ipv6_equals_the_address_library(values):
     from pageforge.functions.urls import is_private_host
 
     assert values(is_private_host, found) == [private(h) for h in found]
+
+
+def test_every_reference_is_decoded_as_by_the_standard_library(values):
+    import html
+    import random
+
+    from pageforge.functions.entities import clean_text, decode_entities
+
+    rng = random.Random(1)
+    texts = [f"&{n}" for n in html.entities.html5] + [f"&{n.rstrip(';')}x" for n in html.entities.html5]
+    codes = [*range(300), 0xD7FF, 0xD800, 0xDFFF, 0xE000, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0x10000, 0x1FFFE, 0x10FFFF, 0x110000, 10**22]
+    texts += [f"a &#{i}; &#{i} b &#x{i:x};&#X{i:X}g" for i in codes]
+    bits = ["&", "#", "x", "X", "amp", ";", "lt", "notit", "not", "é", "12", "0", "ff", " ", "\n", "<", "&amp;", "&amp;lt;", "a" * 33, "&#0000000000065;", "&copy", "&copy;"]
+    texts += ["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(2000)]
+    assert values(decode_entities, texts) == [html.unescape(t) for t in texts]
+    assert values(clean_text, ["&nbsp;a &eacute;&#9;b&#x80;"]) == ["a é b€"]
