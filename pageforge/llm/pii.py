@@ -26,6 +26,8 @@ column of that name gives way).
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,7 +86,10 @@ CYRILLIC_POOLS = {
     "given_f": "Алла Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лидия Мария Нина Ольга",
     "given_n": "Валя Женя Саша Шура",
 }
-MAX_ROUNDS = 24
+# Rounds in which a replacement keeps its form; each one after them makes it a character longer.
+SAME_FORM = 6
+# Distinct entities per task that draws replacements, and most such tasks.
+DRAWN_ROWS, DRAWN_TASKS = 2_000, 10_000
 
 
 def _matches(text: Column) -> Column:
@@ -171,6 +176,16 @@ def _refill(template: Column, fresh: Column) -> Column:
     return F.aggregate(template, F.struct(F.lit("").alias("s"), F.lit(0).alias("k")), step, lambda a: a["s"])
 
 
+def _fitted(raw: Column, fresh: Column) -> Column:
+    """``raw`` with its known characters replaced in order, and what is left of the new ones behind it."""
+
+    def of(f: Column) -> Column:
+        room = F.size(F.filter(_chars(raw), lambda c: F.instr(F.lit(LETTERS), F.lower(c)) > 0))
+        return F.concat(_refill(_chars(raw), f), F.array_join(F.slice(f, room + 1, F.greatest(F.size(f) - room, F.lit(0))), ""))
+
+    return let(fresh, of)
+
+
 def _luhn(digits: Column) -> Column:
     """Check sum of a digit array, modulo 10."""
     n = F.size(digits)
@@ -201,20 +216,22 @@ def norm_of(kind: Column, raw: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The replacement of a norm, itself in normal form."""
+    # A form all of whose members are real has no free one, however often it is drawn; a longer one has.
+    more = F.greatest(attempt - (SAME_FORM - 1), F.lit(0))
     shift = lambda body: _shift_text(body, key, kind, attempt)
-    keep = lambda head, size: F.concat(F.substring(norm, 1, size), shift(F.substring(norm, F.lit(size + 1), F.char_length(norm))))
+    keep = lambda head, size: F.concat(F.substring(norm, 1, size), shift(F.concat(F.substring(norm, F.lit(size + 1), F.char_length(norm)), F.repeat(F.lit("0"), more))))
     suffix = F.regexp_extract(norm, r"(\.[^.]+)$", 1)
-    mail = F.concat(shift(F.regexp_extract(norm, r"^(.*)\.[^.]+$", 1)), suffix)
-    phone = F.concat(F.regexp_extract(norm, r"^([^|]*\|)", 1), shift(F.regexp_extract(norm, r"\|(.*)$", 1)))
+    mail = F.concat(shift(F.concat(F.repeat(F.lit("a"), more), F.regexp_extract(norm, r"^(.*)\.[^.]+$", 1))), suffix)
+    phone = F.concat(F.regexp_extract(norm, r"^([^|]*\|)", 1), shift(F.concat(F.regexp_extract(norm, r"\|(.*)$", 1), F.repeat(F.lit("0"), more))))
 
     def card(d: Column) -> Column:
-        body = F.slice(d, 1, F.size(d) - 1)
+        body = F.concat(F.slice(d, 1, F.size(d) - 1), F.array_repeat(F.lit(0), more))
         moved = _feistel(body, F.transform(body, lambda _: F.lit(10)), key, kind, attempt)
         # The last digit gives the new number the check sum of the old one.
         last = lambda m: F.pmod(_luhn(d) - _luhn(F.concat(m, F.array(F.lit(0)))), F.lit(10))
         return let(moved, lambda m: F.concat(F.array_join(m, ""), last(m).cast("string")))
 
-    octets = F.transform(F.split(norm, r"\."), lambda o: o.cast("int"))
+    octets = F.concat(F.transform(F.split(norm, r"\."), lambda o: o.cast("int")), F.array_repeat(F.lit(0), more))
     address = let(octets, lambda o: F.array_join(_feistel(o, F.transform(o, lambda _: F.lit(256)), key, kind, attempt), "."))
 
     def named(pool: dict[str, str], name: str) -> Column:
@@ -233,7 +250,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         .when(kind == "ip", address)
         .when(kind == "key", keep("AKIA", 4))
         .when(kind == "iban", keep("land", 2))
-        .when(kind.isin("ssn", "secret"), shift(norm))
+        .when(kind.isin("ssn", "secret"), shift(F.concat(norm, F.repeat(F.lit("0"), more))))
         .otherwise(name)
     )
 
@@ -291,10 +308,12 @@ def _rewritten(raw: Column, drawn: Column, key: str) -> Column:
         def filled(n: Column) -> Column:
             whole = F.get(n, 0)
             fresh = lambda s: F.filter(_chars(s), lambda c: F.instr(F.lit(LETTERS), F.lower(c)) > 0)
-            keep = lambda head: F.concat(head, _refill(_chars(F.substring(raw, F.char_length(head) + 1, F.char_length(raw))), fresh(F.regexp_replace(whole, r"^[^|]*\|", ""))))
+            keep = lambda head: F.concat(head, _fitted(F.substring(raw, F.char_length(head) + 1, F.char_length(raw)), fresh(F.regexp_replace(whole, r"^[^|]*\|", ""))))
+            longer = F.char_length(whole) > F.char_length(raw)
             return (
                 F.when(kind == "phone", keep(F.regexp_extract(raw, r"^(\+\d{1,3})(?=[ .(-])", 1)))
-                .when(kind.isin("card", "ssn", "iban", "email"), let(fresh(whole), lambda f: _refill(_chars(raw), f)))
+                .when((kind == "email") & longer, whole)
+                .when(kind.isin("card", "ssn", "iban", "email"), _fitted(raw, fresh(whole)))
                 .when(kind == "secret", F.concat(F.regexp_extract(raw, rf"^({_LABEL})", 1), whole))
                 .when(kind.isin("ip", "key"), whole)
                 .otherwise(_renamed(raw, n))
@@ -312,14 +331,19 @@ def _mentions(docs: DataFrame) -> DataFrame:
 
 
 def drawn_again(mentions: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, attempt) of the entities whose first replacement collides; attempt is the first free round."""
+    """(kind, norm, attempt) of the entities whose first replacement collides; attempt is the first free round.
+
+    Rounds end: once they make replacements longer, every round has at least ten times the room of the one before.
+    """
     spark = mentions.sparkSession
     every = settle(mentions.select("kind", "norm").distinct(), "entities")
     real = every.select("kind", F.lower("norm").alias("new"))
     pending, taken, again = every, None, None
-    for attempt in range(MAX_ROUNDS):
+    for attempt in count():
         new = F.lower(surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key)).alias("new")
-        drawn = settle(pending.select("kind", "norm", new), "drawn")
+        # Drawing is costly and the table small: without this one file, so one task, would hold it all.
+        tasks = max(1, min(DRAWN_TASKS, pending.count() // DRAWN_ROWS))
+        drawn = settle(pending.repartition(tasks, "norm").select("kind", "norm", new), "drawn")
         free = drawn.join(real, ["kind", "new"], "left_anti")
         if taken is not None:
             free = free.join(taken, ["kind", "new"], "left_anti")
@@ -331,7 +355,6 @@ def drawn_again(mentions: DataFrame, key: str) -> DataFrame:
         pending = settle(drawn.select("kind", "norm").join(good.select("kind", "norm"), ["kind", "norm"], "left_anti"), "pending")
         if pending.isEmpty():
             return again if again is not None else spark.createDataFrame([], "kind string, norm string, attempt int")
-    raise ValueError(f"no free replacement for some entities after {MAX_ROUNDS} rounds")
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
@@ -340,22 +363,25 @@ def replace(docs: DataFrame, key: str) -> DataFrame:
     again = settle(drawn_again(mentions, key), "drawn-again")
     release(docs.sparkSession)
     names = [c for c in docs.columns if c != "n_entities"]
+    # Names of our own that no column of the input has.
+    own = max(map(len, names), default=0) * "_"
+    drawn, th, new_text = f"{own}_drawn", f"{own}_th", f"{own}_new"
     kind = "array<struct<kind:string,norm:string,attempt:int>>"
     if again.isEmpty():
-        out = docs.withColumn("__drawn", F.array().cast(kind))
+        out = docs.withColumn(drawn, F.array().cast(kind))
     else:
-        listed = mentions.join(again, ["kind", "norm"]).groupBy(F.col("th").alias("__th"))
-        listed = listed.agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("__drawn"))
-        out = docs.join(listed, F.xxhash64(docs["text"]) == F.col("__th"), "left")
-        out = out.withColumn("__drawn", F.coalesce("__drawn", F.array().cast(kind)))
+        listed = mentions.join(again, ["kind", "norm"]).groupBy(F.col("th").alias(th))
+        listed = listed.agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias(drawn))
+        out = docs.join(listed, F.xxhash64(docs["text"]) == F.col(th), "left")
+        out = out.withColumn(drawn, F.coalesce(drawn, F.array().cast(kind)))
 
     def rewritten(raws: Column) -> Column:
         between = F.split(docs["text"], ANY_ENTITY, -1)
-        new = F.transform(raws, lambda r: _rewritten(r, F.col("__drawn"), key))
+        new = F.transform(raws, lambda r: _rewritten(r, F.col(drawn), key))
         text = let(between, lambda b: F.array_join(F.flatten(F.zip_with(b, new, lambda x, y: F.array(x, F.coalesce(y, F.lit(""))))), ""))
         return F.struct(
             F.when(F.size(raws) > 0, text).otherwise(docs["text"]).alias("text"), F.size(raws).cast("long").alias("n")
         )
 
-    out = out.withColumn("__new", let(_matches(F.coalesce(docs["text"], F.lit(""))), rewritten))
-    return out.select(*[F.col("__new.text").alias("text") if c == "text" else docs[c] for c in names], F.col("__new.n").alias("n_entities"))
+    out = out.withColumn(new_text, let(_matches(F.coalesce(docs["text"], F.lit(""))), rewritten))
+    return out.select(*[F.col(new_text)["text"].alias("text") if c == "text" else docs[c] for c in names], F.col(new_text)["n"].alias("n_entities"))

@@ -266,6 +266,32 @@ def test_pii_hint_follows_from_every_pattern(docs):
     assert r"\b" not in pii.HINT
 
 
+def test_pii_forms_all_of_whose_members_are_real(docs):
+    """Every two-letter mail of a form exists, so replacements have to be longer."""
+    import string
+
+    mails = [f"{a}@{b}.co" for a in string.ascii_lowercase for b in string.ascii_lowercase]
+    phones = [f"+1 {n:04}" for n in range(0, 10_000, 70)]
+    rows = [(i, f"write to {m} now") for i, m in enumerate(mails)] + [(1000 + i, f"call {p} now") for i, p in enumerate(phones)]
+    got = {r.doc_id: r.text for r in pii.replace(docs(*rows), "k").collect()}
+    new = [re.fullmatch(r"write to (\S+@\S+\.co) now", got[i])[1] for i in range(len(mails))]
+    assert len(set(new)) == len(mails) and not set(new) & set(mails)
+    numbers = [re.fullmatch(r"call (\+1 \d{4,}) now", got[1000 + i])[1] for i in range(len(phones))]
+    assert len(set(numbers)) == len(phones) and not set(numbers) & set(phones)
+
+
+def test_pii_odd_rows(odd):
+    from pyspark.sql import functions as F
+
+    df = odd.withColumn("__drawn", F.lit(1)).withColumn("__th", F.lit(2)).withColumn("__new", F.lit("x"))
+    out = pii.replace(df.unionByName(df.limit(1).withColumn("text", F.lit("mail a.b@c.org"))), "k")
+    assert out.columns == [c for c in df.columns if c != "n_entities"] + ["n_entities"]
+    rows = out.collect()
+    assert len(rows) == odd.count() + 1 and sum(r.n_entities or 0 for r in rows) == 1
+    same = {(r.doc_id, r.text) for r in odd.collect()}
+    assert sum((r.doc_id, r.text) in same for r in rows) >= odd.count()
+
+
 def test_pii_distinct_names(docs):
     """More names than the pool has: collisions are drawn again until all differ."""
     names = [f"Xa{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)]
