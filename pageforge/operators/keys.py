@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -67,37 +68,108 @@ def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def accept_inserts(df: DataFrame, keys, order: str, stored: DataFrame | None = None) -> DataFrame:
-    """Rows that unique constraints let in when rows are inserted one by one in ``order``.
+    """Rows that unique constraints let in when rows are inserted one by one in ``order`` (see ``accepted_ids``)."""
+    return only(df, accepted_ids(df, keys, order, stored), order)
+
+
+def accepted_ids(df: DataFrame, keys, order: str, stored: DataFrame | None = None) -> DataFrame:
+    """Order values of the rows that inserting one by one lets in.
 
     Rows whose key exists in ``stored`` are rejected; null keys are exempt. With
-    one key this is ``keep_first``. With several, a row that is rejected under
-    one key must not block others under another, so rows are decided in rounds:
+    one key these are the first rows. With several, a row that is rejected under
+    one key must not block others under another. One round decides nearly all:
     rows that come first under all their keys are in, rows that share a key with
-    them are out, and the rest goes to the next round. Every round decides the
-    smallest undecided row at least, and in practice nearly all of them. Only
-    keys and order values take part; the payload is joined once at the end.
+    them are out. What is left blocks each other in turn and goes to
+    ``_decide_chains``. Only keys and order values take part.
     """
     pending = df.select(order, *keys)
     for key in keys if stored is not None else ():
         taken = stored.where(F.col(key).isNotNull()).select(key)
         pending = pending.join(taken, key, "left_anti")
     if len(keys) == 1:
-        winners = first_ids(pending, keys[0], order)
-    else:
-        rounds = []
-        pending = settle(pending)
-        while not pending.isEmpty():
-            into = pending
-            for key in keys:
-                into = into.join(first_ids(pending, key, order), order, "left_semi")
-            into = settle(into)
-            rounds.append(into.select(order))
-            rest = pending.join(into.select(order), order, "left_anti")
-            for key in keys:
-                rest = rest.join(into.where(F.col(key).isNotNull()).select(key), key, "left_anti")
-            pending = settle(rest.select(order, *keys))
-        winners = union_all(rounds) if rounds else pending.select(order)
-    return only(df, winners, order)
+        return first_ids(pending, keys[0], order)
+    pending = settle(pending)
+    into = pending
+    for key in keys:
+        into = into.join(first_ids(pending, key, order), order, "left_semi")
+    into = settle(into)
+    rest = pending.join(into.select(order), order, "left_anti")
+    for key in keys:
+        rest = rest.join(into.where(F.col(key).isNotNull()).select(key), key, "left_anti")
+    rest = settle(rest.select(order, *keys))
+    if rest.isEmpty():
+        return into.select(order)
+    return into.select(order).unionByName(_decide_chains(rest, keys, order))
+
+
+def _decide_chains(rows: DataFrame, keys, order: str) -> DataFrame:
+    """Order values of the accepted of rows that block each other in turn.
+
+    A node is a row under one of its keys and says whether the key is taken once
+    the row has been tried. It follows from the nodes just before the row under its
+    keys: if none of those keys is taken the row is in and takes them all. With one
+    undecided node before it a row's nodes are true or copy or negate that node: a
+    pointer. Every round looks once at what each node points to, so pointers double
+    their reach and a chain of n rows is decided in about log2(n) rounds. A row with
+    two undecided nodes waits for one of them; the number of rounds is bounded by
+    log2 of the chains between such rows times how deep those rows depend on each
+    other, and the earliest undecided row is decided in every round at least.
+    The rows of one key are ordered by a window over key and order values.
+    """
+    none = F.lit(None)
+    kind = rows.schema[order].dataType
+    occurs = union_all(
+        [rows.where(F.col(k).isNotNull()).select(F.col(order).alias("ord"), F.lit(i).alias("k"), F.col(k).cast("string").alias("v")) for i, k in enumerate(keys)]
+    )
+    before = F.lag("ord").over(Window.partitionBy("k", "v").orderBy("ord"))
+    nodes = occurs.select("ord", "k", before.alias("p"), none.cast("boolean").alias("taken"), none.cast(kind).alias("to"), none.cast("int").alias("to_k"), F.lit(False).alias("neg"))
+    nodes = settle(nodes)
+    row = Window.partitionBy("ord")
+    while True:
+        seen = nodes.select(
+            F.col("ord").alias("_aim"), F.col("k").alias("_aim_k"), F.col("taken").alias("s_taken"), F.col("to").alias("s_to"),
+            F.col("to_k").alias("s_to_k"), F.col("neg").alias("s_neg"),
+        )
+        # A pointer looks at its node, a node without one at the node before it.
+        aimed = nodes.withColumns({"_aim": F.coalesce("to", "p"), "_aim_k": F.coalesce("to_k", "k")})
+        looked = aimed.join(seen, ["_aim", "_aim_k"], "left")
+        first, points = F.col("p").isNull(), F.col("to").isNotNull()
+        # What the node before the row says: a value, or the node to ask instead.
+        said = F.when(first, F.lit(False)).otherwise(F.col("s_taken"))
+        ask = F.when(
+            said.isNull(),
+            F.struct(F.coalesce("s_to", "_aim").alias("to"), F.coalesce("s_to_k", "_aim_k").alias("to_k"), F.when(F.col("s_to").isNotNull(), F.col("s_neg")).otherwise(False).alias("neg")),
+        )
+        summed = looked.withColumns({"_said": said, "_ask": ask}).withColumns(
+            {
+                "_held": F.coalesce(F.bool_or("_said").over(row), F.lit(False)),
+                "_open": F.count_if(F.col("_said").isNull()).over(row),
+                "_other": F.max("_ask").over(row),
+            }
+        )
+        copied = F.struct(F.col("_said").alias("taken"), F.col("_ask.to").alias("to"), F.col("_ask.to_k").alias("to_k"), F.coalesce("_ask.neg", F.lit(False)).alias("neg"))
+        true = F.struct(F.lit(True).alias("taken"), none.cast(kind).alias("to"), none.cast("int").alias("to_k"), F.lit(False).alias("neg"))
+        negated = F.struct(none.cast("boolean").alias("taken"), F.col("_other.to").alias("to"), F.col("_other.to_k").alias("to_k"), (~F.col("_other.neg")).alias("neg"))
+        jumped = F.struct(
+            F.when(F.col("s_taken").isNotNull(), F.col("s_taken") != F.col("neg")).alias("taken"),
+            F.coalesce("s_to", "to").alias("to"), F.coalesce("s_to_k", "to_k").alias("to_k"),
+            F.when(F.col("s_to").isNotNull(), F.col("neg") != F.col("s_neg")).otherwise(F.col("neg")).alias("neg"),
+        )
+        kept = F.struct("taken", "to", "to_k", "neg")
+        now = (
+            F.when(F.col("taken").isNotNull(), kept)
+            .when(points, jumped)
+            .when(F.col("_held"), copied)
+            .when(F.col("_open") == 0, true)
+            .when(F.col("_open") == 1, F.when(F.col("_said").isNull(), true).otherwise(negated))
+            .otherwise(kept)
+        )
+        nodes = settle(summed.select("ord", "k", "p", now.alias("n")).select("ord", "k", "p", "n.*"))
+        if nodes.where("taken IS NULL").isEmpty():
+            break
+    earlier = nodes.select(F.col("ord").alias("p"), "k", F.col("taken").alias("_before"))
+    met = nodes.select("ord", "k", "p").join(earlier, ["p", "k"], "left").groupBy("ord")
+    return met.agg(F.bool_or(F.coalesce("_before", F.lit(False))).alias("_out")).where("NOT _out").select(F.col("ord").alias(order))
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -105,16 +177,20 @@ def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(key), key, "left_anti")
 
 
-def merged_changes(updates: DataFrame, key: str, changes: str, seq: str) -> DataFrame:
+def merged_changes(updates: DataFrame, key: str, changes: str, seq: str, fields: Iterable[str]) -> DataFrame:
     """Fold several change maps per key into one, the latest value of each field winning.
 
-    The map is as wide as the table, so gathering it per key is bounded.
+    ``fields`` are the columns that can be set. Each is one maximum that combines
+    before the shuffle, so nothing is gathered however many other names the maps hold.
     """
-    one = updates.select(key, seq, F.explode(changes).alias("field", "value"))
-    latest = one.groupBy(key, "field").agg(F.max_by(F.struct("value"), seq).alias("v"))
-    return latest.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("field", F.col("v.value")))).alias(changes)
-    )
+    names = list(fields)
+
+    def latest(name: str) -> Column:
+        named = F.map_contains_key(changes, F.lit(name))
+        return F.max_by(F.when(named, F.struct(F.lit(name).alias("field"), F.element_at(changes, F.lit(name)).alias("value"))), F.when(named, F.col(seq)))
+
+    folded = updates.where(F.size(changes) > 0).groupBy(key).agg(*[latest(n).alias(f"_{i}") for i, n in enumerate(names)])
+    return folded.select(key, F.map_from_entries(F.array_compact(F.array(*[f"_{i}" for i in range(len(names))]))).alias(changes))
 
 
 def apply_changes(

@@ -102,49 +102,60 @@ def rules_allow(rules: Column, path: Column) -> Column:
     return F.coalesce(hit["allow"] | (hit["path"] == ""), F.lit(True))
 
 
+def intervals(snapshots: DataFrame, cache_seconds: int = CACHE_SECONDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """When each snapshot is the one to use, listed per time bucket: ``(origin, bucket, starts, ends, snapshot_id, ...)``.
+
+    A snapshot counts from its fetch until the cache time is over or the next
+    fetch of its origin, so the intervals of an origin do not overlap. None is
+    wider than a bucket, so none is listed more than twice.
+    """
+    in_order = Window.partitionBy("origin").orderBy("fetched_at", "snapshot_id")
+    starts = _seconds("fetched_at")
+    cut = snapshots.where("origin IS NOT NULL AND fetched_at IS NOT NULL").select(
+        "origin", "snapshot_id", *carry, starts.alias("starts"), F.least(starts + cache_seconds, F.lead(starts).over(in_order)).alias("ends")
+    )
+    first, last = F.floor(F.col("starts") / cache_seconds), F.floor(F.col("ends") / cache_seconds)
+    return cut.where("starts < ends").select("*", F.explode(F.sequence(first, last)).alias("bucket"))
+
+
+def _seconds(c: str) -> Column:
+    return F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
+
+
 def latest_snapshot(
     requests: DataFrame, snapshots: DataFrame, request_id: str, url: str = "url", at: str = "requested_at",
-    cache_seconds: int = CACHE_SECONDS, carry: dict[str, Column] | None = None,
+    cache_seconds: int = CACHE_SECONDS, carry: dict[str, Column] | None = None, brought: tuple[str, ...] = (),
 ) -> DataFrame:
     """As-of join: for each request the newest snapshot of its origin not older than the cache time.
 
-    Both sides carry a time bucket as wide as the cache; a snapshot is listed in
-    its own bucket and the next one, which turns the interval join into an
-    equi-join. Returns ``(request_id, snapshot_id)``, null when there is none, and
-    the ``carry`` columns of the request.
+    Requests meet the snapshots' intervals by origin and time bucket, and at most
+    one interval holds a request's time: an equi-join with one shuffle of the
+    requests and nothing to choose afterwards. Returns ``(request_id, snapshot_id)``,
+    null when there is none, the ``carry`` columns of the request and the ``brought``
+    columns of the snapshot.
     """
     carry = carry or {}
-
-    def seconds(c: str) -> Column:
-        return F.unix_micros(F.col(c).cast("timestamp")) / F.lit(1e6)
-
-    asked = requests.select(
-        request_id, origin_of(F.col(url)).alias("origin"), F.col(at).alias("_at"),
-        *[c.alias(n) for n, c in carry.items()],
-    ).withColumn("_bucket", F.floor(seconds("_at") / cache_seconds))
-    own = F.floor(seconds("fetched_at") / cache_seconds)
-    kept = snapshots.select(
-        "snapshot_id", "origin", "fetched_at", F.explode(F.array(own, own + 1)).alias("_bucket")
-    )
-    joined = asked.join(kept, ["origin", "_bucket"], "left")
-    age = seconds("_at") - seconds("fetched_at")
-    live = (age >= 0) & (age < cache_seconds)
-    return joined.groupBy(request_id).agg(
-        F.max_by("snapshot_id", F.when(live, F.struct("fetched_at", "snapshot_id"))).alias("snapshot_id"),
-        *[F.any_value(n).alias(n) for n in carry],
+    asked = requests.select(request_id, origin_of(F.col(url)).alias("_origin"), _seconds(at).alias("_at"), *[c.alias(n) for n, c in carry.items()])
+    asked = asked.withColumn("_bucket", F.floor(F.col("_at") / cache_seconds))
+    known = intervals(snapshots, cache_seconds, brought)
+    meets = (
+        (F.col("_origin") == F.col("origin")) & (F.col("_bucket") == F.col("bucket")) & (F.col("_at") >= F.col("starts")) & (F.col("_at") < F.col("ends"))
     )
+    return asked.join(known, meets, "left").select(request_id, "snapshot_id", *carry, *brought)
 
 
 def check_robots(
     requests: DataFrame, snapshots: DataFrame, request_id: str, user_agent: str = "*", url: str = "url",
-    at: str = "requested_at", cache_seconds: int = CACHE_SECONDS,
+    at: str = "requested_at", cache_seconds: int = CACHE_SECONDS, keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Per request: ``snapshot_id``, ``allowed`` and ``crawl_delay``. A missing, stale or
-    failed snapshot allows and gives no delay."""
+    """Per request: ``snapshot_id``, ``allowed``, ``crawl_delay`` and the ``keep`` columns. A missing, stale or
+    failed snapshot allows and gives no delay.
+
+    The rules are joined to the snapshots first, so requests are shuffled once.
+    """
+    ruled = snapshots.join(agent_rules(snapshots, user_agent), "snapshot_id", "left")
+    kept = {n: F.col(n) for n in keep if n != request_id}
     chosen = latest_snapshot(
-        requests, snapshots, request_id, url, at, cache_seconds, carry={"_path": robots_path(F.col(url))}
-    )
-    joined = chosen.join(agent_rules(snapshots, user_agent), "snapshot_id", "left")
-    return joined.select(
-        request_id, "snapshot_id", rules_allow(F.col("rules"), F.col("_path")).alias("allowed"), "crawl_delay"
+        requests, ruled, request_id, url, at, cache_seconds, carry=kept | {"_path": robots_path(F.col(url))}, brought=("rules", "crawl_delay")
     )
+    return chosen.select(request_id, "snapshot_id", rules_allow(F.col("rules"), F.col("_path")).alias("allowed"), "crawl_delay", *kept)

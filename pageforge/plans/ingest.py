@@ -72,8 +72,8 @@ def fetched(
     asked = _with_defaults(requests)
     allowed = None
     if snapshots is not None:
-        verdict = check_robots(asked, snapshots, "request_id", user_agent).select("request_id", "allowed")
-        asked = asked.join(verdict, "request_id", "left")
+        own = tuple(c for c in asked.columns if c not in ("snapshot_id", "allowed", "crawl_delay"))
+        asked = check_robots(asked, snapshots, "request_id", user_agent, keep=own)
         allowed = F.coalesce("allowed", F.lit(True))
     asked = asked.withColumn("refused", refusal(F.col("url"), allowed))
     if pages is not None:

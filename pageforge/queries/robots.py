@@ -72,13 +72,13 @@ def robots_snapshot_used(requests, snapshots):
 
 @query(
     "robots_rule_lines", "robots_snapshots",
-    """SELECT origin, unnest([4, 5, 6, 11, 12, 13, 14, 15]) - 1 AS line_no, unnest(['disallow', 'allow', 'crawl-delay', 'allow', 'disallow', 'crawl-delay',
-      'disallow', 'disallow']) AS kind, unnest(['/en/', '/en/1', '5', '/fr/8', '/fr/', '2', '', '/']) AS value
-      FROM robots_snapshots WHERE snapshot_id LIKE '%#1' AND status = 200""",
+    """SELECT snapshot_id, unnest([2, 3, 4, 5, 6, 8, 10, 11, 12, 13, 14, 15]) - 1 AS line_no, unnest(['agent', 'agent', 'disallow', 'allow', 'crawl-delay', 'agent', 'agent',
+      'allow', 'disallow', 'crawl-delay', 'disallow', 'disallow']) AS kind, unnest(['badbot', 'Test', '/en/', '/en/1', '5', 'ghost', '*', '/fr/8', '/fr/', '2', '', '/']) AS value
+      FROM robots_snapshots WHERE ends_with(snapshot_id, '#1') AND status = 200
+    UNION ALL SELECT snapshot_id, unnest([1, 2]) - 1, unnest(['agent', 'disallow']), unnest(['*', '/']) FROM robots_snapshots WHERE NOT ends_with(snapshot_id, '#1')""",
 )
 def robots_rule_lines(snapshots):
-    lines = R.rule_lines(snapshots).where("kind <> 'agent'").join(snapshots.select("snapshot_id", "origin"), "snapshot_id")
-    return lines.where("snapshot_id LIKE '%#1'").select("origin", "line_no", "kind", "value")
+    return R.rule_lines(snapshots).select("snapshot_id", "line_no", "kind", "value")
 
 
 @query(

@@ -102,6 +102,20 @@ def stream_ingest_rejects(spark, sf_dir, root):
     return results.select("request_id", "success", F.array_join("errors", "|").alias("errors"))
 
 
+@stream_query(
+    "ingest_store_refused", "pages",
+    """SELECT 2 * page_id + k AS request_id, true AS success, k = 0 AS stored,
+      CASE k WHEN 1 THEN 'Failed to store content in database: unique key already stored: url' ELSE '' END AS errors FROM pages, (VALUES (0), (1)) AS t(k)""",
+)
+def ingest_store_refused(spark, sf_dir, root):
+    """Every page is asked for twice: the second request finds the first one's row in the table."""
+    twice = opened(spark, sf_dir, "pages").select(F.explode(F.array(F.lit(0), F.lit(1))).alias("k"), "*")
+    pages = twice.select((2 * F.col("page_id") + F.col("k")).alias("page_id"), "url", F.lit("<h1>t</h1><article>c</article>").alias("html"))
+    drained(S.ingest_stream(pages, "article", f"{root}/tables", f"{root}/checkpoint", F.lit(EPOCH)))
+    results = spark.read.parquet(f"{root}/tables/results")
+    return results.select("request_id", "success", F.col("content_id").isNotNull().alias("stored"), F.array_join("errors", "|").alias("errors"))
+
+
 def _outcomes(spark, sf_dir):
     return opened(spark, sf_dir, "events").select(
         F.format_string("job-%d", "user_id").alias("job_id"), "event_id", "ts", (F.col("event_type") != "error").alias("success")

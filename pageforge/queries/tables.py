@@ -138,6 +138,16 @@ def insert_existing_keys(rows):
     return K.accept_inserts(keys.where("request_id >= 50"), ["url", "sku"], "request_id", keys.where("request_id < 50"))
 
 
+@query("insert_chain", "events", "SELECT event_id AS request_id FROM events WHERE event_id % 2 = 0")
+def insert_chain(events):
+    """One chain through the whole table: every row shares its url with the row before it and its sku with the next, or the other way round."""
+    i = F.col("event_id")
+    rows = events.select(
+        i.alias("request_id"), F.format_string("https://c.test/%d", F.floor((i + 1) / 2)).alias("url"), F.format_string("S%d", F.floor(i / 2)).alias("sku")
+    )
+    return K.accept_inserts(rows, ["url", "sku"], "request_id").select("request_id")
+
+
 @query(
     "insert_single_key", "product_rows",
     "SELECT min(request_id) AS request_id, url FROM product_rows GROUP BY url",
@@ -248,11 +258,11 @@ def partial_update(rows):
             change(1, "brand", F.lit("old")).where("k = 0"),
             change(2, "brand", F.concat(F.lit("new "), text)).where("k = 0"),
             change(3, "price", key + F.lit(0.5)).where("k = 0"),
-            change(4, "unknown", text).where("k = 0"),
+            *[change(4 + n, f"unknown {n}", text).where("k = 0") for n in range(5)],
             change(1, "price", F.lit(None)).where("k = 1"),
         ]
     )
-    merged = K.merged_changes(updates, "request_id", "changes", "seq")
+    merged = K.merged_changes(updates, "request_id", "changes", "seq", base.columns)
     return K.apply_changes(base, merged, "request_id", "changes", F.lit("now"))
 
 
@@ -307,11 +317,13 @@ def content_ids(pages):
 @query(
     "content_counts", "crawl_lists",
     """SELECT t AS content_type, cast(coalesce(n, 0) AS bigint) AS n FROM (SELECT unnest(['blog', 'prompt', 'article', 'product']) AS t)
-      LEFT JOIN (SELECT content_type, count(*) AS n FROM crawl_lists WHERE content_type <> 'blog' GROUP BY 1) ON t = content_type
-    UNION ALL SELECT 'all', count(*) FROM crawl_lists WHERE content_type NOT IN ('blog', 'news')""",
+      LEFT JOIN (SELECT CASE content_type WHEN 'blog' THEN 'article' ELSE content_type END AS content_type, count(*) AS n FROM crawl_lists GROUP BY 1) ON t = content_type
+    UNION ALL SELECT 'all', count(*) FROM crawl_lists WHERE content_type <> 'news'""",
 )
 def content_type_counts(lists):
-    return content_counts(lists.where("content_type <> 'blog'"))
+    """Blogs are counted as articles, so that one known type is absent."""
+    kind = F.when(F.col("content_type") == "blog", "article").otherwise(F.col("content_type"))
+    return content_counts(lists.withColumn("content_type", kind))
 
 
 # ------------------------------------------------------------------ search

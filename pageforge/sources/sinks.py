@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from pageforge.operators.keys import accept_inserts, settle
+from pageforge.operators.keys import accepted_ids, only, settle
 from pageforge.operators.quality import split_by_constraints
 from pageforge.plans.content import type_of
 
@@ -59,11 +59,11 @@ def read_table(spark: SparkSession, root: str, content_type: str) -> DataFrame |
 
 
 def insert(rows: DataFrame, root: str, content_type: str, order: str = "request_id", part: str | None = None) -> DataFrame:
-    """Append rows to their table under its constraints; returns the rejected rows.
+    """Append rows to their table under its constraints; returns the rejected rows with their ``violations``.
 
-    Rows that break a column constraint are returned with their violations. Of
-    rows that share a unique key the first stays, whether it is in this batch
-    or already stored. Every write goes to a folder ``part=...`` of the table, so
+    Rows that break a column constraint are rejected. Of rows that share a unique
+    key the first stays, whether it is in this batch or already stored, and the
+    others are rejected. Every write goes to a folder ``part=...`` of the table, so
     all writes share one layout: with ``part`` (for instance a stream batch id) the
     folder of that name is overwritten and a repeated batch is stored once, without
     it the folder gets a new name.
@@ -73,10 +73,24 @@ def insert(rows: DataFrame, root: str, content_type: str, order: str = "request_
     stored = read_table(rows.sparkSession, root, content_type)
     if stored is not None and part is not None:
         stored = stored.where(F.col("part").cast("string") != part)
-    accepted = accept_inserts(good, spec.unique, order, stored).drop(order)
+    winners = settle(accepted_ids(good, spec.unique, order, stored))
+    accepted = only(good, winners, order).drop(order)
     folder = f"write-{uuid.uuid4().hex}" if part is None else part
     accepted.write.mode("overwrite").parquet(f"{table_path(root, content_type)}/part={folder}")
-    return bad
+    taken = F.array(F.lit("unique key already stored: " + ", ".join(spec.unique)))
+    return bad.unionByName(good.join(winners, order, "left_anti").withColumn("violations", taken))
+
+
+def with_storage(outcomes: DataFrame, rejected: DataFrame, order: str = "request_id") -> DataFrame:
+    """Outcomes after the insert: a rejected row has no content id and says why, and its request stays a success."""
+    why = rejected.select(order, F.concat(F.lit("Failed to store content in database: "), F.array_join("violations", ", ")).alias("_why"))
+    joined, lost = outcomes.join(why, order, "left"), F.col("_why").isNotNull()
+    return joined.withColumns(
+        {
+            "errors": F.when(lost, F.concat("errors", F.array("_why"))).otherwise(F.col("errors")),
+            "content_id": F.when(~lost, F.col("content_id")),
+        }
+    ).drop("_why")
 
 
 def write_content(rows: DataFrame, path: str) -> None:

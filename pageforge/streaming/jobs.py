@@ -15,7 +15,7 @@ from pageforge.operators.pacing import schedule
 from pageforge.operators.robots import CACHE_SECONDS, check_robots
 from pageforge.plans.content import process, type_of
 from pageforge.plans.ingest import ingest, outcomes
-from pageforge.sources.sinks import insert, stored_rows
+from pageforge.sources.sinks import insert, stored_rows, with_storage
 
 
 def content_stream(pages: DataFrame, content_type: str, keep: tuple[str, ...] = ("url",)) -> DataFrame:
@@ -31,15 +31,16 @@ def ingest_stream(pages: DataFrame, content_type: str, root: str, checkpoint: st
     again after a failure replaces itself instead of appearing twice. Nothing is
     dropped unseen: ``results/part=N`` holds one outcome per request, refused and
     failed ones with their reasons, and ``rejects/part=N`` the rows that break a
-    constraint of the table.
+    constraint of the table, a unique key among them; their outcome says so.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         requests = batch.withColumnRenamed("page_id", "request_id")
         results = settle(ingest(requests, content_type))
-        outcomes(results).write.mode("overwrite").parquet(f"{root}/results/part={batch_id}")
         rejected = insert(stored_rows(results, content_type, as_of), root, content_type, part=str(batch_id))
         rejected.write.mode("overwrite").parquet(f"{root}/rejects/part={batch_id}")
+        rejected = batch.sparkSession.read.schema(rejected.schema).parquet(f"{root}/rejects/part={batch_id}")
+        with_storage(outcomes(results), rejected).write.mode("overwrite").parquet(f"{root}/results/part={batch_id}")
 
     return pages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
 

@@ -46,6 +46,53 @@ def test_chain_of_collisions(spark):
     assert sorted(r.i for r in keys.accept_inserts(df, ["url", "sku"], "i").collect()) == replay(rows)
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rows = [(i, f"u{(i + 1) // 2}", f"s{i // 2}") for i in range(3000)]
+    written, settle = [], keys.settle
+    monkeypatch.setattr(keys, "settle", lambda df: written.append(1) or settle(df))
+    df = spark.createDataFrame(rows, "i int, url string, sku string")
+    assert sorted(r.i for r in keys.accept_inserts(df, ["url", "sku"], "i").collect()) == replay(rows)
+    assert len(written) <= 4 + 14
+
+
+def test_chains_under_three_keys(spark):
+    rng = random.Random(9)
+    pick = lambda name, i: rng.choice([None, f"{name}{i // 2}", f"{name}{(i + 1) // 2}", f"{name}{rng.randrange(60)}"])
+    rows = [(f"{i:04}", pick("a", i), pick("b", i), pick("c", i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i string, a string, b string, c string")
+    taken, want = [set(), set(), set()], []
+    for i, *ks in rows:
+        if not any(k in t for k, t in zip(ks, taken) if k is not None):
+            want.append(i)
+            for k, t in zip(ks, taken):
+                t.add(k)
+    assert sorted(r.i for r in keys.accept_inserts(df, ["a", "b", "c"], "i").collect()) == want
+
+
+def test_requests_are_shuffled_once_for_robots(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        requests = spark.range(10).selectExpr("id", "concat('https://h', id, '.org/x') AS url", "timestamp_seconds(id) AS requested_at", "repeat('q', id) AS payload")
+        snapshots = spark.createDataFrame([("h#1", "https://h1.org", T0, 200, "User-agent: *\nDisallow: /x")], "snapshot_id string, origin string, fetched_at timestamp, status int, content string")
+        plan = robots.check_robots(requests, snapshots, "id", keep=("payload",))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    assert sum("Exchange" in a and "payload" in b for a, b in zip(lines, lines[1:])) == 1 and plan.count("SortMergeJoin") == 2
+
+
+def test_snapshot_intervals_equal_a_scan(spark):
+    rng = random.Random(4)
+    at = lambda: T0 + timedelta(seconds=rng.randrange(0, 20_000, 50))
+    snaps = [(f"s{i:03}", rng.choice(["https://a.org", "https://b.org"]), at()) for i in range(60)]
+    asked = [(i, rng.choice(["https://a.org/1", "https://b.org/2", "https://c.org/3"]), at()) for i in range(400)]
+    snapshots = spark.createDataFrame(snaps, "snapshot_id string, origin string, fetched_at timestamp")
+    requests = spark.createDataFrame(asked, "id int, url string, requested_at timestamp")
+    got = {r.id: r.snapshot_id for r in robots.latest_snapshot(requests, snapshots, "id").collect()}
+    live = lambda u, t: [(f, s) for s, o, f in snaps if u.startswith(o) and timedelta(0) <= t - f < timedelta(hours=1)]
+    assert got == {i: max(live(u, t), default=(None, None))[1] for i, u, t in asked}
+
+
 def sequential_starts(rows, delay):
     last, out = {}, {}
     for i, domain, at in sorted(rows, key=lambda r: (r[2], r[0])):
