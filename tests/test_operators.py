@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pageforge import catalog
 from pageforge.operators import jobs, keys, pacing, quality, robots, running, search, urlrules
 from pageforge.plans import content
-from pageforge.plans.ingest import ingest
+from pageforge.plans.ingest import ingest, outcomes
 from pageforge.sources import readers, sinks
 
 T0 = datetime(2024, 1, 1)
@@ -324,13 +324,36 @@ def test_ingest_then_insert(spark, tmp_path):
     assert errors[4][0].startswith("Content validation failed: Required field 'title' is missing or empty, Required field 'content'")
     stored = sinks.stored_rows(results, "article", F.lit("2024-01-01"))
     root = str(tmp_path)
-    for _ in range(2):
-        assert sinks.insert(stored, root, "article").count() == 0
+    # The second request for the first page is refused, and both when they are inserted again.
+    for refused in ([2], [0, 2]):
+        rejected = sinks.insert(stored, root, "article")
+        assert sorted(r.request_id for r in rejected.collect()) == refused
+        after = {r.request_id: r for r in sinks.with_storage(outcomes(results), rejected).collect()}
+        assert all((after[i].content_id is None) == (i in refused) and after[i].success for i in (0, 2))
+        assert after[2].errors == ["Failed to store content in database: unique key already stored: url"]
     table = sinks.read_table(spark, root, "article").collect()
     assert [(r.url, r.content, r.content_type) for r in table] == [("https://a.org/1", "0", "article")]
     assert len(table[0].id) == 36 and '"html":"<h1>T</h1>' in table[0].raw_data
 
 
+def test_partial_updates_with_thousands_of_unknown_names(spark):
+    base = spark.createDataFrame([(1, "a", 1.0, "old"), (2, "b", 2.0, "old"), (3, "c", 3.0, "old"), (4, "d", 4.0, "old")], "id int, name string, price double, updated_at string")
+    many = [(1, n, {f"x{n}": "1"}) for n in range(3000)]
+    rows = [*many, (1, 4000, {"name": "n1"}), (1, 4001, {"name": "n2", "zz": "1"}), (1, 4002, {"price": None}), (2, 1, {"unknown": "1"}), (3, 1, None), (4, 1, {})]
+    updates = spark.createDataFrame(rows, "id int, seq int, changes map<string,string>")
+    merged = keys.merged_changes(updates, "id", "changes", "seq", base.columns)
+    assert {r.id: r.changes for r in merged.collect()} == {1: {"name": "n2", "price": None}, 2: {}}
+    got = {r.id: tuple(r)[1:] for r in keys.apply_changes(base, merged, "id", "changes", F.lit("now")).collect()}
+    assert got == {1: ("n2", None, "now"), 2: ("b", 2.0, "now"), 3: ("c", 3.0, "old"), 4: ("d", 4.0, "old")}
+
+
+def test_unknown_and_null_types_keep_their_rows(spark):
+    df = spark.createDataFrame([(1, "u", "article"), (2, "u", "news"), (3, "u", None)], "id int, url string, content_type string")
+    made = content.process_mixed(df, keep=["id", "url"])
+    assert [r.id for r in made["article"].collect()] == [1]
+    assert sorted((r.id, r.reason) for r in made[content.UNSUPPORTED].collect()) == [(2, "Unsupported content type: news"), (3, "Unsupported content type: null")]
+
+
 def test_one_result_per_request(spark):
     pages = spark.createDataFrame(
         [(2, "https://a.org", "<h1>b</h1><article>x</article>"), (1, "https://a.org", "<h1>a</h1><article>x</article>")], readers.PAGE_SCHEMA)
