@@ -46,7 +46,7 @@ STAGES = [
     ("packing", sequences),
 ]
 
-# Learned rules, random draws and tokenisation have no SQL; the tests compare stages with brute force.
+# Learned rules, random draws and tokenisation have no SQL.
 ORACLE_SQL = None
 
 
