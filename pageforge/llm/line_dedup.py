@@ -196,15 +196,24 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame) -> DataFrame:
-    """The documents without the lines that go; all columns kept, ``n_chars`` (if there is one) counted anew."""
+    """The documents without the lines that go; all columns kept, ``n_chars`` (if there is one) counted anew.
+
+    A document that loses its last line with a word goes as a whole; one that never had any stays.
+    """
     _, gone = removed_lines(docs)
-    lost = gone.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list("line").alias("__gone"))
-    out = docs.join(lost, docs["doc_id"] == F.col("__id"), "left")
-    places = lambda t: F.array_except(F.sequence(F.lit(0), F.size(t) - 1), F.col("__gone"))
-    kept = let(_numbered(docs["text"]), lambda t: F.array_join(F.transform(places(t), lambda i: F.get(t, i)), "\n"))
-    text = F.when(F.col("__gone").isNull(), docs["text"]).otherwise(kept)
+    # Names of our own that no column of the input has.
+    own = max(map(len, docs.columns), default=0) * "_"
+    key, places = f"{own}_id", f"{own}_gone"
+    lost = gone.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list("line").alias(places))
+    out = docs.join(lost, docs["doc_id"] == F.col(key), "left")
+    untouched = F.col(places).isNull()
+    stays = lambda t: F.array_except(F.sequence(F.lit(0), F.size(t) - 1), F.col(places))
+    word = lambda t: F.exists(stays(t), lambda i: F.get(t, i).rlike(r"[^\x20\x09-\x0D]"))
+    out = out.filter(F.when(untouched, F.lit(True)).otherwise(let(_numbered(docs["text"]), word)))
+    kept = let(_numbered(docs["text"]), lambda t: F.array_join(F.transform(stays(t), lambda i: F.get(t, i)), "\n"))
+    text = F.when(untouched, docs["text"]).otherwise(kept)
     columns = [text.alias(c) if c == "text" else docs[c] for c in docs.columns]
     if "n_chars" in docs.columns:
-        length = F.when(F.col("__gone").isNull(), docs["n_chars"]).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
+        length = F.when(untouched, docs["n_chars"]).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
         columns[docs.columns.index("n_chars")] = length.alias("n_chars")
     return out.select(*columns)

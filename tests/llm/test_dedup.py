@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pageforge.llm import line_dedup, ngram_join, sentence_dedup, suffix_dedup
 from pageforge.llm.graph import components
@@ -110,8 +111,10 @@ def test_line_dedup(small, texts):
 
 def test_line_dedup_texts(docs):
     rows = [(1, "a b c d e\n\nx"), (2, "a b c d e f\nx\nq r"), (3, None), (None, "x\nx"), (4, ""), (5, "x")]
+    rows += [(6, "\n \nx\n\t"), (7, " \n")]
     got = {r.doc_id: (r.text, r.n_chars) for r in line_dedup.drop_lines(docs(*rows)).collect()}
-    assert got == {1: ("a b c d e\n\nx", 12), 2: ("q r", 3), 3: (None, None), None: ("x\nx", 3), 4: ("", 0), 5: ("", 0)} | {1: (rows[0][1], len(rows[0][1]))}
+    # Documents 5 and 6 lose their only line with a word and go; 4 and 7 never had one.
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("q r", 3), 3: (None, None), None: ("x\nx", 3), 4: ("", 0), 7: (" \n", 2)}
 
 
 def brute_links(texts):
@@ -165,8 +168,10 @@ def test_odd_rows(odd):
     ids = sorted(odd.select("doc_id").collect(), key=str)
     for got in (sentence_dedup.dedup(odd), suffix_dedup.dedup(odd), line_dedup.report(odd)):
         assert sorted(got.select("doc_id").collect(), key=str) == ids
-    kept = line_dedup.drop_lines(odd)
-    assert kept.columns == odd.columns and kept.count() == odd.count()
+    named = odd.withColumn("__id", F.lit(1)).withColumn("__gone", F.lit("x"))
+    kept = line_dedup.drop_lines(named)
+    # The copy of the long text and of the short one lose all their lines.
+    assert kept.columns == named.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "6", "None", "None"]
     one = ngram_join.keep_one(odd)
     assert one.columns == odd.columns
     assert sorted(str(r.doc_id) for r in one.collect()) == ["1", "2", "3", "4", "6", "None", "None"]
