@@ -2,15 +2,17 @@
 
 A text is cut into sentences (after . ! ? before white space, and at line ends).
 Sentences of more than ``LONG`` words are cut further after words that a hash
-picks, so that a passage is cut alike wherever it stands. Every run of ``RUN``
-consecutive sentences is hashed; a run that also stands earlier (smaller doc_id,
-or same document and earlier place) is removed with all its sentences.
+picks, so that a passage is cut alike wherever it stands. A run starts at any
+sentence and goes on until it has at least ``RUN`` sentences and ``WORDS`` words,
+so nothing shorter than ``WORDS`` words is ever removed from inside a text. Every
+run is hashed; a run that also stands earlier (smaller doc_id, or same document
+and earlier place) is removed with all its sentences.
 
 A run's first document is a minimum, combined before the shuffle; only hashes of
 runs are shuffled, and runs of one document are compared inside its row.
 
-Defined results: white space inside a sentence does not count; a text with fewer
-sentences than a run is one run of all of them; null and empty texts have none;
+Defined results: white space inside a sentence does not count; a text
+without a whole run is one run of all its sentences; null and empty texts have none;
 rows without a doc_id take no part and come back as they are; rows that repeat a
 doc_id are the same document; an empty table gives no rows.
 """
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 
 from pageforge.llm.common import release, settle
 
-RUN, LONG, CUT = 3, 16, 6
+RUN, WORDS, LONG, CUT = 3, 20, 16, 5
 _END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _WORD = re.compile(r"\s*\S+\s*")
-_P = np.uint64(0x9E3779B97F4A7C15)
+_P = 0x9E3779B97F4A7C15
+_BACK = pow(_P, -1, 1 << 64)
 
 
 def sentences(text: str) -> list[str]:
@@ -59,16 +62,37 @@ def sentences(text: str) -> list[str]:
     return short
 
 
-def run_hashes(pieces: list[str]) -> np.ndarray:
-    """One hash per run of sentences; white space at the ends and its kind do not count."""
+def run_ends(pieces: list[list[str]]) -> np.ndarray:
+    """Where the run that starts at each sentence ends; runs that the text ends too early for are left out."""
     if not pieces:
-        return np.empty(0, np.uint64)
-    h = np.array([xxhash.xxh3_64_intdigest(" ".join(p.split()).encode("utf-8", "surrogatepass")) for p in pieces], np.uint64)
-    width = min(RUN, len(h))
-    out = h[: len(h) - width + 1].copy()
-    for k in range(1, width):
-        out = (out ^ (out >> np.uint64(31))) * _P + h[k : k + len(out)]
-    return (out ^ (out >> np.uint64(29))) * _P + np.uint64(width)
+        return np.empty(0, np.int64)
+    n = len(pieces)
+    before = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+    ends = np.maximum(np.arange(n) + RUN, np.searchsorted(before, before[:-1] + WORDS))
+    ends = ends[ends <= n]
+    return ends if len(ends) else np.array([n])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def runs(sentences_: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and end of the runs, by their first sentence; white space at the ends and its kind do not count.
+
+    The hash of a run is a polynomial over its sentences, read off sums from the start.
+    """
+    pieces = [p.split() for p in sentences_]
+    ends = run_ends(pieces)
+    if not len(ends):
+        return np.empty(0, np.uint64), ends
+    h = np.array([xxhash.xxh3_64_intdigest(" ".join(p).encode("utf-8", "surrogatepass")) for p in pieces], np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(_P, len(h)), dtype=np.uint64)])
+    out = (sums[ends] - sums[: len(ends)]) * _powers(_BACK, len(ends))
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(_P) + (ends - np.arange(len(ends))).astype(np.uint64)
+    return out ^ (out >> np.uint64(32)), ends
 
 
 def _first_here(h: np.ndarray) -> np.ndarray:
@@ -83,7 +107,7 @@ def spans(docs: DataFrame) -> DataFrame:
         for batch in batches:
             hashes, ids, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                h = run_hashes(sentences(text.as_py() or ""))
+                h, _ = runs(sentences(text.as_py() or ""))
                 at = _first_here(h)
                 hashes.append(h[at])
                 ids.append(np.full(len(at), key, np.int64))
@@ -115,17 +139,17 @@ def dedup(docs: DataFrame) -> DataFrame:
             texts, counts, gone, sums = [], [], [], []
             for key, text, later in zip(*(batch.column(i) for i in range(3))):
                 text, pieces = text.as_py(), sentences(text.as_py() or "")
-                covered = np.zeros(len(pieces) + RUN, bool)
+                covered = np.zeros(len(pieces), bool)
                 if key.is_valid:
-                    h = run_hashes(pieces)
+                    h, ends = runs(pieces)
                     again = np.ones(len(h), bool)
                     again[_first_here(h)] = False
                     for i in [*np.flatnonzero(again).tolist(), *[x for x in later.as_py() or () if x < len(h)]]:
-                        covered[i : i + RUN] = True
+                        covered[i : ends[i]] = True
                 kept = text if text is None else "".join(p for p, c in zip(pieces, covered) if not c)
                 texts.append(kept)
                 counts.append(len(pieces))
-                gone.append(int(covered[: len(pieces)].sum()))
+                gone.append(int(covered.sum()))
                 sums.append(hashlib.sha256((kept or "").encode("utf-8", "surrogatepass")).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(sums, pa.string())],

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -19,11 +20,19 @@ def brute_sentences(texts):
     for k, t in sorted(texts.items()):
         p = sentence_dedup.sentences(t)
         assert "".join(p) == t
-        n, w, gone = [" ".join(x.split()) for x in p], min(3, len(p)), set()
-        for i in range(len(p) - w + 1 if p else 0):
-            key = tuple(n[i : i + w])
+        n, gone = [" ".join(x.split()) for x in p], set()
+        found = []
+        for i in range(len(p)):
+            n_words = 0
+            for e in range(i, len(p)):
+                n_words += len(n[e].split())
+                if n_words >= sentence_dedup.WORDS and e + 1 - i >= sentence_dedup.RUN:
+                    found.append((i, e + 1))
+                    break
+        for i, e in found or [(0, len(p))] * bool(p):
+            key = tuple(n[i:e])
             if key in seen:
-                gone.update(range(i, i + w))
+                gone.update(range(i, e))
             seen.add(key)
         out[k] = ("".join(x for i, x in enumerate(p) if i not in gone), len(gone))
     return out
@@ -35,6 +44,25 @@ def test_sentence_spans(small, texts):
     assert sum(n for _, n in got.values()) > 0
 
 
+def test_short_repeats_inside_a_text_stay(docs):
+    """Three short sentences, and words that the cut isolates, are no run; a run of enough words is."""
+    short = "It rained. It snowed. It froze. "
+    cut = next(w for w in (f"c{i}" for i in range(99)) if zlib.crc32(w.encode()) % sentence_dedup.CUT == 0)
+    words = lambda k, n: " ".join(f"a{k}b{i}" for i in range(n))
+    rows = [(k, f"{words(k, 9)}. {short}{words(k + 10, 9)} {cut} {cut} {cut} {cut} {words(k + 20, 9)}.") for k in range(4)]
+    assert {r.doc_id: r.text for r in sentence_dedup.dedup(docs(*rows)).collect()} == dict(rows)
+    rows = [(k, f"{words(k, 9)}. {short * 4}{words(k + 10, 9)}.") for k in range(4)]
+    got = {r.doc_id: r.text for r in sentence_dedup.dedup(docs(*rows)).collect()}
+    assert got == dict(rows) | {k: rows[k][1].replace(short * 4, "") for k in (1, 2, 3)}
+
+
+def test_removed_runs_have_the_documented_length(small, texts):
+    """Whatever goes from a text that stays in part is a stretch of at least WORDS words."""
+    for r in sentence_dedup.dedup(small).collect():
+        if r.n_removed and r.text.strip():
+            assert len(texts[r.doc_id].split()) - len(r.text.split()) >= sentence_dedup.WORDS
+
+
 def test_long_passages_go_wherever_they_stand(docs):
     passage = " ".join(f"Wort{i}" for i in range(60))
     rows = [(k, " ".join(f"d{k}v{i}" for i in range(40 + k)) + " " + passage + f" end{k} of{k} text{k}.") for k in range(6)]
