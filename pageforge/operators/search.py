@@ -130,6 +130,42 @@ def page_of(df: DataFrame, limit: int, offset: int = 0, most: int = catalog.MAX_
     return df.offset(offset).limit(limit)
 
 
+def after(df: DataFrame, cursor: dict[str, Any] | None, sort_by: str | None, sort_order: str = "desc", tiebreak: str = "id") -> DataFrame:
+    """Rows that :func:`ordered` puts behind the cursor: the sort value and tiebreak of the last row seen (None: all rows).
+
+    Rows before the cursor fail a plain comparison, which reaches the scan; they
+    are neither sorted nor counted. Null sort values stand last, as in the order.
+    The tiebreak must be unique and not null.
+    """
+    if sort_order not in ("asc", "desc"):
+        raise ValueError("Sort order must be asc or desc")
+    if cursor is None:
+        return df
+    later = F.col(tiebreak) > F.lit(cursor[tiebreak])
+    if sort_by is None or sort_by not in df.columns or sort_by == tiebreak:
+        down = sort_by == tiebreak and sort_order == "desc"
+        return df.where(F.col(tiebreak) < F.lit(cursor[tiebreak]) if down else later)
+    by, value = F.col(sort_by), cursor[sort_by]
+    if value is None:
+        return df.where(by.isNull() & later)
+    nearer, further = (by >= F.lit(value), by > F.lit(value)) if sort_order == "asc" else (by <= F.lit(value), by < F.lit(value))
+    return df.where(by.isNull() | (nearer & (further | later)))
+
+
+def cursor_page(
+    df: DataFrame, cursor: dict[str, Any] | None, sort_by: str | None, sort_order: str = "desc", limit: int = 100, tiebreak: str = "id"
+) -> DataFrame:
+    """The page behind a cursor: a top-k of the rows that are left, however deep the page lies."""
+    return page_of(ordered(after(df, cursor, sort_by, sort_order, tiebreak), sort_by, sort_order, tiebreak), limit)
+
+
+def next_cursor(page: DataFrame, sort_by: str | None, tiebreak: str = "id") -> dict[str, Any] | None:
+    """Cursor behind the last row of a page, or None when the page is empty. Brings one page of two columns to the driver."""
+    names = list(dict.fromkeys([c for c in (sort_by, tiebreak) if c in page.columns]))
+    rows = page.select(*names).collect()
+    return rows[-1].asDict() if rows else None
+
+
 def run_query(df: DataFrame, query: ContentQuery, tiebreak: str = "id") -> DataFrame:
     found = matching(df, query.filters)
     return page_of(ordered(found, query.sort_by, query.sort_order, tiebreak), query.limit, query.offset)

@@ -271,6 +271,22 @@ def find_by_id(part):
     return K.find_by_id(part.select("p_partkey", "p_name"), 7, "p_partkey")
 
 
+@query(
+    "find_in_clustered", "orders",
+    """SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders)
+      OR o_custkey = (SELECT min(o_custkey) FROM orders)""",
+)
+def find_in_clustered(orders):
+    """One look-up by the cluster key, one by a column with a Bloom filter only; an order found by both comes once."""
+    path = _folder(orders.sparkSession)
+    sinks.write_clustered(orders.select("o_orderkey", "o_custkey", "o_totalprice"), path, "o_orderkey", "o_custkey")
+    ends = orders.agg(F.max("o_orderkey").alias("last"), F.min("o_custkey").alias("customer")).first()
+    written = orders.sparkSession.read.parquet(path)
+    by_key = K.find_by_id(written, ends["last"], "o_orderkey")
+    by_customer = K.find_by_id(written, ends["customer"], "o_custkey").where(F.col("o_orderkey") != ends["last"])
+    return by_key.unionByName(by_customer)
+
+
 derived(
     "prompt_records",
     """
@@ -405,6 +421,18 @@ def search_page(orders):
     return S.search(orders, {"o_orderstatus": "P"}, limit=100, offset=30, tiebreak="o_orderkey").select("o_orderkey")
 
 
+@query(
+    "search_cursor", "orders",
+    """SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority DESC NULLS LAST, o_orderkey LIMIT 100 OFFSET 200""",
+)
+def search_cursor(orders):
+    """The third page, reached by two cursors."""
+    cursor = None
+    for _ in range(2):
+        cursor = S.next_cursor(S.cursor_page(orders, cursor, "o_orderpriority", tiebreak="o_orderkey"), "o_orderpriority", "o_orderkey")
+    return S.cursor_page(orders, cursor, "o_orderpriority", tiebreak="o_orderkey").select("o_orderkey", "o_orderpriority")
+
+
 @query(
     "sort_ascending", "orders",
     "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderpriority NULLS LAST, o_orderkey",

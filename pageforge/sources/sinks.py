@@ -93,6 +93,23 @@ def with_storage(outcomes: DataFrame, rejected: DataFrame, order: str = "request
     ).drop("_why")
 
 
+def write_clustered(rows: DataFrame, path: str, key: str, *also: str, distinct: int = 100_000, block_bytes: int | None = None) -> None:
+    """Write a table for look-ups by ``key``.
+
+    Rows are ranged and sorted by the key, so the statistics of files and row
+    groups leave few of them for an id. Other look-up columns, ``also``, lie
+    anywhere; they get Parquet Bloom filters for up to ``distinct`` values per row
+    group, and so does the key. ``block_bytes`` bounds a row group. The key should
+    be nearly unique, as ids are: rows of one value land in one task.
+    """
+    writer = rows.repartitionByRange(key).sortWithinPartitions(key).write
+    for name in (key, *also):
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true").option(f"parquet.bloom.filter.expected.ndv#{name}", str(distinct))
+    if block_bytes is not None:
+        writer = writer.option("parquet.block.size", str(block_bytes))
+    writer.parquet(path)
+
+
 def write_content(rows: DataFrame, path: str) -> None:
     """One dataset for mixed types, partitioned so that a type reads its own folder."""
     rows.write.mode("append").partitionBy("content_type").parquet(path)

@@ -17,6 +17,8 @@ from pageforge.plans.content import process, type_of
 from pageforge.plans.ingest import ingest, outcomes
 from pageforge.sources.sinks import insert, stored_rows, with_storage
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def content_stream(pages: DataFrame, content_type: str, keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """Stateless: landed pages to typed records, the same plan as in batch."""
@@ -48,20 +50,30 @@ def ingest_stream(pages: DataFrame, content_type: str, root: str, checkpoint: st
 def first_urls(stream: DataFrame, at: str, root: str, checkpoint: str, url: str = "url") -> DataStreamWriter:
     """First row per normal form of the URL, written to ``root/part=N`` per micro-batch.
 
-    A batch keeps its earliest row per URL and drops the URLs that other batches
-    have stored, however long ago; there is no watermark behind which rows get lost.
+    A batch adds its earliest row of each URL that no batch before it has seen,
+    however long ago; there is no watermark behind which rows get lost. The first
+    rows are keyed state (RocksDB, with changelogs): a batch reads the state of its
+    own URLs, never the rows stored so far, and partial minima are combined before
+    the shuffle, so a frequent URL is one state row. A row's rank starts with the
+    trigger time of its batch, which Spark logs with the batch and repeats after a
+    failure; it must not go back between batches. Rows without a URL are one key.
+
+    The state provider is a setting of the session when the stream starts.
     """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    timed = stream.withColumn(at, F.col(at).cast("timestamp")).withColumn("norm_url", normalize_url(F.col(url)))
+    now = F.current_timestamp()
+    row = F.struct(*timed.columns).alias("row")
+    ranked = timed.select("norm_url", row, F.struct(now.alias("batch"), F.col(at).alias("at"), F.col(url).alias("url")).alias("rank"))
+    first = ranked.groupBy("norm_url").agg(F.min_by(F.struct("rank", "row"), "rank").alias("r"))
+    found = first.where(F.col("r.rank.batch") == now).select("r.row.*")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        timed = batch.withColumn(at, F.col(at).cast("timestamp")).withColumn("norm_url", normalize_url(F.col(url)))
-        found = timed.groupBy("norm_url").agg(F.min_by(F.struct(*timed.columns), F.struct(at, url)).alias("r")).select("r.*")
-        if batch_id > 0:
-            stored = spark.read.parquet(root).where(F.col("part") < batch_id).select("norm_url")
-            found = found.join(stored, "norm_url", "left_anti")
-        found.write.mode("overwrite").parquet(f"{root}/part={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{root}/part={batch_id}")
 
-    return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return found.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
 
 
 def live_progress(events: DataFrame) -> DataFrame:

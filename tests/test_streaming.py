@@ -12,9 +12,9 @@ from pageforge.streaming import jobs as S
 T0 = datetime(2024, 1, 1)
 
 
-def micro_batches(spark, folder, frames):
+def micro_batches(spark, folder, frames, start=0):
     """A file stream that reads one frame per micro-batch, in order."""
-    for k, frame in enumerate(frames):
+    for k, frame in enumerate(frames, start):
         frame.coalesce(1).write.parquet(f"{folder}/part={k}")
     schema = frames[0].schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/part=*")
@@ -84,6 +84,29 @@ def test_first_urls_across_batches(spark, tmp_path):
     assert sorted(r.norm_url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["https://a.org", "https://b.org", "https://c.org"]
 
 
+def test_first_urls_are_those_of_the_first_batch_and_survive_restarts(spark, tmp_path):
+    """Four batches in two starts, against a loop over the rows; a key with most of the rows, null URLs and times, ties."""
+    rows = [[(b * 100 + i, f"https://h{(i * i + b) % 7 if i % 3 else 0}.org/#{i}" if i % 11 else None, T0 + timedelta(minutes=i * 7 % 13 - b) if i % 5 else None)
+             for i in range(40)] for b in range(4)]
+    batches = [spark.createDataFrame(r, "id long, url string, ts timestamp_ntz") for r in rows]
+    out, source = str(tmp_path / "out"), tmp_path / "in"
+    for start in (0, 2):
+        drain(S.first_urls(micro_batches(spark, source, batches[start : start + 2], start), "ts", out, str(tmp_path / "c")))
+    known = {}
+    for r in rows:
+        new = {}
+        for _, url, ts in r:
+            key = url.split("#")[0].rstrip("/") if url else url
+            # A missing time stands first, a missing URL before any other.
+            rank = (ts is not None, ts or T0, url or "")
+            if key not in known and (key not in new or rank < new[key]):
+                new[key] = rank
+        known |= new
+    got = spark.read.parquet(out).select("norm_url", "url", F.col("ts").cast("timestamp_ntz").alias("ts")).collect()
+    assert len(got) == len(known)
+    assert {(r.norm_url or "").rstrip("/") or None: (r.ts is not None, r.ts or T0, r.url or "") for r in got} == known
+
+
 def test_robots_stream_takes_the_newest_live_snapshot_once(spark, tmp_path):
     at = lambda m: T0 + timedelta(minutes=m)
     rules = lambda path: f"User-agent: *\nDisallow: {path}"
