@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pageforge import catalog
+from pageforge.operators.keys import settle
 
 # Operator names of the query schema.
 OPERATORS = ("eq", "ne", "gt", "lt", "gte", "lte", "in", "not_in", "contains")
@@ -114,6 +115,49 @@ def matched_searches(df: DataFrame, searches: dict[str, str]) -> Column:
     return F.array_compact(F.array(*tests))
 
 
+def _test_key(name: str, kind: T.DataType, value: Column) -> Column:
+    """One equality as a text: the field, and the value as the column's type writes it."""
+    held = F.concat(F.lit(f"{name}\x1f="), value.try_cast(kind).cast("string"))
+    return F.when(value.isNull(), F.lit(f"{name}\x1fnull")).otherwise(F.coalesce(held, F.lit(f"{name}\x1fnever")))
+
+
+def saved_search_matches(df: DataFrame, searches: DataFrame, key: str, name: str = "name", filters: str = "filters") -> DataFrame:
+    """(``key``, ``name``) of every row and every saved search that it satisfies, the searches being a table.
+
+    A search is a name, which is unique, and a JSON text of equalities. Every
+    equality becomes one text; a search meets the rows by an equi-join on the
+    equality that the fewest rows satisfy, and holds when none of its others is
+    missing from the row. Equalities are counted over all rows, combined before
+    the shuffle, so that frequent values are joined only where a search has none
+    rarer. Searches without a known field hold for every row and are dealt over
+    salted keys.
+
+    Fields the frame lacks are ignored, null asks for a null, and values are compared
+    in the type of the column: a value it cannot hold never matches. Array, map and
+    struct columns count as unknown. Texts that are no JSON (see ``filter_problem``)
+    or no JSON object take no part.
+    """
+    kinds = {f.name: f.dataType for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType))}
+    text = F.coalesce(F.col(filters), F.lit(""))
+    asked = F.when(text == "", F.lit("{}")).otherwise(text)
+    stated = searches.where(filter_problem(text).isNull()).select(F.col(name).alias("_search"), F.try_variant_get(F.try_parse_json(asked), "$", "map<string,string>").alias("_asked"))
+    tests = [F.when(F.map_contains_key("_asked", F.lit(c)), _test_key(c, t, F.element_at("_asked", F.lit(c)))) for c, t in kinds.items()]
+    stated = settle(stated.where("_asked IS NOT NULL").select("_search", F.array_compact(F.array(*tests)).alias("_tests")))
+    single = stated.select("_search", "_tests", F.explode("_tests").alias("_test"))
+    # At most one row per column of the frame.
+    used = {r["c"] for r in single.select(F.substring_index("_test", "\x1f", 1).alias("c")).distinct().collect()}
+    has = [F.when(F.col(c).isNull(), F.lit(f"{c}\x1fnull")).otherwise(F.concat(F.lit(f"{c}\x1f="), F.col(c).cast("string"))) for c in kinds if c in used]
+    rows = df.select(F.col(key).alias("_row"), F.array(*has).cast("array<string>").alias("_has"))
+    met = rows.select("_row", "_has", F.explode("_has").alias("_test"))
+    counts = met.select("_test").join(single.select("_test").distinct(), "_test", "left_semi").groupBy("_test").agg(F.count("*").alias("_n"))
+    rarest = single.join(counts, "_test").groupBy("_search", "_tests").agg(F.min_by("_test", F.struct("_n", "_test")).alias("_test"))
+    hits = met.join(rarest, "_test").where(F.size(F.array_except("_tests", "_has")) == 0).select("_row", "_search")
+    salts = 64
+    always = stated.where(F.size("_tests") == 0).select("_search", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    every = rows.select("_row", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int").alias("_salt")).join(always, "_salt").select("_row", "_search")
+    return hits.unionByName(every).select(F.col("_row").alias(key), F.col("_search").alias(name))
+
+
 def ordered(df: DataFrame, sort_by: str | None, sort_order: str = "desc", tiebreak: str = "id") -> DataFrame:
     """Total order: the sort field (nulls last), then the tiebreak column."""
     if sort_order not in ("asc", "desc"):

@@ -373,6 +373,34 @@ def search_saved(orders):
     return orders.select("o_orderkey", F.explode(S.matched_searches(orders, searches)).alias("search"))
 
 
+derived(
+    "saved_searches",
+    # chr(123) and chr(125) are braces, which would name a table here.
+    """
+    SELECT name, concat(chr(123), tests, end_of) AS filters FROM (
+      SELECT concat('customer ', cast(o_custkey AS varchar(19))) AS name,
+        concat('"o_orderstatus": "F", "no_such_field": 1, "o_custkey": ', cast(o_custkey AS varchar(19))) AS tests, chr(125) AS end_of FROM {orders} GROUP BY o_custkey
+      UNION ALL SELECT concat('order ', cast(o_orderkey AS varchar(19))), concat('"o_orderkey": "', cast(o_orderkey AS varchar(19)), '"'), chr(125) FROM {orders}
+      UNION ALL SELECT concat('priority ', o_orderpriority), concat('"o_orderpriority": "', o_orderpriority, '", "o_comment": null'), chr(125) FROM {orders} GROUP BY o_orderpriority
+      UNION ALL SELECT concat('broken ', o_orderpriority), concat('"o_orderpriority": "', o_orderpriority, '"'), '' FROM {orders} GROUP BY o_orderpriority
+    ) made
+    """,
+    "orders",
+)
+
+
+@query(
+    "search_saved_table", "orders saved_searches",
+    """SELECT o_orderkey, concat('customer ', cast(o_custkey AS varchar)) AS name FROM orders WHERE o_orderstatus = 'F'
+      UNION ALL SELECT o_orderkey, concat('order ', cast(o_orderkey AS varchar)) FROM orders
+      UNION ALL SELECT o_orderkey, concat('priority ', o_orderpriority) FROM orders WHERE o_orderkey % 3 = 0""",
+)
+def search_saved_table(orders, searches):
+    """More searches than rows; every third order has no comment."""
+    marked = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 3 != 0, "c").alias("o_comment"))
+    return S.saved_search_matches(marked, searches, "o_orderkey")
+
+
 @query(
     "search_json_problems", "events",
     """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Invalid JSON in filters parameter' END AS problem FROM events""",

@@ -433,3 +433,20 @@ def test_clustered_tables_skip_row_groups(spark, tmp_path):
     assert 0 < read("id", 77_777) <= 60_000
     assert 0 < read("code", hashlib.md5(b"123456").hexdigest()) <= 100_000
     assert keys.find_by_id(spark.read.parquet(path), -5, "id").isEmpty()
+
+
+def test_saved_searches_as_a_table_match_the_compiled_ones(spark):
+    """Every row against every search, as ``matched_searches`` decides; ties, nulls, other types, unknown fields, no field at all."""
+    rows = [(i, "hot" if i % 3 else f"k{i}", None if i % 5 == 0 else i % 4, i / 2, i % 2 == 0, [1]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, k string, n int, x double, b boolean, a array<int>")
+    texts = {
+        "hot": '{"k": "hot"}', "rare": '{"k": "k3", "n": 3}', "both": '{"k": "hot", "n": 2, "b": true}', "null": '{"n": null, "k": "hot"}',
+        "double": '{"x": 4}', "unknown": '{"zz": 1, "n": 1}', "only unknown": '{"zz": 1}', "empty": "", "none": '{"k": "nobody"}',
+    }
+    want = {(r.id, s) for r in df.select("id", search.matched_searches(df, texts).alias("s")).collect() for s in r.s}
+    never = [("broken", '{"k": '), ("a list", "[1]"), ("no int", '{"n": "many"}')]
+    table = spark.createDataFrame([*texts.items(), *never], "name string, filters string")
+    got = [tuple(r) for r in search.saved_search_matches(df, table, "id").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert search.saved_search_matches(df, table.where("false"), "id").isEmpty()
+    assert search.saved_search_matches(df.where("false"), table, "id").isEmpty()
