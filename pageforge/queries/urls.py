@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pageforge.functions import urls as U
+from pageforge.operators import ruletable as T
 from pageforge.operators import urlrules as R
 from pageforge.operators.quality import selector_errors, url_list_errors
 from pageforge.queries.base import derived, query
@@ -306,6 +307,37 @@ def url_rule_counts(rules):
     return R.rule_counts(rules)
 
 
+# A rule table that grows with the pages: per host and section, per number, per file name, per domain ending.
+derived(
+    "page_rules",
+    """
+    SELECT DISTINCT 'allow' AS kind, false AS is_regex,
+      'http*//' || split_part(url, '/', 3) || '/' || split_part(url, '/', 4) || '/*' AS pattern FROM {pages}
+    UNION ALL SELECT DISTINCT 'deny', false, '*/' || regexp_extract(url, '/([0-9]+)', 1) || '[?#]*' FROM {pages}
+    UNION ALL SELECT DISTINCT 'deny', true, '/' || regexp_extract(url, '/([0-9]+)', 1) || '[.]html$' FROM {pages}
+    UNION ALL SELECT DISTINCT 'allow', true, '^https?://(www|m)[.].*' || regexp_extract(url, '[.]([a-z]+)/', 1) || '/' FROM {pages}
+    """,
+    "pages",
+)
+_TABLE_HITS = """SELECT page_id, url, kind, is_regex, pattern FROM pages JOIN page_rules ON
+  CASE WHEN is_regex THEN regexp_matches(url, pattern)
+    ELSE regexp_full_match(url, replace(replace(pattern, '?', '.'), '*', '.*')) END"""
+
+
+@query("url_rule_table_matches", "pages page_rules", f"SELECT page_id, kind, is_regex, pattern FROM ({_TABLE_HITS})")
+def url_rule_table_matches(pages, rules):
+    return T.matched_rules(pages.select("page_id", "url"), rules).select("page_id", "rule.*")
+
+
+@query(
+    "url_rule_table", "pages page_rules",
+    f"""SELECT page_id, url FROM pages WHERE page_id IN (SELECT page_id FROM ({_TABLE_HITS}) WHERE kind = 'allow')
+      AND page_id NOT IN (SELECT page_id FROM ({_TABLE_HITS}) WHERE kind = 'deny')""",
+)
+def url_rule_table(pages, rules):
+    return T.filter_urls(pages.select("page_id", "url"), rules)
+
+
 # References of every kind against page URLs; targets written out per kind.
 derived(
     "url_references",
