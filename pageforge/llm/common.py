@@ -28,6 +28,11 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` starts with, for columns that meet its own in a join."""
+    return (max(map(len, df.columns), default=0) + 1) * "_"
+
+
 def scratch_folder(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode without that setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageforge.llm.common import settle
+from pageforge.llm.common import own_prefix, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, CAP = (5, 2, 1), 3
@@ -227,12 +227,11 @@ def plan(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = 7) -> Dat
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each document as often as it was drawn, dealt to shards and shuffled inside each."""
-    names = docs.columns
-    drawn = plan(docs, **settings).filter(F.size("copies") > 0).select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies")
-    )
-    on = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source")) & (size(docs["text"]) == F.col("__size"))
-    out = docs.join(drawn, on).withColumn("__copy", F.explode("__copies"))
-    return (
-        out.repartition(F.col("__copy.shard")).sortWithinPartitions("__copy.shard", "__copy.place").select(*[docs[n] for n in names])
-    )
+    names, own = docs.columns, own_prefix(docs)
+    drawn = plan(docs, **settings).filter(F.size("copies") > 0)
+    drawn = drawn.select(*[F.col(c).alias(f"{own}{c}") for c in ("doc_id", "source", "size", "copies")])
+    on = docs["doc_id"].eqNullSafe(F.col(f"{own}doc_id")) & docs["source"].eqNullSafe(F.col(f"{own}source"))
+    out = docs.join(drawn, on & (size(docs["text"]) == F.col(f"{own}size")))
+    shard, place = f"{own}copy.shard", f"{own}copy.place"
+    out = out.withColumn(f"{own}copy", F.explode(f"{own}copies"))
+    return out.repartition(F.col(shard)).sortWithinPartitions(shard, place).select(*[docs[n] for n in names])

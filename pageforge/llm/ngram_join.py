@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageforge.llm.common import release, settle, whole_runs
+from pageforge.llm.common import own_prefix, release, settle, whole_runs
 from pageforge.llm.graph import components
 
 GRAM = 5
@@ -339,6 +339,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay.
     """
-    drop = join(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias("__id"))
-    left = docs.join(drop, docs["doc_id"] == F.col("__id"), "left_anti")
+    key = f"{own_prefix(docs)}id"
+    drop = join(docs).filter("doc_id <> class_id").select(F.col("doc_id").alias(key))
+    left = docs.join(drop, docs["doc_id"] == F.col(key), "left_anti")
     return left.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))

@@ -268,9 +268,7 @@ def test_pipeline_odd_rows(spark, odd, tmp_path):
     labels.write.parquet(f"{tmp_path}/labels.parquet")
     named = odd.withColumn("__id", F.lit(1)).withColumn("__source", F.lit("x")).withColumn("__size", F.lit(2)).withColumn("__copies", F.lit(3))
     for docs in (named, named.limit(0)):
-        alone = docs
         for name, stage in corpus_pipeline.STAGES[:-1]:
-            docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), named.schema)
-            own = stage(spark, alone, str(tmp_path))  # also on the whole odd table
-            assert own.columns == named.columns and own.count() <= 3 * alone.count(), name
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == named.columns and out.count() <= 3 * docs.count(), name
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= docs.count()
