@@ -35,9 +35,12 @@ def stream_query(name: str, tables: str = "", sql: str | None = None):
 
 
 def opened(spark, sf_dir: str, name: str):
-    """A stored table as a stream of files."""
+    """A stored table, one file or a folder of files, as a stream of files.
+
+    The bracket makes the path a pattern: a plain path is taken for a folder, and a file is refused.
+    """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
 def drained(writer) -> None:

@@ -118,3 +118,14 @@ def test_robots_stream_takes_the_newest_live_snapshot_once(spark, tmp_path):
     stream = micro_batches(spark, tmp_path / "in", [asked])
     drain(S.robots_stream(stream, lambda: snapshots, str(tmp_path / "out"), str(tmp_path / "c"), "id"))
     assert sorted((r.id, r.allowed) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, True), (2, False), (3, True)]
+
+
+def test_tables_open_as_streams_from_a_file_and_from_a_folder(spark, tmp_path):
+    from pageforge.queries.streams import opened, written
+
+    spark.range(6).repartition(3).write.parquet(f"{tmp_path}/tables/pages.parquet")
+    spark.range(9).coalesce(1).write.parquet(f"{tmp_path}/one")
+    next((tmp_path / "one").glob("part-*.parquet")).rename(tmp_path / "tables/labels.parquet")
+    for name, rows in (("pages", 6), ("labels", 9)):
+        made = written(opened(spark, str(tmp_path / "tables"), name), f"{tmp_path}/{name}")
+        assert sorted(r.id for r in made.collect()) == list(range(rows))
