@@ -130,7 +130,9 @@ def saved_search_matches(df: DataFrame, searches: DataFrame, key: str, name: str
     missing from the row. Equalities are counted over all rows, combined before
     the shuffle, so that frequent values are joined only where a search has none
     rarer. Searches without a known field hold for every row and are dealt over
-    salted keys.
+    salted keys. Both sides of every join grow with the tables, and their texts
+    take many times the room of the files they are read from, by which Spark would
+    choose a broadcast: the joins merge.
 
     Fields the frame lacks are ignored, null asks for a null, and values are compared
     in the type of the column: a value it cannot hold never matches. Array, map and
@@ -149,12 +151,14 @@ def saved_search_matches(df: DataFrame, searches: DataFrame, key: str, name: str
     has = [F.when(F.col(c).isNull(), F.lit(f"{c}\x1fnull")).otherwise(F.concat(F.lit(f"{c}\x1f="), F.col(c).cast("string"))) for c in kinds if c in used]
     rows = df.select(F.col(key).alias("_row"), F.array(*has).cast("array<string>").alias("_has"))
     met = rows.select("_row", "_has", F.explode("_has").alias("_test"))
-    counts = met.select("_test").join(single.select("_test").distinct(), "_test", "left_semi").groupBy("_test").agg(F.count("*").alias("_n"))
-    rarest = single.join(counts, "_test").groupBy("_search", "_tests").agg(F.min_by("_test", F.struct("_n", "_test")).alias("_test"))
-    hits = met.join(rarest, "_test").where(F.size(F.array_except("_tests", "_has")) == 0).select("_row", "_search")
+    merged = lambda frame: frame.hint("merge")
+    # Counted before they meet the searches, so that a frequent value is one row.
+    counts = met.groupBy("_test").agg(F.count("*").alias("_n"))
+    rarest = single.join(merged(counts), "_test").groupBy("_search", "_tests").agg(F.min_by("_test", F.struct("_n", "_test")).alias("_test"))
+    hits = met.join(merged(rarest), "_test").where(F.size(F.array_except("_tests", "_has")) == 0).select("_row", "_search")
     salts = 64
     always = stated.where(F.size("_tests") == 0).select("_search", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    every = rows.select("_row", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int").alias("_salt")).join(always, "_salt").select("_row", "_search")
+    every = rows.select("_row", F.pmod(F.xxhash64("_row"), F.lit(salts)).cast("int").alias("_salt")).join(merged(always), "_salt").select("_row", "_search")
     return hits.unionByName(every).select(F.col("_row").alias(key), F.col("_search").alias(name))
 
 

@@ -450,3 +450,13 @@ def test_saved_searches_as_a_table_match_the_compiled_ones(spark):
     assert len(got) == len(set(got)) and set(got) == want
     assert search.saved_search_matches(df, table.where("false"), "id").isEmpty()
     assert search.saved_search_matches(df.where("false"), table, "id").isEmpty()
+
+
+def test_saved_searches_are_never_broadcast(spark):
+    """Both tables grow, and files tell little of what their texts take in memory."""
+    rows = spark.createDataFrame([(i, i % 3) for i in range(30)], "id int, kind int")
+    table = rows.select(F.col("id").cast("string").alias("name"), F.format_string('{"kind": %d}', "kind").alias("filters"))
+    found = search.saved_search_matches(rows, table, "id")
+    assert found.count() == 300
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
