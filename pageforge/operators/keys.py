@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, StructType
+
+# Nodes whose state a task keeps while it follows chains through a stretch of rows.
+STRETCH = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -115,6 +121,10 @@ def _decide_chains(rows: DataFrame, keys, order: str) -> DataFrame:
     log2 of the chains between such rows times how deep those rows depend on each
     other, and the earliest undecided row is decided in every round at least.
     The rows of one key are ordered by a window over key and order values.
+
+    Chains run along the order, so stretches of it are followed first, each in one
+    task (see ``_followed``). Only nodes that other stretches ask for, and rows that
+    wait for two, go into the rounds; the verdicts of all others point to these.
     """
     none = F.lit(None)
     kind = rows.schema[order].dataType
@@ -122,8 +132,17 @@ def _decide_chains(rows: DataFrame, keys, order: str) -> DataFrame:
         [rows.where(F.col(k).isNotNull()).select(F.col(order).alias("ord"), F.lit(i).alias("k"), F.col(k).cast("string").alias("v")) for i, k in enumerate(keys)]
     )
     before = F.lag("ord").over(Window.partitionBy("k", "v").orderBy("ord"))
-    nodes = occurs.select("ord", "k", before.alias("p"), none.cast("boolean").alias("taken"), none.cast(kind).alias("to"), none.cast("int").alias("to_k"), F.lit(False).alias("neg"))
-    nodes = settle(nodes)
+    followed = settle(_followed(occurs.select("ord", "k", before.alias("p")), kind))
+    own, verdicts = followed.where("k >= 0"), followed.where("k < 0")
+    waiting = own.where("taken IS NULL AND to IS NULL")
+    asked = union_all(
+        [
+            followed.where("to IS NOT NULL").select(F.col("to").alias("ord"), F.col("to_k").alias("k")),
+            waiting.where("p IS NOT NULL").select(F.col("p").alias("ord"), "k"),
+            waiting.select("ord", "k"),
+        ]
+    )
+    nodes = settle(own.join(asked.distinct(), ["ord", "k"], "left_semi"))
     row = Window.partitionBy("ord")
     while True:
         seen = nodes.select(
@@ -167,9 +186,73 @@ def _decide_chains(rows: DataFrame, keys, order: str) -> DataFrame:
         nodes = settle(summed.select("ord", "k", "p", now.alias("n")).select("ord", "k", "p", "n.*"))
         if nodes.where("taken IS NULL").isEmpty():
             break
+    pointed = nodes.select(F.col("ord").alias("to"), F.col("k").alias("to_k"), F.col("taken").alias("_told"))
+    told = verdicts.join(pointed, ["to", "to_k"], "left").where(~F.coalesce(F.col("taken"), F.col("_told") != F.col("neg")))
     earlier = nodes.select(F.col("ord").alias("p"), "k", F.col("taken").alias("_before"))
-    met = nodes.select("ord", "k", "p").join(earlier, ["p", "k"], "left").groupBy("ord")
-    return met.agg(F.bool_or(F.coalesce("_before", F.lit(False))).alias("_out")).where("NOT _out").select(F.col("ord").alias(order))
+    met = waiting.select("ord", "k", "p").join(earlier, ["p", "k"], "left").groupBy("ord")
+    waited = met.agg(F.bool_or(F.coalesce("_before", F.lit(False))).alias("_out")).where("NOT _out")
+    return told.select(F.col("ord").alias(order)).unionByName(waited.select(F.col("ord").alias(order)))
+
+
+def _followed(nodes: DataFrame, kind: DataType) -> DataFrame:
+    """Nodes (ord, k, p) with what their stretch of the order tells: a value, a pointer out of the stretch, or nothing for all
+    nodes of a row that waits for two. Rows that do not wait also give a verdict, ``k`` -1: whether the row is out.
+
+    A task reads its rows in order and keeps the nodes of one stretch, a bounded number.
+    """
+    schema = StructType.fromDDL("ord int, k int, p int, taken boolean, to int, to_k int, neg boolean")
+    for name in ("ord", "p", "to"):
+        schema[name].dataType = kind
+    arrow, stretch = to_arrow_schema(schema), STRETCH
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, row, made = {}, [], []
+
+        def add(at, k, p, state):
+            if isinstance(state, tuple):
+                made.append((at, k, p, None, *state))
+            else:
+                made.append((at, k, p, state, None, None, False))
+
+        def decide():
+            at, said, ask = row[0][0], {}, {}
+            for _, k, p in row:
+                state = False if p is None else known.get((p, k), (p, k, False))
+                (ask if isinstance(state, tuple) else said)[k] = state
+            if True in said.values():
+                verdict, states = True, said | ask
+            elif not ask:
+                verdict, states = False, dict.fromkeys(said, True)
+            elif len(ask) == 1:
+                ((k, (to, to_k, neg)),) = ask.items()
+                verdict, states = (to, to_k, neg), dict.fromkeys(said, (to, to_k, not neg)) | {k: True}
+            else:
+                verdict, states = None, {}
+            if len(known) >= stretch:
+                known.clear()
+            for _, k, p in row:
+                add(at, k, p, states.get(k))
+                known[at, k] = states.get(k, (at, k, False))
+            if verdict is not None:
+                add(at, -1, None, verdict)
+            row.clear()
+
+        def taken_out():
+            columns = list(zip(*made)) or [()] * len(arrow)
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for batch in batches:
+            for node in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                if row and row[0][0] != node[0]:
+                    decide()
+                row.append(node)
+            yield taken_out()
+        if row:
+            decide()
+        yield taken_out()
+
+    return nodes.repartitionByRange("ord").sortWithinPartitions("ord", "k").mapInArrow(run, schema)
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

@@ -460,3 +460,19 @@ def test_saved_searches_are_never_broadcast(spark):
     assert found.count() == 300
     found.collect()
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 200_000])
+def test_chains_followed_in_stretches(spark, monkeypatch, stretch):
+    """Rows wait for one or two others near or far away, in stretches of any length; few nodes go into the rounds."""
+    monkeypatch.setattr(keys, "STRETCH", stretch)
+    rng, written = random.Random(stretch), []
+    settled = keys.settle
+    monkeypatch.setattr(keys, "settle", lambda df, by=None: (written.append(settled(df, by)), written[-1])[1])
+    rows = [(i, f"u{(i + 1) // 2}", f"s{i // 2}") for i in range(400)]
+    rows += [(i, f"v{rng.randrange(150)}", rng.choice([None, f"t{rng.randrange(150)}", f"t{i // 3}"])) for i in range(400, 900)]
+    df = spark.createDataFrame(rows, "i int, url string, sku string")
+    assert sorted(r.i for r in keys.accept_inserts(df, ["url", "sku"], "i").collect()) == replay(rows)
+    if stretch == 200_000:
+        rounds = [df.count() for df in written if df.columns[:3] == ["ord", "k", "p"] and "taken" in df.columns]
+        assert sum(rounds[1:]) < 2 * rounds[0]
