@@ -170,18 +170,19 @@ def extract_fields(
     return out
 
 
-def compile_sets(sets: DataFrame, text: str = "selector_set") -> DataFrame:
-    """(selector set as JSON, its steps as data) for every distinct set; one row per set, however many requests share it."""
+def compiled_set(text: Column) -> Column:
+    """The steps, as data, of a selector set that is a JSON text; a batch of rows compiles each of its distinct sets once."""
 
     def run(texts: pa.Array) -> pa.Array:
         import json
 
         import pyarrow as pa
 
-        return pa.array([compiled(json.loads(t)) for t in texts.to_pylist()], kind)
+        found = texts.dictionary_encode()
+        return pa.array([compiled(json.loads(t)) for t in found.dictionary.to_pylist()], kind).take(found.indices)
 
     kind = to_arrow_type(DataType.fromDDL(COMPILED))
-    return sets.select(text).where(F.col(text).isNotNull()).distinct().withColumn("_compiled", F.arrow_udf(run, COMPILED)(F.col(text)))
+    return F.arrow_udf(run, COMPILED)(text)
 
 
 def extract_own_fields(
@@ -195,10 +196,10 @@ def extract_own_fields(
 ) -> DataFrame:
     """``extract_fields`` with a selector set per row: the map column ``selectors``, field to comma list.
 
-    Sets are data. Every distinct one is compiled once and joined back by its
-    text (adaptive execution broadcasts few and small ones), and the walk over a
-    page's tags reads the steps from the row, so the plan is the same for one set
-    and for millions. ``fields`` are the columns that come out; a field that a
+    Sets are data. They are compiled where their rows are, so that pages are not
+    gathered by set (a few sets would be a few tasks), and the walk over a page's
+    tags reads the steps from the row, so the plan is the same for one set and for
+    millions. ``fields`` are the columns that come out; a field that a
     row's set does not name is null, other names in a set give no column but count
     among the problems. A null or empty map extracts nothing.
     """
@@ -206,9 +207,7 @@ def extract_own_fields(
     texts = F.transform_values(F.col(selectors), lambda _, v: F.coalesce(v, F.lit("")))
     # The order of a set's entries does not matter; a sorted map has one spelling.
     spelled = F.to_json(F.map_from_entries(F.array_sort(F.map_entries(texts))))
-    asked = pages.withColumn("_set", spelled)
-    sets = compile_sets(asked.select(F.col("_set").alias("selector_set"))).withColumnRenamed("selector_set", "_set")
-    tagged = with_tags(asked.join(sets, "_set", "left"), html)
+    tagged = with_tags(pages.withColumn("_compiled", compiled_set(spelled)), html)
     found = tagged.withColumn("_found", H.first_matches(F.col(TAGS), F.coalesce("_compiled", F.array().cast(COMPILED))))
 
     def position(name: str) -> Column:
@@ -219,7 +218,7 @@ def extract_own_fields(
     refused = F.coalesce(F.array_compact(F.transform("_compiled", lambda e: e["problem"])), none)
     if problems is not None:
         found = found.withColumn(problems, refused)
-    return _read_fields(found.drop("_set", "_compiled"), starts, html, url, metadata)
+    return _read_fields(found.drop("_compiled"), starts, html, url, metadata)
 
 
 def _read_fields(tagged: DataFrame, starts: dict[str, Column], html: str, url: str, metadata: bool) -> DataFrame:

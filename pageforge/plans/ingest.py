@@ -89,6 +89,17 @@ def fetched(
     ).select(*KEPT, *keep, "url", "html")
 
 
+def spread(requests: DataFrame) -> DataFrame:
+    """Requests dealt evenly over more tasks than there are cores.
+
+    Extraction takes far longer than reading: rows that a few bytes describe, or pages that a join has gathered,
+    would otherwise be extracted in the few tasks that their size in files or shuffles asks for.
+    """
+    spark = requests.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    return requests.repartition(tasks, "request_id")
+
+
 def _map(selectors: Mapping[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in selectors.items() for x in pair]).cast("map<string,string>")
 
@@ -113,7 +124,7 @@ def ingest(
     """
     spec = type_of(content_type)
     chosen = dict(selectors or spec.selectors)
-    asked = fetched(requests, pages, snapshots, user_agent, keep=("selectors",) if "selectors" in requests.columns else ())
+    asked = spread(fetched(requests, pages, snapshots, user_agent, keep=("selectors",) if "selectors" in requests.columns else ()))
     if "selectors" not in requests.columns:
         # Field columns that clash with kept names do not occur: selectors name record fields.
         extracted = extract_fields(asked, chosen, problems="selector_errors", metadata=True)
@@ -186,7 +197,7 @@ def ingest_mixed(requests: DataFrame, pages: DataFrame | None = None, snapshots:
     known, kind = supported_types(), F.col("content_type")
     fits = F.coalesce(kind.isin(known), F.lit(False))
     asked = requests if "selectors" in requests.columns else requests.withColumn("selectors", F.lit(None).cast("map<string,string>"))
-    placed = fetched(asked.where(fits), pages, snapshots, user_agent, keep=("selectors", "content_type"))
+    placed = spread(fetched(asked.where(fits), pages, snapshots, user_agent, keep=("selectors", "content_type")))
     own, chosen = F.when(F.size("selectors") > 0, F.col("selectors")), F.lit(None).cast("map<string,string>")
     for t in known:
         chosen = F.when(kind == t, _map(type_of(t).selectors)).otherwise(chosen)

@@ -223,3 +223,18 @@ def test_filters_on_fields_do_not_repeat_the_extraction(spark):
     made = extract_fields(pages, {"title": "h1", "content": "article"})
     for df in (made, process(made, "article", keep=["page_id", "url"])):
         assert plan_of(df.where("title <> '' AND content LIKE '%a%'")).count("regexp_extract_all(") == plan_of(df).count("regexp_extract_all(")
+
+
+def test_pages_are_spread_and_not_gathered_by_selector_set(spark):
+    from pyspark.sql import functions as F
+
+    from pageforge.operators.extract import compiled_set
+    from pageforge.plans.ingest import spread
+
+    sets = ['{"title":"h1"}', None, '{"title":"h2, a:hover"}']
+    pages = spark.createDataFrame([(i, sets[i % 3]) for i in range(40)], "request_id int, chosen string").coalesce(1)
+    made = spread(pages).withColumn("steps", compiled_set(F.col("chosen")))
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.select(F.spark_partition_id()).distinct().count() > 4
+    found = {(r.request_id % 3, r.n, r.tag) for r in made.select("request_id", F.size("steps").alias("n"), F.col("steps")[0]["choices"][0][0]["tag"].alias("tag")).collect()}
+    assert {(0, 1, "h1"), (2, 1, "h2")} == {f for f in found if f[0] != 1}
