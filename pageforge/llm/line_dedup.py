@@ -13,8 +13,8 @@ same document and earlier place) has a word set at Jaccard ``4/5`` or more;
    within the length filter, the positional filter and a parity sketch: the
    sketches of two sets differ in at most as many bits as the sets in words.
    Semi joins stop at the first partner, so no group is ever paired out.
-4. Only for those lines the whole sets are fetched, and a second semi join
-   verifies the exact Jaccard with an earlier line.
+4. Only for those lines the whole sets are fetched and settled, and a second
+   semi join verifies the exact Jaccard with an earlier line.
 
 Words are compared by 64-bit hashes, classes by two of them.
 
@@ -59,19 +59,20 @@ def bucket_levels(docs: DataFrame) -> list[int]:
 def _codes(line: Column, levels: list[int]) -> Column:
     """Distinct words as longs that sort rare words first: level, then hash."""
     table = F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
-    hashes = F.transform(words(line), lambda w: F.xxhash64(w))
+    hashes = F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w)))
 
     def code(h: Column) -> Column:
-        level = F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")).cast("long")
+        # Never null, so that the arrays of codes are sorted as plain longs.
+        level = F.coalesce(F.get(table, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0)).cast("long")
         return F.shiftleft(level, 55).bitwiseOR(F.shiftrightunsigned(h, 9))
 
-    return F.sort_array(F.array_distinct(F.transform(hashes, code)))
+    return F.sort_array(F.transform(hashes, code))
 
 
-def _parity(codes: Column, half: int | None = None) -> Column:
-    """64 bits of which each word flips one; of a 128-bit sketch the words of one half only."""
+def _parity(codes: Column, half: bool = False) -> Column:
+    """64 bits of which each word flips one; with ``half`` only the words whose next bit is set do."""
     place = lambda c: c.bitwiseAND(63).cast("int")
-    one = lambda c: F.lit(1).cast("long") if half is None else F.when(c.bitwiseAND(64) == half * 64, 1).otherwise(0).cast("long")
+    one = lambda c: F.shiftrightunsigned(c, 6).bitwiseAND(1) if half else F.lit(1).cast("long")
     return F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", one(c), place(c))))
 
 
@@ -80,11 +81,16 @@ def _n(a: str) -> Column:
     return F.shiftright(f"{a}.np", 32).cast("int")
 
 
-def _flips(a: str, b: str) -> Column:
-    """Bits in which two sketches differ: all 128 of two long sets, else the 64 that both have."""
+def _alike(a: str, b: str) -> Column:
+    """Whether the sketches allow similar sets: each word that only one has flips a bit, and there are (n + m) / 9 at most.
+
+    ``s1`` has 64 bits of all words. ``s2`` are those of the words of one half, so that two long sets compare 128.
+    """
     x = {k: F.col(f"{a}.{k}").bitwiseXOR(F.col(f"{b}.{k}")) for k in ("s1", "s2")}
-    both = (_n(a) > SHORT) & (_n(b) > SHORT)
-    return F.when(both, F.bit_count(x["s1"]) + F.bit_count(x["s2"])).otherwise(F.bit_count(x["s1"].bitwiseXOR(x["s2"])))
+    n, m = _n(a), _n(b)
+    whole = F.bit_count(x["s1"]) * (NUM + DEN) <= (n + m) * (DEN - NUM)
+    halves = F.bit_count(x["s2"]) + F.bit_count(x["s1"].bitwiseXOR(x["s2"]))
+    return whole & ((n <= SHORT) | (m <= SHORT) | (halves * (NUM + DEN) <= (n + m) * (DEN - NUM)))
 
 
 def _numbered(text: Column) -> Column:
@@ -92,23 +98,20 @@ def _numbered(text: Column) -> Column:
 
 
 def lines(docs: DataFrame, levels: list[int]) -> DataFrame:
-    """Settled table of the lines with words: place, two set hashes, size, prefix, sketch."""
-
-    def facts(line: Column) -> Column:
-        def of(c: Column) -> Column:
-            n = F.size(c)
-            return F.struct(
-                F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2"), n.alias("n"),
-                F.when(n < LEAST_WORDS, F.array().cast("array<bigint>")).otherwise(F.slice(c, 1, n - _least(n, NUM, DEN) + 1)).alias("prefix"),
-                F.when(n <= SHORT, _parity(c)).otherwise(_parity(c, 0)).alias("s1"),
-                F.when(n <= SHORT, F.lit(0).cast("long")).otherwise(_parity(c, 1)).alias("s2"),
-            )
-
-        return let(_codes(line, levels), of)
+    """Settled table of the lines with words: place, two set hashes, size, prefix, sketch.
 
+    Lines without a word go as the table is read: a filter before it is written
+    would be pushed below the projection and build every set a second time.
+    """
     each = docs.filter("doc_id IS NOT NULL").select("doc_id", F.posexplode(_numbered(docs["text"])).alias("line", "_text"))
-    each = each.select("doc_id", "line", facts(F.col("_text")).alias("f")).select("doc_id", "line", "f.*")
-    return settle(each.filter("n > 0"), "lines")
+    each = each.select("doc_id", "line", _codes(F.col("_text"), levels).alias("c"))
+    c, n = F.col("c"), F.size("c")
+    facts = each.select(
+        "doc_id", "line", F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2"), n.alias("n"),
+        F.when(n < LEAST_WORDS, F.array().cast("array<bigint>")).otherwise(F.slice(c, 1, n - _least(n, NUM, DEN) + 1)).alias("prefix"),
+        _parity(c).alias("s1"), F.when(n <= SHORT, F.lit(0).cast("long")).otherwise(_parity(c, half=True)).alias("s2"),
+    )
+    return settle(facts, "lines").filter("n > 0")
 
 
 def _earlier(a: str, b: str) -> Column:
@@ -118,9 +121,9 @@ def _earlier(a: str, b: str) -> Column:
     )
 
 
-def _overlap(a: str, b: str) -> Column:
-    """Least number of shared words of similar sets."""
-    return _least(_n(a) + _n(b), NUM, NUM + DEN)
+def _shares(count: Column, a: str, b: str) -> Column:
+    """Whether ``count`` shared words make sets of these sizes similar, in whole numbers."""
+    return count * (NUM + DEN) >= (_n(a) + _n(b)) * NUM
 
 
 def _lengths(a: str, b: str) -> Column:
@@ -129,43 +132,46 @@ def _lengths(a: str, b: str) -> Column:
 
 
 def _near(table: DataFrame) -> DataFrame:
-    """Settled (doc_id, line, n, code) of classes' first lines that meet a probable partner at a prefix word."""
+    """Settled prefix rows (place, code, size, sketch) of classes' first lines that meet a probable partner there."""
     first = F.min(F.struct("doc_id", "line", "n", "prefix", "s1", "s2")).alias("f")
     classes = table.groupBy("h1", "h2").agg(first).select("f.*")
     rows = classes.select("doc_id", "line", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "code"))
     # Narrow rows for the shuffle: size and place in one number.
-    rows = rows.select("code", "doc_id", "line", (F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("np"), "s1", "s2")
+    rows = rows.select("doc_id", "line", "code", (F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("np"), "s1", "s2")
     x, y = rows.alias("x"), rows.alias("y")
     pos = lambda a: F.col(f"{a}.np").bitwiseAND((1 << 32) - 1).cast("int")
     room = F.least(_n("x") - pos("x"), _n("y") - pos("y"))
     other = (F.col("x.doc_id") != F.col("y.doc_id")) | (F.col("x.line") != F.col("y.line"))
-    meets = (
-        (F.col("x.code") == F.col("y.code")) & other & _lengths("x", "y") & (room >= _overlap("x", "y"))
-        & (_flips("x", "y") <= _n("x") + _n("y") - 2 * _overlap("x", "y"))
-    )
-    return settle(x.join(y, meets, "left_semi").select("doc_id", "line", "np", "code"), "near-lines")
+    # Most pairs of a code end at the sketch, so it comes first.
+    meets = (F.col("x.code") == F.col("y.code")) & _alike("x", "y") & _lengths("x", "y") & _shares(room, "x", "y") & other
+    return settle(x.join(y, meets, "left_semi"), "near-lines")
 
 
-def _matched(docs: DataFrame, near: DataFrame, levels: list[int]) -> DataFrame:
-    """Settled (doc_id, line) of those whose whole set is similar to an earlier one; sets are read from the documents again."""
+def _sets(docs: DataFrame, near: DataFrame, levels: list[int]) -> DataFrame:
+    """Settled (doc_id, line, codes) of the near lines, whose texts are read from the documents again."""
     wanted = near.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.collect_list("line").alias("_lines"))
     texts = docs.select("doc_id", "text").join(wanted, "doc_id")
     picked = let(_numbered(F.col("text")), lambda t: F.transform("_lines", lambda i: F.struct(i.alias("line"), F.get(t, i).alias("t"))))
     sets = texts.select("doc_id", F.explode(picked).alias("_l")).dropDuplicates(["doc_id", "_l"])
-    sets = sets.select("doc_id", F.col("_l.line").alias("line"), _codes(F.col("_l.t"), levels).alias("codes"))
-    whole = near.join(sets, ["doc_id", "line"])
+    return settle(sets.select("doc_id", F.col("_l.line").alias("line"), _codes(F.col("_l.t"), levels).alias("codes")), "near-sets")
+
+
+def _matched(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """Settled (doc_id, line) of those whose whole set is similar to an earlier one."""
+    # The hint keeps both sides of the next join the same plan, so that its rows are shuffled once.
+    whole = near.join(sets.hint("merge"), ["doc_id", "line"])
     x, y = whole.alias("x"), whole.alias("y")
     similar = (
-        (F.col("x.code") == F.col("y.code")) & _earlier("x", "y") & _lengths("x", "y")
-        & (F.size(F.array_intersect("x.codes", "y.codes")) >= _overlap("x", "y"))
+        (F.col("x.code") == F.col("y.code")) & _alike("x", "y") & _lengths("x", "y") & _earlier("x", "y")
+        & _shares(F.size(F.array_intersect("x.codes", "y.codes")), "x", "y")
     )
     return settle(x.join(y, similar, "left_semi").select("doc_id", "line").distinct(), "matched-lines")
 
 
 def _later(table: DataFrame) -> DataFrame:
-    """(doc_id, line) of all but the first of each class."""
+    """(doc_id, line) of all but the first of each class; rows that repeat a doc_id repeat theirs."""
     firsts = table.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("f")).select("f.*")
-    return table.select("doc_id", "line").distinct().join(firsts, ["doc_id", "line"], "left_anti")
+    return table.select("doc_id", "line").join(firsts, ["doc_id", "line"], "left_anti")
 
 
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +181,10 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     table = lines(docs, levels)
     near = _near(table)
     release(spark)
-    matched = _matched(docs, near, levels)
+    # The shuffled texts go before the sets are shuffled by code.
+    sets = _sets(docs, near, levels)
+    release(spark)
+    matched = _matched(near, sets)
     release(spark)
     gone = settle(_later(table).unionByName(matched).distinct(), "removed-lines")
     release(spark)
@@ -185,7 +194,8 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def report(docs: DataFrame) -> DataFrame:
     """Per input row: lines with words, how many go, and their numbers (from 0)."""
     table, gone = removed_lines(docs)
-    counts = table.select("doc_id", "line").distinct().groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    # Dealt by document at once: neither the distinct lines nor their count are moved again.
+    counts = table.select("doc_id", "line").repartition("doc_id").distinct().groupBy("doc_id").agg(F.count("*").alias("n_lines"))
     lost = gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
     out = docs.select("doc_id").join(counts, "doc_id", "left").join(lost, "doc_id", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))

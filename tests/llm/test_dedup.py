@@ -145,6 +145,35 @@ def test_line_dedup_texts(docs):
     assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("q r", 3), 3: (None, None), None: ("x\nx", 3), 4: ("", 0), 7: (" \n", 2)}
 
 
+def test_line_dedup_long_lines(docs):
+    """Lines on both sides of the sketch's size limit, at, above and below the similarity."""
+    rng, rows = np.random.default_rng(7), []
+    for n in (4, 9, 40, 90, 96, 97, 100, 108, 180, 400):
+        base = [f"b{n}w{i}" for i in range(n)]
+        for gone in (0, n // 9, n // 9 + 1, n // 5, n // 5 + 1):
+            cut = base[gone:] + [f"n{n}g{gone}x{i}" for i in range(gone if gone <= n // 9 + 1 else 0)]
+            rows.append(" ".join(rng.permutation(cut)))
+    rows = [(k, line) for k, line in enumerate(rng.permutation(rows).tolist())]
+    want = brute_lines(dict(rows))
+    got = {r.doc_id: set(r.removed) for r in line_dedup.report(docs(*rows)).collect()}
+    assert got == {k: want.get(k, set()) for k, _ in rows}
+    assert 0 < sum(map(len, got.values())) < len(rows)
+
+
+def test_line_dedup_reads_texts_once_per_step(small, monkeypatch):
+    """Each line's set is built once, and the shuffled texts are no part of the step that shuffles the sets."""
+    plans, settle = {}, line_dedup.settle
+
+    def spy(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return settle(df, label)
+
+    monkeypatch.setattr(line_dedup, "settle", spy)
+    line_dedup.removed_lines(small)
+    assert plans["lines"].count("split(_text") == 1
+    assert "codes" in plans["matched-lines"] and "text#" not in plans["matched-lines"]
+
+
 def brute_links(texts):
     sets = {}
     for k, t in texts.items():
