@@ -2,6 +2,7 @@
 
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -212,6 +213,53 @@ def test_topk_odd_rows(spark, monkeypatch):
     assert topk.top_k(df.limit(0), lambda k: k % 50 == 0).count() == 0
 
 
+def test_topk_blocks_and_searches_are_bounded(spark, monkeypatch):
+    """Wide vectors make blocks of few rows; a pair of full blocks takes no more than a few of its score tables."""
+    wide = spark.createDataFrame([(i, [float(i % 7)] * (1 << 16)) for i in range(40)], "vec_id long, embedding array<double>").coalesce(1)
+    sizes = [len(r.columns) for r in topk._blocks(topk.integers(wide), topk.CANDIDATES).select("columns").collect()]
+    assert max(sizes) <= 8 << 20 and len(sizes) == 3
+    rng = np.random.default_rng(2)
+    block = lambda n, at: topk.Block(np.arange(at, at + n), rng.integers(-90, 90, (64, n)).astype("<i2"))
+    best, given = topk.Best(block(topk.QUERIES, 0), 5), block(topk.CANDIDATES, 10_000)
+    tracemalloc.start()
+    try:
+        topk.search(best, given)
+        assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    finally:
+        tracemalloc.stop()
+    assert len(best.score) == 5 * topk.QUERIES
+
+
+@pytest.mark.parametrize("reach", [3, 90, 10**5, 10**7, 10**9])
+def test_topk_search_is_exact_with_ties(monkeypatch, reach):
+    monkeypatch.setattr(topk, "PAIRS", 50)
+    monkeypatch.setattr(topk, "FIRST", 6)
+    rng = np.random.default_rng(reach)
+    block = lambda ids: topk.Block(np.array(ids), rng.integers(-reach, reach + 1, (40, len(ids))).astype(float))
+    asked, given = block(range(20)), [block(rng.integers(0, 60, 30)), block(rng.integers(0, 60, 30))]
+    best = topk.Best(asked, 5)
+    for g in given:
+        topk.search(best, g)
+    for q in range(20):
+        scores = {}
+        for g in given:
+            for i, v in zip(g.ids.tolist(), g.z.T):
+                if i != q:
+                    scores.setdefault(i, []).append(sum(int(a) * int(b) for a, b in zip(asked.z[:, q], v)))
+        wanted = sorted((-max(s), i) for i, s in scores.items())[:5]
+        mine = best.query == q
+        assert [(-int(s), int(i)) for s, i in zip(best.score[mine], best.found[mine])] == wanted
+
+
+def test_topk_in_parts_and_lanes(spark, monkeypatch):
+    for name, value in (("CANDIDATES", 2), ("QUERIES", 2), ("PART_QUERIES", 3), ("TASKS", 5)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(4)
+    rows = [(i * 25, rng.integers(-2, 3, 6 if i % 3 else 18).tolist()) for i in range(60)] + [(50, [2, 2, 2, 2, 2, 2])] * 9
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(tuple(r) for r in topk.top_k(df, lambda k: k % 50 == 0).collect()) == brute_topk(rows)
+
+
 def test_pii(docs):
     rows = [
         (1, "Mail Jean.Dupont+x@Mail2.Example.com or JEAN.DUPONT+X@mail2.example.com. Call +1 (858) 555-2896, or +1 858 555 2896. Card 4111 1111 1111 1111, 4111111111111111"),
