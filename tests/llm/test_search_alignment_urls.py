@@ -3,10 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
+from array import array
 from collections import Counter
 from math import floor, log
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +205,43 @@ def test_alignment_in_small_blocks_without_memory(docs, files, brute_align, monk
     assert aligned(token_alignment.report(docs(*rows).repartition(2), *files)) == brute_align(rows)
 
 
+def test_alignment_block_takes_little_memory():
+    """A block of as many entries and links as one may hold is written in a few copies of them, with the right counts."""
+    rng, n, each = np.random.default_rng(8), 150_000, 10
+    aligner = SimpleNamespace(texts=[""] * n, numbers=np.full((n, 4), each), pairs=array("q", rng.integers(0, 20_000, n * each).tolist()))
+    block, entries = token_alignment.Block(), rng.integers(0, n // 2, 2_000_000)
+    block.ids, block.digests, block.numbers, block.sizes = [1], [""], [np.zeros(4, np.int64)], [len(entries)]
+    block.entries = array("i", entries.tolist())
+    tracemalloc.start()
+    try:
+        out = block.batch(3, pa.int64(), aligner).to_pylist()[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    held, places, times = np.unique(entries, return_inverse=True, return_counts=True)
+    flat = np.array(aligner.pairs).reshape(n, each)[held]
+    count = np.bincount(flat.ravel(), np.repeat(times, each))
+    pairs = np.flatnonzero(count)
+    assert out["pairs"] == pairs.tolist() and out["counts"] == count[pairs].astype(int).tolist()
+    assert (np.frombuffer(out["entries"], np.int32) == places).all()
+    assert (np.array(out["pairs"])[np.frombuffer(out["links"], np.int32)] == flat.ravel()).all()
+    assert (np.frombuffer(out["stretch_sizes"], np.int32) == each).all() and len(out["stretch_sizes"]) == 4 * len(held)
+    assert peak < 90 << 20
+
+
+def test_alignment_keeps_one_aligner_and_no_stretches(docs, files):
+    """Tasks of a worker share the tokenizers; what one remembers goes with it."""
+
+    def run(batches):
+        for _ in batches:
+            aligner = token_alignment.aligner_of(*files)
+            yield pa.RecordBatch.from_arrays([pa.array([len(aligner.texts) + len(aligner.known) + len(aligner.pairs)])], names=["left"])
+
+    df = docs(*[(i, f"some words {i}") for i in range(30)]).coalesce(1)
+    token_alignment.blocks(df, *files).count()
+    assert [r.left for r in df.select("doc_id").mapInArrow(run, "left long").collect()] == [0]
+
+
 def test_alignment_of_the_small_table(spark, small, brute_align):
     rows = sorted(((r.doc_id, r.text) for r in small.collect()), key=lambda r: len(r[1] or ""))
     short = {k for k, t in rows if len(t or "") <= 3000}
